@@ -1,0 +1,166 @@
+"""Secret scanning: candidate strings, judged by a random forest that removes false positives.
+
+Candidates are runs of key characters with a digit or a known prefix. A random forest on their length, character
+transitions, dictionary coverage, path and neighbouring words, trained from labelled findings, decides which are
+secrets. Everything is DataFrame functions and Spark's own DataFrame-based forest.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .expressions import gaps, let, matches, starts
+
+# Forms and words that credential scanners look for.
+PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xoxb-|xoxp-|sk_live_|sk-|AIza|eyJ|npm_"
+SECRET_WORDS = "password|passwd|pwd|passphrase|secret|token|api[ _-]?key|apikey|access[ _-]?key|auth|bearer|credential|private[ _-]?key|signature"
+DIGEST_WORDS = "commit|sha1|sha256|sha512|sha|md5|checksum|digest|hash|uuid|guid|etag|revision|integrity|blob|tree|fingerprint|request id|trace id|order|version|build"
+PLACEHOLDERS = "x{4,}|0{6,}|1234|abcd|example|changeme|change_me|your|dummy|sample|placeholder|insert|redacted|test"
+DICTIONARY = "access|account|admin|application|bucket|build|candidate|change|client|config|content|data|default|develop|docs|example|file|guide|here|hotfix|image|index|insert|introduction|issue|item|key|local|login|model|module|name|number|order|package|page|part|pass|password|path|placeholder|process|production|project|public|release|report|request|resource|sample|secret|section|server|service|session|source|staging|static|string|system|table|test|token|update|user|value|version|word|your"
+COMMON_PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur|qu|ei|ie|un|la|el|os|ci"
+SAFE_PATHS = "(^|[/_.-])(test|tests|spec|mock|mocks|fixture|fixtures|sample|samples|example|examples|lock|vendor|node_modules|testdata)([/_.-]|$)"
+
+_KEY = r"A-Za-z0-9+/_\-"
+CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9]|{PREFIXES})[{_KEY}]{{12,}}+={{0,2}}+"
+_LOWER, _UPPER, _DIGITS, _MARKS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-="
+TREES, DEPTH, SEED = 30, 7, 17
+REPLACEMENT = "[SECRET]"
+
+
+def _share(c: Column, kept: str) -> Column:
+    return F.length(F.regexp_replace(c, f"[^{kept}]", "")) / F.length(c)
+
+
+def features(c: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
+    """What the forest sees of a candidate. None of it is ever null."""
+    path = F.lower(F.coalesce(path, F.lit("")))
+    near = F.lower(F.right(before, F.lit(32)))
+    low = F.lower(c)
+    n = F.length(c)
+    classes = F.translate(c, _LOWER + _UPPER + _DIGITS + _MARKS, "a" * 26 + "A" * 26 + "0" * 10 + "-" * 5)
+    flag = lambda x: x.cast("double")
+    return {
+        "length": F.least(n, F.lit(200)).cast("double"),
+        "digits": _share(c, "0-9"),
+        "upper": _share(c, "A-Z"),
+        "lower": _share(c, "a-z"),
+        "transitions": (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1) / n,
+        "common_pairs": F.regexp_count(low, F.lit(f"(?={COMMON_PAIRS})")) / n,
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
+        "dictionary": (n - F.length(F.regexp_replace(low, DICTIONARY, ""))) / n,
+        "prefix": flag(c.rlike(f"^({PREFIXES})")),
+        "placeholder": flag(low.rlike(PLACEHOLDERS)),
+        "hex": flag(c.rlike("^[0-9a-f]+$")),
+        "decimal": flag(c.rlike("^[0-9_/-]+$")),
+        "uuid": flag(low.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
+        "slug": F.least(F.regexp_count(c, F.lit("[-/_]")), F.lit(10)).cast("double"),
+        "secret_word": flag(near.rlike(SECRET_WORDS)),
+        "secret_after": flag(F.lower(F.left(after, F.lit(32))).rlike(SECRET_WORDS)),
+        "digest_word": flag(near.rlike(rf"(^|[^a-z])({DIGEST_WORDS})[^a-z]*$")),
+        "assigned": flag(before.rlike(r"[=:]\s*[\"']?$")),
+        "quoted": flag(before.rlike(r"[\"']$")),
+        "safe_path": flag(path.rlike(SAFE_PATHS)),
+    }
+
+
+FEATURES = [
+    "length", "digits", "upper", "lower", "transitions", "common_pairs", "distinct", "dictionary", "prefix", "placeholder",
+    "hex", "decimal", "uuid", "slug", "secret_word", "secret_after", "digest_word", "assigned", "quoted", "safe_path",
+]
+
+
+def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
+    """n labelled findings (candidate, before, after, path, label), made by rule: random strings of each form in the
+    company that form usually keeps. Give your own reviewed findings to train() where you have them."""
+    rows = spark.range(n).withColumn("x", F.sha2(F.concat(F.lit("finding "), F.col("id").cast("string")), 256)).withColumn("y", F.sha2(F.col("x"), 256))
+    x, y, i = F.col("x"), F.col("y"), F.col("id")
+    size = 16 + F.pmod(F.floor(i / 20), F.lit(25))
+    hexed = lambda k: F.substring(x, 1, k)
+    some = lambda k: x.substr(F.lit(1), F.lit(k) if isinstance(k, int) else k.cast("int"))
+    digits = F.translate(x, "abcdef", "270914")
+    mixed = F.regexp_replace(F.base64(F.unhex(x)), "=", "")
+    plain = F.regexp_replace(F.base64(F.unhex(F.concat(x, y))), "[+/=]", "")
+    upper = F.translate(F.upper(x), "01389BDF", "QWZKMYTL")
+    word = lambda c, k: F.translate(F.substring(c, k, 9), "0123456789abcdef", "eaiontrshldcumen")
+    uuid = F.concat_ws("-", *(F.substring(x, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    said = F.concat(word(y, 1), F.lit(" "), word(y, 12), F.lit(" "))
+    pick = lambda *w: F.get(F.array(*map(F.lit, w)), F.pmod(F.floor(i / 20), F.lit(len(w))).cast("int"))
+    key = pick("password=", "passwd: ", "pwd=", 'secret = "', "token=", 'token = "', 'api_key="', "auth_token: '", "client_secret=", "private_key=")
+    forms = [
+        (1, F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.lit("")),
+        (1, some(size), key),
+        (1, hexed(40), pick('token = "', "token=", 'api_key = "', "secret: ")),
+        (1, F.substring(mixed, 1, 40), pick("aws_secret_access_key = ", 'secret_key: "', "secret=")),
+        (1, F.concat(F.lit("ghp_"), F.substring(plain, 1, 36)), pick("", "token ", "use ")),
+        (1, F.substring(plain, 1, 32), pick('api_key="', "apikey: ", "Authorization: Bearer ", "access_token=")),
+        (1, F.substring(plain, 1, 20), key),
+        (1, F.concat(pick("xoxb-", "sk_live_", "glpat-", "AIza"), F.substring(plain, 3, 30)), pick("", "key ", "=")),
+        (1, F.concat(F.lit("AKIA"), F.substring(upper, 5, 16)), pick("aws_access_key_id=", "access key ", "key: ")),
+        (0, F.substring(digits, 1, 16), pick("", "card ", "number: ", "")),
+        (0, hexed(40), pick("commit ", "sha1: ", "revision ", "tree ")),
+        (0, x, pick("sha256:", "checksum ", "digest: ", "hash = ")),
+        (0, uuid, pick("request id ", "uuid: ", "", "id=")),
+        (0, F.concat(word(x, 1), word(x, 20), F.pmod(i, F.lit(97)).cast("string")), F.lit("")),
+        (0, F.concat(F.lit("release-"), (2000 + F.pmod(i, F.lit(30))).cast("string"), F.lit("-0"), (1 + F.pmod(i, F.lit(9))).cast("string"), F.lit("-candidate")), pick("", "version ", "build: ")),
+        (0, F.concat(pick("docs/guide/part", "static/images/item", "project/module_", "user/session/page"), i.cast("string"), F.lit("/introduction")), pick("", "see ", "path=")),
+        (0, F.concat(pick("your_api_key_here_", "EXAMPLEKEY", "xxxxxxxxxxxx", "changeme_placeholder_", "dummy_token_value_"), F.pmod(i, F.lit(1000)).cast("string"), F.lit("1234")), key),
+        (0, hexed(40), F.lit("")),
+        (0, F.concat(F.lit("sha512-"), plain), pick('integrity "', "integrity: ")),
+        (0, some(size), key),
+    ]
+    kind = F.pmod(i, F.lit(len(forms)))
+    chain = lambda k: F.coalesce(*(F.when(kind == j, f[k] if isinstance(f[k], Column) else F.lit(f[k])) for j, f in enumerate(forms)))
+    path = F.when(kind == len(forms) - 1, pick("tests/fixtures/login", "examples/sample", "vendor/mock", "testdata/users")).otherwise(pick("src3", "config/app", "src11", "notes", "src0", "deploy/env"))
+    rows = rows.select(chain(1).alias("candidate"), F.concat(said, chain(2)).alias("before"), F.concat(F.lit(" "), word(x, 40)).alias("after"), path.alias("path"), chain(0).cast("double").alias("label"))
+    return rows
+
+
+def train(findings: DataFrame) -> PipelineModel:
+    """A random forest on labelled findings (candidate, before, after, path, label). Rows with nulls don't count."""
+    rows = findings.dropna(subset=["candidate", "before", "after", "label"])
+    rows = rows.select(F.col("label").cast("double").alias("label"), *(c.alias(k) for k, c in features(*map(F.col, ("candidate", "before", "after", "path"))).items()))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt")
+    assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    return PipelineModel([assemble, forest.fit(assemble.transform(rows))])
+
+
+def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Every candidate in every whole text: doc_id, text_key, path, start (characters before it), candidate, and up to 48
+    characters before and after. Null and empty texts have none; repeated rows have theirs each."""
+    where = F.col(path).cast("string") if path else F.lit("")
+    part = docs.filter(F.col("text").rlike(CANDIDATE)).select("doc_id", F.col("text").alias("_t"), F.xxhash64("text").alias("text_key"), where.alias("path"))
+    one = lambda found, between, at: F.transform(found, lambda c, i: F.struct(F.get(at, i).alias("start"), c.alias("candidate"), F.right(F.get(between, i), F.lit(48)).alias("before"), F.left(F.get(between, i + 1), F.lit(48)).alias("after")))
+    every = let(matches(F.col("_t"), CANDIDATE), lambda found: let(gaps(F.col("_t"), CANDIDATE), lambda between: let(starts(found, between), lambda at: one(found, between, at))))
+    return part.select("doc_id", "text_key", "path", F.explode(every).alias("c")).select("doc_id", "text_key", "path", "c.*")
+
+
+def findings(docs: DataFrame, model: PipelineModel, path: str | None = None, least: float = 0.4) -> DataFrame:
+    """Every candidate with the forest's score and is_secret (score >= least); the candidate itself only as its
+    sha256 and a mask. Whole texts; null and empty texts give no row; ids pass through, nulls too."""
+    rows = candidates(docs, path)
+    rows = rows.select("*", *(c.alias(k) for k, c in features(*map(F.col, ("candidate", "before", "after", "path"))).items()))
+    scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
+    return scored.select("doc_id", "text_key", F.col("start").cast("long").alias("start"), F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), F.concat(F.left("candidate", F.lit(4)), F.lit("...")).alias("masked"), "score", (F.col("score") >= least).alias("is_secret"))
+
+
+def redacted(docs: DataFrame, model: PipelineModel, path: str | None = None, least: float = 0.4) -> DataFrame:
+    """docs with each secret in text replaced by [SECRET]; all rows and columns stay, texts without secrets unchanged."""
+    spans = findings(docs, model, path, least).filter("is_secret").select("doc_id", "text_key", "start", "length").distinct()
+    spans = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    # the columns travel as one struct, so that no name of docs can clash with a name used here
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text_key"))
+    joined = whole.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    text = F.col("_row.text")
+
+    def cut(spans: Column) -> Column:
+        end = lambda k: F.get(spans, k)["start"] + F.get(spans, k)["length"]
+        before = F.transform(spans, lambda s, k: F.concat(text.substr((F.when(k > 0, end(k - 1)).otherwise(F.lit(0)) + 1).cast("int"), (s["start"] - F.when(k > 0, end(k - 1)).otherwise(F.lit(0))).cast("int")), F.lit(REPLACEMENT)))
+        return F.concat(F.array_join(before, ""), text.substr((end(F.size(spans) - 1) + 1).cast("int"), F.length(text)))
+
+    clean = F.when(F.col("_spans").isNull(), text).otherwise(cut(F.col("_spans")))
+    return joined.select(*(clean.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
