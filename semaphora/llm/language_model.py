@@ -297,11 +297,11 @@ def fit(docs: DataFrame, n_shards: int | None = None) -> KneserNey:
     all probability evenly. The folder has to be a mounted one, since workers memory-map it."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_shards = n_shards or 4 * partitions
+    n_shards = n_shards or partitions
     folder = _local_path(f"{shared_dir(spark)}/semaphora/kneser-ney-{uuid.uuid4().hex}")
     os.makedirs(folder, exist_ok=True)
-    pairs = docs_of(docs).mapInArrow(_counted(n_shards), "shard int, blob binary").repartition(partitions, "shard")
-    words = pairs.mapInArrow(_bigram_files(folder, n_shards), "shard int, blob binary").repartition(partitions, "shard")
+    pairs = docs_of(docs).mapInArrow(_counted(n_shards), "shard int, blob binary").repartitionById(n_shards, F.col("shard"))
+    words = pairs.mapInArrow(_bigram_files(folder, n_shards), "shard int, blob binary").repartitionById(n_shards, F.greatest("shard", F.lit(0)))
     stats = words.mapInArrow(_word_files(folder), STATS).groupBy("kind").agg(*(F.sum(x).alias(x) for x in ("n1", "n2", "n3", "n4", "types", "total"))).collect()
     by = {r["kind"]: r for r in stats}
     times = lambda k: tuple(by[k][x] for x in ("n1", "n2", "n3", "n4")) if k in by else (0, 0, 0, 0)

@@ -8,8 +8,11 @@ sequences of power-of-two lengths, which need no padding.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,36 +27,68 @@ LENGTH = 1024
 DIMENSIONS, BITS = 4, 10
 SEPARATOR = 0
 #: Pieces that a task remembers the ids of.
-CACHE = 1 << 18
+CACHE = 3 << 18
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Byte-level BPE never merges across these cuts: a word with the blank before it, and white space between words.
 PIECES = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+# Fixed value: how byte-level BPE cuts text before merging.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _merger(path: str):
+    """A fast encoder of the same byte-level BPE, or None where the file is of another kind.
+
+    Where ids ascend with the order of merges, an id is its merge's rank."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or spec.get("normalizer") or model.get("unk_token") or model.get("end_of_word_suffix"):
+        return None
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(c): c for c in plain} | {chr(256 + k): c for k, c in enumerate(sorted(set(range(256)) - set(plain)))}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    return tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
 class Ids:
     """Token ids of texts. Words repeat, so the ids of a piece are remembered; the memory is bounded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._known = Tokenizer.from_file(path), {}
+        self._tokenizer, self._known, self._fast = Tokenizer.from_file(path), {}, _merger(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self.kind = np.uint16 if self._tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def of(self, text: str) -> np.ndarray:
-        if any(s in text for s in self._special):
-            return np.frombuffer(self._encode(text), dtype=np.uint32)
+    def of(self, text: str) -> bytes:
+        """The ids of text, one after the other, as self.kind."""
+        if any(s in text for s in self._special) or not self._fast:
+            return self._whole(text)
         pieces, known = PIECES.findall(text), self._known
         new = [p for p in set(pieces) if p not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype=np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype=np.uint32)
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = set(pieces)
+        for p in new:
+            known[p] = array("H" if self.kind is np.uint16 else "I", self._fast.encode_ordinary(p)).tobytes()
+        return b"".join(map(known.__getitem__, pieces))
+
+
+@functools.lru_cache(maxsize=2)
+def ids_of(path: str) -> Ids:
+    """One for each worker process, so that what it remembers outlives a task."""
+    return Ids(path)
 
 
 def hilbert(place: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -94,7 +129,7 @@ def places(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
     """The hashed token vectors, projected: coordinates of about a normal distribution, dealt evenly to the grid."""
     out = np.zeros((len(ids), DIMENSIONS))
     for k, d in enumerate(ids):
-        token, c = np.unique(d & np.uint32(0xFFFF), return_counts=True)
+        token, c = np.unique(d.astype(np.uint16), return_counts=True)
         if len(token):
             w = np.log1p(c)
             out[k] = w @ signs[token] / np.sqrt((w * w).sum())
@@ -104,14 +139,14 @@ def places(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
 
 def _tokenised(path: str):
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, signs = Ids(path), _signs()
+        own, signs = ids_of(path), _signs()
+        end = np.array([SEPARATOR], dtype=own.kind).tobytes()
         for whole in it:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = [own.of(t or "") for t in batch.column(1).to_pylist()]
-                wide = any(len(i) and i.max() >= 1 << 16 for i in ids)
-                blobs = [np.append(i, SEPARATOR).astype(np.uint32 if wide else np.uint16).tobytes() for i in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert(places(ids, signs))), pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "curve_key", "doc_tokens", "ids"])
+                blobs = [own.of(t or "") + end for t in batch.column(1).to_pylist()]
+                ids = [np.frombuffer(b, dtype=own.kind) for b in blobs]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert(places([i[:-1] for i in ids], signs))), pa.array([len(i) for i in ids], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "curve_key", "doc_tokens", "ids"])
 
     return run
 
