@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import dataset, validation
+    from . import dataset, review, validation
 
-    return [validation, dataset]
+    return [validation, dataset, review]
 
 
 def all_queries() -> dict:
