@@ -9,6 +9,7 @@ from ..corpus import Corpus, all_ids
 from ..functions import scenes as S
 from ..operators import consensus, matching, metrics
 from ..sources.bridge import corpus, prelude
+from ..sources.shared import written
 
 DIAGONAL = 894.427190999916  # of 800 x 400
 
@@ -74,7 +75,7 @@ def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     has = lambda t: t.select("doc", "id", F.pmod(F.col("doc") + F.col("idx"), F.lit(3)).alias("support"))
     elements = has(c.node).unionByName(has(c.edge)).unionByName(has(c.signal.filter("id <> 'n_w'")))
     refs = c.edge.select("doc", "id", F.explode(F.array("a_node", "b_node")).alias("ref")).unionByName(c.signal.filter("id <> 'n_w'").select("doc", "id", F.col("at_edge").alias("ref")))
-    return elements.persist(), refs.persist()  # the steps of the closure read both again and again
+    return written(elements, "elements"), written(refs, "references")  # the steps of the closure read both again and again
 
 
 def draft_closure(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,10 +154,12 @@ _ELS = lambda p: f"SELECT doc, id, kind || '|' || n_half AS content FROM {p}node
 _PROV = f"""{_TWIN}, d AS ({_ELS('')}), f AS ({_ELS('t_')}), p AS (SELECT f.doc, f.id, CASE WHEN d.id IS NULL THEN 'human_added' WHEN d.content <> f.content THEN 'human_edited' WHEN d.id LIKE 's%' THEN 'suggestion_accepted' ELSE 'prefill_accepted' END AS origin FROM f LEFT JOIN d ON d.doc = f.doc AND d.id = f.id)"""
 _SUM = f"""{_PROV}, s AS (SELECT doc, (SELECT count(*) FROM d WHERE d.doc = p.doc AND d.id NOT LIKE 's%') AS draft_elements, count(*) AS final_elements, count(*) FILTER (origin = 'prefill_accepted') AS prefill_accepted, count(*) FILTER (origin = 'human_edited') AS human_edited,
   count(*) FILTER (origin = 'suggestion_accepted') AS suggestion_accepted, count(*) FILTER (origin = 'human_added') AS human_added, (SELECT count(*) FROM d WHERE d.doc = p.doc AND d.id NOT LIKE 's%' AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc = d.doc AND f.id = d.id)) AS deleted FROM p GROUP BY doc)"""
-_GRAPH = f"""WITH RECURSIVE {prelude()}, el AS (SELECT doc, id, (doc + idx) % 3 AS support FROM node UNION ALL SELECT doc, id, (doc + idx) % 3 FROM edge UNION ALL SELECT doc, id, (doc + idx) % 3 FROM signal WHERE id <> 'n_w'),
-refs AS (SELECT doc, id, a_node AS ref FROM edge UNION ALL SELECT doc, id, b_node FROM edge UNION ALL SELECT doc, id, at_edge FROM signal WHERE id <> 'n_w'),
-c(doc, id) AS (SELECT doc, id FROM el WHERE support >= 2 UNION SELECT c.doc, refs.ref FROM c JOIN refs ON refs.doc = c.doc AND refs.id = c.id),
-chosen AS (SELECT doc, id FROM c WHERE EXISTS (SELECT 1 FROM el WHERE el.doc = c.doc AND el.id = c.id))"""
+_GRAPH = f"""WITH {prelude()}, el AS MATERIALIZED (SELECT doc, id, (doc + idx) % 3 AS support FROM node UNION ALL SELECT doc, id, (doc + idx) % 3 FROM edge UNION ALL SELECT doc, id, (doc + idx) % 3 FROM signal WHERE id <> 'n_w'),
+refs AS MATERIALIZED (SELECT doc, id, a_node AS ref FROM edge UNION ALL SELECT doc, id, b_node FROM edge UNION ALL SELECT doc, id, at_edge FROM signal WHERE id <> 'n_w'),
+f0 AS MATERIALIZED (SELECT DISTINCT doc, id FROM el WHERE support >= 2), f1 AS MATERIALIZED (SELECT DISTINCT r.doc, r.ref AS id FROM refs r JOIN f0 ON f0.doc = r.doc AND f0.id = r.id),
+f2 AS MATERIALIZED (SELECT DISTINCT r.doc, r.ref AS id FROM refs r JOIN f1 ON f1.doc = r.doc AND f1.id = r.id), f3 AS MATERIALIZED (SELECT DISTINCT r.doc, r.ref AS id FROM refs r JOIN f2 ON f2.doc = r.doc AND f2.id = r.id),
+c AS (SELECT * FROM f0 UNION SELECT * FROM f1 UNION SELECT * FROM f2 UNION SELECT * FROM f3),
+chosen AS MATERIALIZED (SELECT doc, id FROM c WHERE EXISTS (SELECT 1 FROM el WHERE el.doc = c.doc AND el.id = c.id))"""
 _ST = lambda p: f"SELECT doc, 'signals' AS family, id, value FROM {p}state_signal UNION ALL SELECT doc, 'tracks', id, value FROM {p}state_track UNION ALL SELECT doc, 'switches', id, concat_ws('/', position, paths) FROM {p}state_switch"
 _RT = lambda p: f"SELECT DISTINCT r.doc, r.start, r.end_id, (SELECT string_agg(edge_id, '>' ORDER BY pos) FROM {p}route_path q WHERE q.doc = r.doc) AS path FROM {p}route r"
 _EK = lambda p: f"SELECT DISTINCT doc, least(a_node || '.' || a_port, b_node || '.' || b_port) || '|' || greatest(a_node || '.' || a_port, b_node || '.' || b_port) AS k FROM {p}edge"

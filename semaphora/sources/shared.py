@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -14,3 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
         path = f"file://{tempfile.mkdtemp(prefix='semaphora-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back: later plans start there, and a lost executor loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/semaphora/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
