@@ -27,6 +27,8 @@ BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
 #: Below the threshold by this much, an estimate still goes to the exact test: over five standard deviations.
 MARGIN = 0.2
+#: Ids that a task may hold to pick texts by; beyond that, texts and ids meet in a shuffle.
+BROADCAST_IDS = 4_000_000
 
 
 def _parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +110,15 @@ def _confirm(n: int, percent: int):
     return run
 
 
+def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id is in ids (doc_id): without moving texts, if ids are counted to be few enough."""
+    ids = ids.distinct()
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _confirmed(likely: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """Of candidate pairs (a, b): those that the full sets confirm."""
-    t = texts.join(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_semi")
+    t = _picked(texts, likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))))
     t = written(t, name + "-texts")
     full = likely.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return written(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(n, percent), "a long, b long"), name + "-links")
@@ -129,7 +137,7 @@ def _shingle_rows(n: int):
 
 def _alone(texts: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """(a, own): how many of a's shingles no other text of members has. No link of a can share them."""
-    rows = texts.join(members, texts.doc_id == members.a, "left_semi").mapInArrow(_shingle_rows(n), "a long, h long")
+    rows = _picked(texts, members.select(F.col("a").alias("doc_id"))).mapInArrow(_shingle_rows(n), "a long, h long")
     once = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("a").alias("a")).filter("c = 1").groupBy("a").agg(F.count("*").alias("own"))
     return once
 
@@ -150,26 +158,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     full = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(full.join(classes, (full.set_key == classes.set_key) & (full.doc_id == classes.rep), "left_semi").select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id", "n_shingles"]), "reps")
-    band = reps.select("doc_id", F.explode("bands").alias("band"))
+    # band: its hash, in which its number is mixed; at: the number
+    band = reps.select("doc_id", F.posexplode("bands").alias("at", "band"))
     bucket = band.groupBy("band").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    member = written(band.join(bucket, "band").select("band", F.col("doc_id").alias("a"), "b"), "members")
+    member = written(band.join(bucket, "band").select("band", "at", F.col("doc_id").alias("a"), "b"), "members")
     texts = docs_of(docs.filter("doc_id is not null and text is not null"))
     near = _lanes(reps, "a").join(member.filter("a <> b").select("a", "b").distinct(), "a").join(_lanes(reps, "b"), "b")
     star = written(near.filter(_likely(percent)).select("a", "b"), "star-likely")
     links = _confirmed(star, texts, n, percent, "star")
     label = components(links, "star-components")
     # what the stars leave open: buckets that still hold more than one component
-    placed = member.join(label.withColumnRenamed("v", "a"), "a", "left").select("band", "a", F.coalesce("label", "a").alias("label"))
+    placed = member.join(label.withColumnRenamed("v", "a"), "a", "left").select("band", "at", "a", F.coalesce("label", "a").alias("label"))
     open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
     rest = written(placed.join(open_, "band", "left_semi"), "open")
     # a shingle that no other open text has is in no intersection: that bounds every link of a text from above
     alone = _alone(texts, rest.select("a").distinct(), n)
     sized = rest.select("a").distinct().join(reps, F.col("a") == reps.doc_id).join(alone, "a", "left").select("doc_id", "n_shingles", "sketch", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most"))
     sized = written(sized.filter(100 * F.col("most") >= percent * F.col("n_shingles")), "open-sizes")
-    one = rest.join(_lanes(sized, "a"), "a").join(sized.select(F.col("doc_id").alias("a"), F.col("most").alias("most_a")), "a")
+    earlier = reps.select(F.col("doc_id").alias("a"), F.transform("bands", lambda x: x.cast("int")).alias("bands_a"))
+    one = rest.join(_lanes(sized, "a"), "a").join(sized.select(F.col("doc_id").alias("a"), F.col("most").alias("most_a")), "a").join(earlier, "a")
+    # of the bands before its own, a row keeps 32 bits each: a pair counts in the first band that both share
+    one = one.withColumn("bands_a", F.slice("bands_a", F.lit(1), F.col("at"))).drop("at")
     two = one.select("band", F.col("label").alias("label_b"), *(F.col(c).alias("b" + c[1:] if c[0] == "a" else c[:-1] + "b") for c in one.columns if c not in ("band", "label")))
     most = F.least("most_a", "most_b")
-    cross = one.join(two, (one.band == two.band) & (F.col("label") > F.col("label_b")) & _likely(percent) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)))
+    new = ~F.exists(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), lambda same: same)
+    cross = one.join(two, (one.band == two.band) & (F.col("label") > F.col("label_b")) & _likely(percent) & new & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)))
     cross = written(cross.select("a", "b").distinct().join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "cross-likely")
     more = _confirmed(cross, texts, n, percent, "cross")
     if more.limit(1).count():
