@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     alone = _alone(texts, rest.select("a").distinct(), n)
     sized = rest.select("a").distinct().join(reps, F.col("a") == reps.doc_id).join(alone, "a", "left").select("doc_id", "n_shingles", "sketch", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most"))
     sized = written(sized.filter(100 * F.col("most") >= percent * F.col("n_shingles")), "open-sizes")
-    earlier = reps.select(F.col("doc_id").alias("a"), F.transform("bands", lambda x: x.cast("int")).alias("bands_a"))
+    earlier = reps.select(F.col("doc_id").alias("a"), F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands_a"))
     one = rest.join(_lanes(sized, "a"), "a").join(sized.select(F.col("doc_id").alias("a"), F.col("most").alias("most_a")), "a").join(earlier, "a")
     # of the bands before its own, a row keeps 32 bits each: a pair counts in the first band that both share
     one = one.withColumn("bands_a", F.slice("bands_a", F.lit(1), F.col("at"))).drop("at")
