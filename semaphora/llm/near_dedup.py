@@ -173,12 +173,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     rest = written(placed.join(open_, "band", "left_semi"), "open")
     # a shingle that no other open text has is in no intersection: that bounds every link of a text from above
     alone = _alone(texts, rest.select("a").distinct(), n)
-    sized = rest.select("a").distinct().join(reps, F.col("a") == reps.doc_id).join(alone, "a", "left").select("doc_id", "n_shingles", "sketch", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most"))
-    sized = written(sized.filter(100 * F.col("most") >= percent * F.col("n_shingles")), "open-sizes")
-    earlier = reps.select(F.col("doc_id").alias("a"), F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands_a"))
-    one = rest.join(_lanes(sized, "a"), "a").join(sized.select(F.col("doc_id").alias("a"), F.col("most").alias("most_a")), "a").join(earlier, "a")
-    # of the bands before its own, a row keeps 32 bits each: a pair counts in the first band that both share
-    one = one.withColumn("bands_a", F.slice("bands_a", F.lit(1), F.col("at"))).drop("at")
+    # of the bands 32 bits each: a pair counts in the first band that both share
+    short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int"))
+    sized = rest.select("a").distinct().join(reps, F.col("a") == reps.doc_id).join(alone, "a", "left").select("a", F.col("n_shingles").alias("n_a"), *(F.col("sketch")[i].alias(f"a{i}") for i in range(LANES)), short.alias("bands_a"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most_a"))
+    sized = written(sized.filter(100 * F.col("most_a") >= percent * F.col("n_a")), "open-sizes")
+    # a row for each document, with its open bands (BANDS at most); dealt to bands only after the joins
+    one = rest.groupBy("a").agg(F.min("label").alias("label"), F.collect_list(F.struct("at", "band")).alias("open")).join(sized, "a")
+    one = one.withColumn("o", F.explode("open")).withColumn("band", F.col("o.band")).withColumn("bands_a", F.slice("bands_a", F.lit(1), F.col("o.at"))).drop("open", "o")
     two = one.select("band", F.col("label").alias("label_b"), *(F.col(c).alias("b" + c[1:] if c[0] == "a" else c[:-1] + "b") for c in one.columns if c not in ("band", "label")))
     most = F.least("most_a", "most_b")
     new = ~F.exists(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), lambda same: same)
