@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import dataset, review, validation
+    from . import dataset, documents, review, validation
 
-    return [validation, dataset, review]
+    return [validation, dataset, review, documents]
 
 
 def all_queries() -> dict:
