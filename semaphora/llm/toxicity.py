@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .expressions import let
 
-#: Bounds of the fit: labelled rows that lexica are mined from, rows that the label model and the classifier see.
+#: Bounds of the fit: labelled rows that lexica are mined from, rows that the classifier sees. The label model sees all.
 MAX_LABELLED, MAX_ROWS = 20_000, 20_000
 FEATURES = 1 << 17
 STEMS = (5, 7)
@@ -74,16 +75,19 @@ class Voters:
 
     def votes(self, words: Column, stems: Column, text: Column) -> Column:
         """A string of a character for each voter: 1 toxic, 0 clean, - no vote."""
-        of = lambda terms: F.array(*map(F.lit, terms)).cast("array<string>")
-        any_ = lambda among, terms: F.arrays_overlap(among, of(terms))
         every_word, every_stem = sum(self.lexica, []), sum(self.stems, [])
         hit = lambda cond: F.when(cond, "1").otherwise("-")
-        absent = lambda among, terms: F.when(any_(among, terms), "-").otherwise("0")
-        seen = F.size(F.array_intersect(words, of(every_word))) + F.size(F.array_intersect(stems, of(every_stem)))
-        return F.concat(
-            *(hit(any_(words, x)) for x in self.lexica), *(hit(any_(stems, x)) for x in self.stems),
-            hit(F.lower(F.coalesce(text, F.lit(""))).rlike(rf"\b({INSULTS})\b")), hit(seen >= 2), absent(words, every_word), absent(stems, every_stem),
+        among = lambda terms: lambda x: x.isin(terms)
+        any_ = lambda found, terms: F.exists(found, among(terms)) if terms else F.lit(False)
+        listed = lambda found, terms: F.filter(found, among(terms)) if terms else F.array().cast("array<string>")
+        absent = lambda found: F.when(F.size(found) > 0, "-").otherwise("0")
+        insulting = F.lower(F.coalesce(text, F.lit(""))).rlike(rf"\b({INSULTS})\b")
+        # the few listed words and stems of a text are picked once, then looked up in each list
+        of = lambda w, s: F.concat(
+            *(hit(any_(w, x)) for x in self.lexica), *(hit(any_(s, x)) for x in self.stems),
+            hit(insulting), hit(F.size(w) + F.size(s) >= 2), absent(w), absent(s),
         )
+        return let(listed(words, every_word), lambda w: let(listed(stems, every_stem), lambda s: of(w, s)))
 
 
 @dataclass
@@ -151,7 +155,8 @@ def _tf(df: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, unlabelled: DataFrame, max_labelled: int = MAX_LABELLED, max_rows: int = MAX_ROWS) -> Toxicity:
     """labelled: rows (doc_id, text, label 0/1) that lexica are mined from; unlabelled: rows (doc_id, text) whose votes
-    fit the label model and whose posteriors train the classifier. Both are bounded samples (documented parameters).
+    fit the label model, all of them, and whose posteriors train the classifier. The labelled rows and the rows of the
+    classifier are bounded samples (documented parameters); only counts of vote patterns reach the driver.
 
     Null texts and labels don't count. If either label is missing there is no classifier, and every score is 0."""
     labelled = sampled(labelled.filter("doc_id is not null and text is not null and label is not null"), max_labelled)
@@ -165,12 +170,14 @@ def fit(labelled: DataFrame, unlabelled: DataFrame, max_labelled: int = MAX_LABE
     words = mined(rows.select("label", F.explode("words").alias("term")), toxic, clean)
     stems = mined(rows.select("label", F.explode("stems").alias("term")), toxic, clean)
     voters = Voters(dealt(words, LEXICA), dealt(stems, STEM_LISTS))
-    seen = sampled(unlabelled.filter("doc_id is not null and text is not null"), max_rows)
-    seen = seen.select("text", words_of(F.col("text")).alias("_words")).withColumn("_stems", stems_of(F.col("_words")))
-    seen = written(seen.select("_words", "_stems", voters.votes(F.col("_words"), F.col("_stems"), F.col("text")).alias("votes")), "votes")
-    patterns = [(r["votes"], r["n"]) for r in seen.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()]  # at most 3 to the number of voters
+    votes = voters.votes(F.col("_words"), F.col("_stems"), F.col("text")).alias("votes")
+    every = unlabelled.filter("text is not null").select("doc_id", "text", words_of(F.col("text")).alias("_words")).withColumn("_stems", stems_of(F.col("_words")))
+    patterns = [(r["votes"], r["n"]) for r in every.select(votes).groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()]  # at most 2 to the number of voters
     if not patterns:
         return Toxicity(voters, None, None)
+    rows = sampled(unlabelled.filter("doc_id is not null and text is not null"), max_rows)
+    rows = rows.select("text", words_of(F.col("text")).alias("_words")).withColumn("_stems", stems_of(F.col("_words")))
+    seen = written(rows.select("_words", "_stems", votes), "votes")
     model = label_model([p for p, _ in patterns], [n for _, n in patterns])
     posterior = model.posterior(_coded([p for p, _ in patterns]))
     by_votes = seen.sparkSession.createDataFrame([(p, float(x)) for (p, _), x in zip(patterns, posterior, strict=True)], "votes string, posterior double")

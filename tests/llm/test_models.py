@@ -63,6 +63,22 @@ def test_label_model_finds_accuracies_and_repeats():
     assert np.mean((model.posterior(votes) > 0.5) == y) > 0.95
 
 
+def test_label_model_sees_every_row(spark):
+    rows = [(i, ("vile grumf " if i % 5 == 0 else "kind words ") + f"about thing{i % 7}", int(i % 5 == 0)) for i in range(400)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    # toxic rows stand only where the least hashes don't reach
+    unlabelled = labelled.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).filter("label = 0 or h > 400000000").select("doc_id", "text")
+    few, every = (toxicity.fit(labelled, unlabelled, max_rows=n).labels for n in (40, 20_000))
+    assert few.prior == every.prior and np.array_equal(few.rates, every.rates) and np.array_equal(few.weights, every.weights)
+
+
+def test_votes(spark):
+    voters = toxicity.Voters([["vile", "grumf"], ["awful"], []], [["horri"], []])
+    df = spark.createDataFrame([(t,) for t in ("vile awful", "horrible idiot", "fine", None)], "text string").withColumn("w", toxicity.words_of(F.col("text")))
+    df = df.withColumn("s", toxicity.stems_of(F.col("w")))
+    assert [r[0] for r in df.select(voters.votes(F.col("w"), F.col("s"), F.col("text"))).collect()] == ["11----1-0", "---1-1-0-", "-------00", "-------00"]
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet").select("doc_id", "lang")
     rows = language_id_query(spark, MID).filter("held_out").join(docs.filter("lang is not null"), "doc_id").collect()
