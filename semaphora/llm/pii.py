@@ -25,7 +25,17 @@ DATE = r"(?<![0-9./\-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9\-]|\.[0-9])"
-CANDIDATE = "|".join((EMAIL, IBAN, IPV4, DATE, SSN, PHONE, CARD))
+# An IBAN or card reaches over all words or numbers that follow it, so that what a match takes in can be tried whole.
+IBAN_RUN, CARD_RUN = rf"{IBAN}(?: [A-Z0-9]++(?![A-Za-z]))*+", r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,}+"
+CANDIDATE = "|".join((EMAIL, IBAN_RUN, IPV4, DATE, SSN, PHONE, CARD_RUN))
+# Lengths of IBANs by country, and the numbers that card issuers give.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+ISSUED = r"^(?:4[0-9]{15}|4[0-9]{12}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|6[0-9]{15}|3[47][0-9]{13}|3[0689][0-9]{12}|35[0-9]{14})$"
+#: More characters than any value that a run can hold, with the character before it.
+WINDOW = 100
 FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
 #: Steps of the walk to a date of the same form; each step ends it with a chance of three in five.
 WALK = 40
@@ -197,10 +207,59 @@ def restore(value: Column, kind: Column, key: str) -> Column:
     return _swapped(value, kind, key, True)
 
 
+def _at_start(window: Column) -> Column:
+    """(sure, maybe): the value that stands right behind the first character of window, each null if there is none.
+
+    Sure are an IBAN of its country's length, a card as issuers number them, a date, a number that stands alone; maybe
+    are any other valid IBAN and card. The longest counts."""
+    get = lambda pattern: F.regexp_extract(window, f"^.({pattern})", 1)
+    first = lambda values, ok: F.get(F.filter(values, lambda v: (v != "") & ok(v)), F.lit(0))
+    by_country = "|".join(f"(?:{'|'.join(lands.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, lands in IBAN_LENGTHS.items())
+    iban = F.array(get(rf"(?:{by_country})(?![A-Za-z0-9])"))
+    other = F.array(*map(get, (IPV4, DATE, SSN, PHONE)))
+    cards = F.when(window.rlike("^.[0-9]"), F.array(*(get(rf"[0-9](?:[ \-]?[0-9]){{{n - 1}}}(?![0-9])") for n in range(19, 12, -1))))
+    ibans = F.when(window.rlike("^.[A-Z]{2}[0-9]{2}"), F.array(*(get(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in range(34, 14, -1))))
+    is_card = lambda v: let(_only(v, "0-9"), lambda d: luhn(d) & ~d.rlike("^0+$"))
+    known = lambda v: kind_of(v).isNotNull()
+    sure = F.coalesce(first(iban, iban_valid), first(cards, lambda v: _only(v, "0-9").rlike(ISSUED) & is_card(v)), first(other, known))
+    return F.struct(sure.alias("sure"), F.coalesce(first(cards, is_card), first(ibans, iban_valid)).alias("maybe"))
+
+
+def _inside(run: Column) -> Column:
+    """The valid values inside a run that is none as a whole, as (before, value): what stands before each, and the value;
+    at the end (the rest, '').
+
+    From each word or number on, left to right: what is sure counts; what is only maybe a value counts unless it
+    reaches into one that is sure."""
+    words = F.split(run, r"[ \-]")
+    ats = F.aggregate(words, F.array(F.lit(0)), lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + F.length(w) + 1), lambda acc: F.slice(acc, 1, F.size(acc) - 1))
+    padded = F.concat(F.lit(" "), run)
+    options = F.transform(ats, lambda at: let(_at_start(padded.substr(at + 1, F.lit(WINDOW))), lambda o: F.struct(at.alias("at"), o["sure"].alias("sure"), o["maybe"].alias("maybe"))))
+
+    def scan(options: Column) -> Column:
+        sure = F.filter(options, lambda o: o["sure"].isNotNull())
+        reaches = lambda o: F.exists(sure, lambda x: (x["at"] > o["at"]) & (x["at"] < o["at"] + F.length(o["maybe"])))
+        value = lambda o: F.coalesce(o["sure"], F.when(o["maybe"].isNotNull() & ~reaches(o), o["maybe"]))
+        chosen = F.filter(F.transform(options, lambda o: F.struct(o["at"].alias("at"), value(o).alias("value"))), lambda o: o["value"].isNotNull())
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<before:string,value:string>>").alias("out"))
+        before = lambda acc, at: run.substr(acc["end"] + 1, at - acc["end"])
+        piece = lambda before, value: F.struct(before.alias("before"), value.alias("value"))
+        add = lambda acc, o: F.when(o["at"] < acc["end"], acc).otherwise(F.struct((o["at"] + F.length(o["value"])).alias("end"), F.array_append(acc["out"], piece(before(acc, o["at"]), o["value"])).alias("out")))
+        return F.aggregate(chosen, start, add, lambda acc: F.array_append(acc["out"], piece(before(acc, F.length(run)), F.lit(""))))
+
+    return let(options, scan)
+
+
 def _found(text: Column, key: str) -> Column:
-    """(gaps, values, kinds, pseudonyms) of a text; a value that isn't valid has no kind and stays."""
-    one = lambda m: let(kind_of(m), lambda k: F.struct(m.alias("value"), k.alias("kind"), F.when(k.isNotNull(), pseudonym(m, k, key)).alias("pseudonym")))
-    none = F.array().cast("array<struct<value:string,kind:string,pseudonym:string>>")
+    """For each match in text its pieces (before, value, kind, pseudonym); a value that isn't valid has no kind and stays.
+
+    A match is one piece, but an invalid one of several words or numbers is tried again in parts."""
+    swapped = lambda before, v, k: F.struct(before.alias("before"), v.alias("value"), k.alias("kind"), F.when(k.isNotNull(), pseudonym(v, k, key)).alias("pseudonym"))
+    whole = lambda m: F.array(F.struct(F.lit("").alias("before"), m.alias("value")))
+    again = lambda m: m.rlike("^[A-Z0-9 -]*[ -][A-Z0-9 -]*$") & ~m.rlike(f"^(?:{DATE}|{SSN}|{PHONE})$")
+    pieces = lambda m: let(kind_of(m), lambda k: F.when(k.isNull() & again(m), _inside(m)).otherwise(whole(m)))
+    one = lambda m: F.transform(pieces(m), lambda p: let(kind_of(p["value"]), lambda k: swapped(p["before"], p["value"], k)))
+    none = F.array().cast("array<array<struct<before:string,value:string,kind:string,pseudonym:string>>>")
     return F.when(text.rlike("[0-9@]"), F.transform(matches(text, CANDIDATE), one)).otherwise(none)
 
 
@@ -208,10 +267,14 @@ def _between(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), gaps(text, CANDIDATE)).otherwise(F.array(text))
 
 
+def _joined(pieces: Column, new: bool) -> Column:
+    """The text of a match, as it was or with its pseudonyms."""
+    return F.array_join(F.transform(pieces, lambda p: F.concat(p["before"], F.coalesce(p["pseudonym"], p["value"]) if new else p["value"])), "")
+
+
 def _rewritten(text: Column, found: Column) -> Column:
-    new = lambda f: F.coalesce(f["pseudonym"], f["value"])
-    parts = lambda between: F.array_join(F.concat(F.transform(found, lambda f, i: F.concat(F.get(between, i), new(f))), F.array(F.element_at(between, -1))), "")
-    return F.when(F.exists(found, lambda f: f["kind"].isNotNull()), let(_between(text), parts)).otherwise(text)
+    parts = lambda between: F.array_join(F.concat(F.transform(found, lambda f, i: F.concat(F.get(between, i), _joined(f, True))), F.array(F.element_at(between, -1))), "")
+    return F.when(F.exists(found, lambda f: F.exists(f, lambda p: p["kind"].isNotNull())), let(_between(text), parts)).otherwise(text)
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
@@ -229,8 +292,10 @@ def findings(docs: DataFrame, key: str) -> DataFrame:
 
     Whole texts; null and empty texts give no row; ids pass through, nulls too."""
     rows = docs.select("doc_id", F.col("text").alias("_text"), _found(F.col("text"), key).alias("found"))
-    at = let(_between(F.col("_text")), lambda between: starts(F.transform(F.col("found"), lambda f: f["value"]), between))
-    rows = rows.filter(F.size("found") > 0).select("doc_id", F.explode(F.arrays_zip(F.col("found"), at.alias("start"))).alias("f"))
+    at = let(_between(F.col("_text")), lambda between: starts(F.transform(F.col("found"), lambda f: _joined(f, False)), between))
+    inner = lambda f, i: F.length(_joined(F.slice(f, F.lit(1), i), False)) + F.length(F.get(f, i)["before"])
+    rows = rows.filter(F.size("found") > 0).select("doc_id", F.explode(F.arrays_zip(F.col("found"), at.alias("start"))).alias("m"))
+    rows = rows.select("doc_id", F.explode(F.transform(F.col("m.found"), lambda p, i: F.struct(p.alias("found"), (F.col("m.start") + inner(F.col("m.found"), i)).alias("start")))).alias("f"))
     value = F.col("f.found.value")
     return rows.filter(F.col("f.found.kind").isNotNull()).select("doc_id", F.col("f.found.kind").alias("kind"), F.col("f.start").cast("long").alias("start"), F.length(value).cast("long").alias("length"), F.sha2(value, 256).alias("value_sha256"), F.col("f.found.pseudonym").alias("pseudonym"))
 
@@ -238,6 +303,6 @@ def findings(docs: DataFrame, key: str) -> DataFrame:
 def summarised(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_found, kinds (sorted, each once), clean_text for every document; nulls as in pseudonymised()."""
     rows = docs.select("doc_id", F.col("text").alias("_text"), _found(F.col("text"), key).alias("found"))
-    valid = F.filter("found", lambda f: f["kind"].isNotNull())
+    valid = F.filter(F.flatten("found"), lambda f: f["kind"].isNotNull())
     kinds = F.array_sort(F.array_distinct(F.transform(valid, lambda f: f["kind"])))
     return rows.select("doc_id", F.coalesce(F.size(valid), F.lit(0)).cast("long").alias("n_found"), kinds.alias("kinds"), _rewritten(F.col("_text"), F.col("found")).alias("clean_text"))

@@ -66,6 +66,24 @@ def test_texts(spark):
     assert new[1] == text and new[3] == "none"
 
 
+def test_values_beside_short_words_and_numbers(spark):
+    cases = [
+        ("ES9121000418450200051332 BIC", ["ES9121000418450200051332"]), ("AT611904300234573201 EUR", ["AT611904300234573201"]), ("4111111111111111 123", ["4111111111111111"]),
+        ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]), ("12 4111 1111 1111 1111", ["4111 1111 1111 1111"]), ("1234 4111 1111 1111 1111 9", ["4111 1111 1111 1111"]),
+        ("7 4111 1111 1111 1111 2024-01-05 x", ["4111 1111 1111 1111", "2024-01-05"]), ("ES91 2100 0418 4502 0005 1332 4111 1111 1111 1111", ["ES91 2100 0418 4502 0005 1332", "4111 1111 1111 1111"]),
+        ("4111-1111-1111-1111-123", ["4111-1111-1111-1111"]), ("4111 1111 1111 1112 2", []), ("12 " * 3000, None),
+    ]
+    docs = spark.createDataFrame([(i, f"a: {t} b") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got, new = {i: [] for i in range(len(cases))}, {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs, "k").collect()}
+    for r in sorted(pii.findings(docs, "k").collect(), key=lambda r: r["start"]):
+        text = f"a: {cases[r['doc_id']][0]} b"
+        got[r["doc_id"]].append(text[r["start"] : r["start"] + r["length"]])
+        assert new[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["pseudonym"]
+    for i, (text, values) in enumerate(cases):
+        assert values is None or got[i] == values, (text, got[i])
+        assert len(new[i]) == len(text) + 5 and not any(v in new[i] for v in values or [])
+
+
 def test_query_leaves_no_value(spark, sf):
     rows = pii_query(spark, sf).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
