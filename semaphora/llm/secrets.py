@@ -1,6 +1,7 @@
 """Secret scanning: candidate strings, judged by a random forest that removes false positives.
 
-Candidates are runs of key characters with a digit or a known prefix. A random forest on their length, character
+Candidates are runs of key characters with a digit or a known prefix, and whatever value stands right after a secret
+word with = or :, quoted or up to white space. A random forest on their length, character
 transitions, dictionary coverage, path and neighbouring words, trained from labelled findings, decides which are
 secrets. Everything is DataFrame functions and Spark's own DataFrame-based forest.
 """
@@ -27,6 +28,10 @@ SAFE_PATHS = "(^|[/_.-])(test|tests|spec|mock|mocks|fixture|fixtures|sample|samp
 
 _KEY = r"A-Za-z0-9+/_\-"
 CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9]|{PREFIXES})[{_KEY}]{{12,}}+={{0,2}}+"
+#: What stands behind a secret word with = or :, in its quotes or up to white space; it may hold or be another candidate.
+_LABEL = rf"(?<=[=:]\s{{0,3}}[\"']?)(?<=(?i:{SECRET_WORDS})(?:[ _-]?(?i:key))?[\"']?\s{{0,3}}[=:]\s{{0,3}}"
+LABELLED = rf"{_LABEL}\")[^\"\r\n]{{4,200}}+(?=\")|{_LABEL}')[^'\r\n]{{4,200}}+(?=')|{_LABEL})(?![\"'])[^\s\"']{{3,199}}[^\s\"',;.)\]}}]"
+REFERENCES = r"^[<$*%{]|[.\[(](env|environ|getenv|getpass|get|config)\b|\bprocess\.|\(\)|^(config|settings|secrets|vault)[.\[:]"
 _LOWER, _UPPER, _DIGITS, _MARKS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-="
 TREES, DEPTH, SEED = 30, 7, 17
 REPLACEMENT = "[SECRET]"
@@ -58,6 +63,8 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
         "hex": flag(c.rlike("^[0-9a-f]+$")),
         "decimal": flag(c.rlike("^[0-9_/-]+$")),
         "uuid": flag(low.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
+        "others": 1 - _share(c, r"A-Za-z0-9+/_=\-"),
+        "reference": flag(low.rlike(REFERENCES)),
         "slug": F.least(F.regexp_count(c, F.lit("[-/_]")), F.lit(10)).cast("double"),
         "secret_word": flag(near.rlike(SECRET_WORDS)),
         "secret_after": flag(F.lower(F.left(after, F.lit(32))).rlike(SECRET_WORDS)),
@@ -70,7 +77,7 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
 
 FEATURES = [
     "length", "digits", "upper", "lower", "transitions", "common_pairs", "distinct", "dictionary", "prefix", "placeholder",
-    "hex", "decimal", "uuid", "slug", "secret_word", "secret_after", "digest_word", "assigned", "quoted", "safe_path",
+    "hex", "decimal", "uuid", "others", "reference", "slug", "secret_word", "secret_after", "digest_word", "assigned", "quoted", "safe_path",
 ]
 
 
@@ -111,6 +118,11 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (0, F.concat(pick("your_api_key_here_", "EXAMPLEKEY", "xxxxxxxxxxxx", "changeme_placeholder_", "dummy_token_value_"), F.pmod(i, F.lit(1000)).cast("string"), F.lit("1234")), key),
         (0, hexed(40), F.lit("")),
         (0, F.concat(F.lit("sha512-"), plain), pick('integrity "', "integrity: ")),
+        (1, F.concat(F.initcap(F.substring(word(x, 1), 1, 5)), F.substring(digits, 1, 2), F.substring(word(y, 3), 1, 3), F.substring(digits, 9, 1)), key),
+        (1, F.concat(word(x, 1), word(x, 20), F.substring(word(y, 20), 1, 7)), pick('password = "', "password=", 'secret: "', 'passphrase="')),
+        (1, F.concat(F.initcap(F.substring(word(x, 1), 1, 6)), pick("!", "#", "@", "$", "&"), F.substring(word(y, 1), 1, 4), pick("#", "?", "%", "^"), F.substring(digits, 1, 4), F.substring(word(x, 9), 1, 1)), pick('password="', "password=", "pwd: ", 'secret = "')),
+        (0, pick("required", "string", "none", "true", "false", "null", "optional", "invalid", "expired", "enabled", "missing", "undefined", "default", "password", "basic", "bearer"), pick("password: ", "token: ", "secret=", "auth: ", 'token = "', "password=", "Authorization: ")),
+        (0, pick("<password>", "${PASSWORD}", "os.environ[PASSWORD]", "process.env.TOKEN", "getpass.getpass()", "config.secret", "********", "{{token}}", "$TOKEN"), key),
         (0, some(size), key),
     ]
     kind = F.pmod(i, F.lit(len(forms)))
@@ -133,10 +145,11 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Every candidate in every whole text: doc_id, text_key, path, start (characters before it), candidate, and up to 48
     characters before and after. Null and empty texts have none; repeated rows have theirs each."""
     where = F.col(path).cast("string") if path else F.lit("")
-    part = docs.filter(F.col("text").rlike(CANDIDATE)).select("doc_id", F.col("text").alias("_t"), F.xxhash64("text").alias("text_key"), where.alias("path"))
+    part = docs.filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(LABELLED)).select("doc_id", F.col("text").alias("_t"), F.xxhash64("text").alias("text_key"), where.alias("path"))
     one = lambda found, between, at: F.transform(found, lambda c, i: F.struct(F.get(at, i).alias("start"), c.alias("candidate"), F.right(F.get(between, i), F.lit(48)).alias("before"), F.left(F.get(between, i + 1), F.lit(48)).alias("after")))
-    every = let(matches(F.col("_t"), CANDIDATE), lambda found: let(gaps(F.col("_t"), CANDIDATE), lambda between: let(starts(found, between), lambda at: one(found, between, at))))
-    return part.select("doc_id", "text_key", "path", F.explode(every).alias("c")).select("doc_id", "text_key", "path", "c.*")
+    every = lambda pattern: let(matches(F.col("_t"), pattern), lambda found: let(gaps(F.col("_t"), pattern), lambda between: let(starts(found, between), lambda at: one(found, between, at))))
+    both = let(every(LABELLED), lambda labelled: F.concat(labelled, F.filter(every(CANDIDATE), lambda c: ~F.exists(labelled, lambda x: (x["start"] == c["start"]) & (x["candidate"] == c["candidate"])))))
+    return part.select("doc_id", "text_key", "path", F.explode(both).alias("c")).select("doc_id", "text_key", "path", "c.*")
 
 
 def findings(docs: DataFrame, model: PipelineModel, path: str | None = None, least: float = 0.4) -> DataFrame:
@@ -157,10 +170,18 @@ def redacted(docs: DataFrame, model: PipelineModel, path: str | None = None, lea
     joined = whole.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     text = F.col("_row.text")
 
+    def apart(spans: Column) -> Column:
+        """Spans in order, those that overlap as one."""
+        end = lambda s: s["start"] + s["length"]
+        last = lambda acc: F.element_at(acc, -1)
+        joined = lambda acc, s: F.struct(last(acc)["start"].alias("start"), (F.greatest(end(last(acc)), end(s)) - last(acc)["start"]).alias("length"))
+        add = lambda acc, s: F.when(end(last(acc)) > s["start"], F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), joined(acc, s))).otherwise(F.array_append(acc, s))
+        return F.aggregate(F.slice(spans, F.lit(2), F.size(spans)), F.slice(spans, 1, 1), add)
+
     def cut(spans: Column) -> Column:
         end = lambda k: F.get(spans, k)["start"] + F.get(spans, k)["length"]
         before = F.transform(spans, lambda s, k: F.concat(text.substr((F.when(k > 0, end(k - 1)).otherwise(F.lit(0)) + 1).cast("int"), (s["start"] - F.when(k > 0, end(k - 1)).otherwise(F.lit(0))).cast("int")), F.lit(REPLACEMENT)))
         return F.concat(F.array_join(before, ""), text.substr((end(F.size(spans) - 1) + 1).cast("int"), F.length(text)))
 
-    clean = F.when(F.col("_spans").isNull(), text).otherwise(cut(F.col("_spans")))
+    clean = F.when(F.col("_spans").isNull(), text).otherwise(let(apart(F.col("_spans")), cut))
     return joined.select(*(clean.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -47,6 +47,18 @@ def test_secrets(spark):
     assert not any(re.fullmatch("[0-9]{13,19}", docs[i][s : s + 19].split(" ")[0]) for i, s in hits)
 
 
+def test_labelled_values_are_judged(spark):
+    model = secrets.train(secrets.labelled_findings(spark))
+    cases = {
+        "set password=Tr0ub4dor3 now": "set password=[SECRET] now", 'password = "correcthorsebatterystaple" end': 'password = "[SECRET]" end', 'x password="S3cure!Pass#2024x" y': 'x password="[SECRET]" y',
+        "the password: required here": None, "password=${PASSWORD} ok": None, "no label Tr0ub4dor3 here": None, 'token: "use ghp_a8Kd93jfLs02mPq7RtXw5zBnC4vY6uE1hG0k now"': "",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(docs, model).collect()}
+    for i, (text, clean) in enumerate(cases.items()):
+        assert out[i] == (text if clean is None else clean) if clean != "" else "ghp_" not in out[i], (text, out[i])
+
+
 def test_redaction(spark):
     model = secrets.train(secrets.labelled_findings(spark))
     text = 'set password=b7db7aa4a5fcc78305 and token = "ce0cc631f6559e745b37cb8be6fc63ae2d235c5f" at commit 0123456789abcdef0123456789abcdef01234567 end'
