@@ -82,21 +82,25 @@ class LanguageFilters:
             found = found & self.masks[((grams >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64)]
         return found
 
-    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Corrected hits, a row for each text and a column for each language; whether a text has a letter."""
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Corrected hits, a row for each text and a column for each language; whether a text has a letter; its n-grams."""
         grams, of, has = _grams(texts)
         total = np.bincount(of, minlength=len(texts))
         masks, hits = self.probe(grams), np.zeros((len(texts), len(self.languages)))
         for bit in range(len(self.languages)):
             hits[:, bit] = np.bincount(of[(masks >> np.uint64(bit)) & np.uint64(1) == 1], minlength=len(texts))
-        return np.maximum(0, (hits - total[:, None] * self.false_positive) / (1 - self.false_positive)), has
+        return np.maximum(0, (hits - total[:, None] * self.false_positive) / (1 - self.false_positive)), has, total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        counts, has = self.counts(texts)
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The languages, their scores, and the share of a text's n-grams that its language knows."""
+        counts, has, grams = self.counts(texts)
         best, total = counts.argmax(axis=1), counts.sum(axis=1)
         best = np.where(total > 0, best, self.fallback)
         top = counts[np.arange(len(texts)), best]
-        return [self.languages[b] if h else "und" for b, h in zip(best, has, strict=True)], np.where(has & (total > 0), top / np.maximum(total, 1e-9), 0.0)
+        return [self.languages[b] if h else "und" for b, h in zip(best, has, strict=True)], np.where(has & (total > 0), top / np.maximum(total, 1e-9), 0.0), np.where(has, top / np.maximum(grams, 1), 0.0)
 
 
 def _count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,28 +142,29 @@ def fit(train: DataFrame, max_docs: int = 20_000, share: float = 2e-5, ratio: fl
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, *keep: str) -> DataFrame:
-    """doc_id, the columns keep, lang_pred and score for every document of docs (doc_id, text).
+    """doc_id, the columns keep, lang_pred, score and coverage for every document of docs (doc_id, text).
 
     lang_pred is 'und', with score 0, where the text is null or has no letter. score is the share of the decided
     language in all languages' corrected hits; if no n-gram is known, the most frequent language with score 0.
-    Whole texts count, repeated rows are predicted alike, and null ids pass through."""
+    coverage is the share of the text's n-grams that the decided language knows; it does not depend on how many
+    languages there are. Whole texts count, repeated rows are predicted alike, and null ids pass through."""
     schema = docs.select("doc_id", *keep).schema
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
-            lang, score = filters.predict(texts_of(batch, "_text")) if filters.languages else (["und"] * batch.num_rows, np.zeros(batch.num_rows))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            lang, *figures = filters.judged(texts_of(batch, "_text")) if filters.languages else (["und"] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in figures)], [*batch.schema.names[:-1], "lang_pred", "score", "coverage"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select("doc_id", *keep, F.col("text").alias("_text")).mapInArrow(run, f"{names}, lang_pred string, score double")
+    return docs.select("doc_id", *keep, F.col("text").alias("_text")).mapInArrow(run, f"{names}, lang_pred string, score double, coverage double")
 
 
-def accepted(docs: DataFrame, filters: LanguageFilters, least: float = 0.25) -> DataFrame:
-    """docs without those that have no language: no letter, no text, or a best language with less than least of the hits."""
-    lang, score = "__lang_pred", "__lang_score"
+def accepted(docs: DataFrame, filters: LanguageFilters, least: float = 0.4) -> DataFrame:
+    """docs without those that have no language: no letter, no text, or less than least of the n-grams known to the best language."""
+    lang, coverage = "__lang_pred", "__lang_coverage"
     rest = [c for c in docs.columns if c != "doc_id"]
-    out = identify(docs, filters, *rest).withColumnsRenamed({"lang_pred": lang, "score": score}) if not {"lang_pred", "score"} & set(rest) else None
+    out = identify(docs, filters, *rest).withColumnsRenamed({"lang_pred": lang, "coverage": coverage}) if not {"lang_pred", "score", "coverage"} & set(rest) else None
     if out is None:  # clashing names: decide by id and join
-        gone = identify(docs.select("doc_id", "text"), filters).filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct()
+        gone = identify(docs.select("doc_id", "text"), filters).filter((F.col("lang_pred") == "und") | (F.col("coverage") < least)).select("doc_id").distinct()
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return out.filter((F.col(lang) != "und") & (F.col(score) >= least)).select(docs.columns)
+    return out.filter((F.col(lang) != "und") & (F.col(coverage) >= least)).select(docs.columns)

@@ -86,6 +86,21 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet(f"{MID}/documents.parquet").filter("text is not null and lang is not null").select("doc_id", "text", "lang")
+    other = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swojej godności i swoich praw. Są oni obdarzeni rozumem.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    ]
+    foreign = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(other)], "doc_id long, text string, lang string")
+    for langs in (["en"], ["en", "fr", "de", "es"]):
+        filters = language_id.fit(docs.filter(F.col("lang").isin(langs)))
+        own = docs.filter(F.col("lang").isin(langs) & F.col("text").rlike(r"\p{L}"))
+        kept = language_id.accepted(own.union(foreign), filters)
+        assert kept.filter("doc_id < 0").count() == 0 and kept.count() >= 0.99 * own.count()
+
+
 def test_bloom_counts_are_corrected(spark):
     rows = [(i, ("the quick brown fox jumps" if i % 2 else "der schnelle braune fuchs springt") + f" {i}", "en" if i % 2 else "de") for i in range(60)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
