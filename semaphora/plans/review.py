@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..corpus import Corpus, all_ids
 from ..functions import scenes as S
-from ..operators import consensus, matching, metrics
+from ..operators import consensus, log, matching, metrics
 from ..sources.bridge import corpus, prelude
 from ..sources.shared import written
 
@@ -95,11 +95,15 @@ def translate_refs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def consensus_draft(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters across models, merged: kind by majority, place by median, support, status and draft id."""
+    """Clusters of nodes across models, merged: kind and label by majority (of ties the first model's), place by median,
+    support, status and draft id."""
     v = votes(spark, sf).drop("cluster_no", "member_pos")
     v = v.join(matching.clusters(v, DIAGONAL), ["doc", "model_no", "id"])
     ids, places, support = consensus.draft_ids(v, "nodes"), consensus.median_points(v), consensus.support(v, ["label", "kind"], 3)
-    return support.join(ids, ["doc", "cluster_no"]).join(places, ["doc", "cluster_no"]).select("doc", "draft_id", "support", "status", "disagree", "x", "y")
+    most = lambda value: log.majority(v, ["doc", "cluster_no"], value, "model_no").select("doc", "cluster_no", value)
+    for part in (ids, places, most("kind"), most("label")):
+        support = support.join(part, ["doc", "cluster_no"])
+    return support.select("doc", "draft_id", "kind", "label", "support", "status", "disagree", "x", "y")
 
 
 def edge_pair_costs(spark: SparkSession, sf: str) -> DataFrame:

@@ -82,3 +82,21 @@ def test_word_error_rate(spark, sf):
     rows = [([w for w in r["truth"].split(" ") if w], [w for w in r["predicted"].split(" ") if w]) for r in _turns(spark, sf).collect()]
     got = all_queries()["label_wer"](spark, sf).first()
     assert (got["edits"], got["words"]) == (sum(distance(a, b) for a, b in rows), sum(len(a) for a, _ in rows))
+
+
+def test_consensus_draft_has_majorities(spark, sf):
+    from semaphora.plans import review
+
+    v = review.votes(spark, sf).drop("cluster_no", "member_pos")
+    v = v.join(review.matching.clusters(v, review.DIAGONAL), ["doc", "model_no", "id"])
+    groups = {}
+    for r in v.select("doc", "cluster_no", "model_no", "kind", "label").collect():
+        groups.setdefault((r["doc"], r["cluster_no"]), []).append(r)
+
+    def most(rows, name):
+        values = [r[name] for r in sorted(rows, key=lambda r: r["model_no"])]
+        return max(dict.fromkeys(values), key=values.count)
+
+    rows = review.consensus_draft(spark, sf).collect()
+    key = lambda doc, kind, label: (doc, str(kind), str(label))
+    assert rows and sorted(key(r["doc"], r["kind"], r["label"]) for r in rows) == sorted(key(d, most(g, "kind"), most(g, "label")) for (d, _), g in groups.items())
