@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
+import mmap
+import os
+import sys
 import uuid
 from collections.abc import Iterable, Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import removed, shared_dir, written
+
+__all__ = ["removed", "shared_dir", "written"]
 MASK64 = (1 << 64) - 1
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
-
-    Only where the cluster names none (tests, a laptop) a temporary folder is made and set."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='semaphora-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def kept_as(keep: Iterable[str], taken: Iterable[str]) -> dict[str, str]:
+    """The names under which the columns keep come out: their own, but with _in after one that an output has taken."""
+    out: dict[str, str] = {}
+    for c in dict.fromkeys(keep):
+        name = c
+        while name in {*taken, *out.values()} or name != c and name in keep:
+            name += "_in"
+        out[c] = name
+    return out
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/semaphora/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def carried(docs: DataFrame, keep: Iterable[str], outputs: list[str]) -> tuple[DataFrame, str]:
+    """docs as doc_id, the columns keep under free names, and the text's bytes as the last column _text; and the
+    schema (as DDL) of all but the text."""
+    names = kept_as(keep, ["doc_id", "_text", *outputs])
+    rows = docs.select("doc_id", *(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col("text").cast("binary").alias("_text"))
+    return rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +89,10 @@ class Words:
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
 
+    def parts(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of any parts of the joined text of the last spans(); of a whole word, its hash."""
+        return mixed((self._total[end] - self._total[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+
     def spans(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
         """(hashes, word counts of the texts, starts, ends, the joined text): a word's hash depends on its bytes alone."""
         joined = b"\n".join(t or b"" for t in texts).lower()
@@ -94,7 +104,8 @@ class Words:
         start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[raw] * self._powers[: len(raw)], out=total[1:])
-        h = mixed((total[end] - total[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+        self._total = total
+        h = self.parts(start, end)
         sizes = np.fromiter((len(t or b"") for t in texts), dtype=np.int64, count=len(texts))
         last = np.cumsum(sizes + 1)
         counts = np.diff(np.searchsorted(start, last), prepend=0)
@@ -135,11 +146,43 @@ def batches(arrow: Iterable, rows: int = 512) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def mounted(folder: str) -> str:
+    """The path of a new folder for files that workers memory-map."""
+    url = urlparse(folder)
+    if url.scheme not in ("", "file"):
+        raise ValueError(f"the files are memory-mapped: mount {folder} and name the mounted folder in spark.checkpoint.dir")
+    os.makedirs(url.path, exist_ok=True)
+    return url.path
+
+
+def saved(path: str, *arrays: np.ndarray) -> None:
+    """Arrays one after the other under their sizes. A repeated task puts the same bytes in place in one step."""
+    own = f"{path}.{uuid.uuid4().hex}"
+    with open(own, "wb") as f:
+        f.write(np.array([len(a) for a in arrays], dtype=np.int64).tobytes())
+        for a in arrays:
+            f.write(a.tobytes())
+    os.replace(own, path)
+
+
+def mapped(path: str, kinds: list) -> list[np.ndarray]:
+    """The arrays of a file of saved(), mapped into memory. A missing file is an error."""
+    with open(path, "rb") as f:  # the mapping holds no file open where Python allows that
+        raw = mmap.mmap(f.fileno(), 0, prot=mmap.PROT_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+    sizes, at, out = np.frombuffer(raw, dtype=np.int64, count=len(kinds)), 8 * len(kinds), []
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected links (a, b): rows (v, label), label the smallest id reachable from v.
 
     Labels spread over links and jump along themselves (each node takes its label's label) until none changes;
-    every round is written to the shared folder. Only a count reaches the driver."""
+    every round is written to the shared folder, and what only former rounds read is removed. Only a count reaches
+    the driver. A hub's links, and the members of a giant component, are the large side of a join that adaptive
+    execution splits; what follows is a minimum, folded before its shuffle."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name + "-links")
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label"))
     labels = written(labels, name)
@@ -151,6 +194,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         jumped = spread.join(to, spread.label == to.w).select("v", F.least("label", "next").alias("label"), "old")
         jumped = written(jumped, name)
         changed = jumped.filter("label <> old").limit(1).count()
+        removed(labels, spread)
         labels = jumped.select("v", "label")
+        labels._written_to = jumped.__dict__.pop("_written_to")
         if not changed:
+            removed(both)
             return labels

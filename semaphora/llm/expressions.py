@@ -24,7 +24,25 @@ def gaps(text: Column, pattern: str) -> Column:
 
 
 def starts(found: Column, between: Column) -> Column:
-    """The character offset of each match."""
-    first = F.array(F.length(F.get(between, F.lit(0))))
-    step = lambda acc, i: F.array_append(acc, F.element_at(acc, -1) + F.length(F.get(found, i)) + F.length(F.get(between, i + 1)))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step)).otherwise(F.array().cast("array<int>"))
+    """The character offset of each match.
+
+    Lengths are summed in blocks of about the root of their number, then the blocks' sums, so that a text with very
+    many matches does not cost the square of their number."""
+    none = F.array().cast("array<int>")
+    running = lambda first, steps: F.aggregate(steps, F.array(first), lambda acc, d: F.array_append(acc, F.element_at(acc, -1) + d))
+
+    def placed(found: Column, between: Column) -> Column:
+        n = F.size(found)
+        size = F.greatest(F.lit(1), F.sqrt(n.cast("double")).cast("int"))
+        steps = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(between, i + 1)))
+        parts = let(steps, lambda s: F.transform(F.sequence(F.lit(1), n, size), lambda at: F.slice(s, at, size)))
+        total = lambda p: F.aggregate(p, F.lit(0), lambda a, d: a + d)
+
+        def joined(parts: Column) -> Column:
+            bases = running(F.length(F.get(between, F.lit(0))), F.transform(parts, total))
+            inner = lambda p, base: F.slice(running(base, p), F.lit(1), F.size(p))
+            return let(bases, lambda b: F.flatten(F.transform(parts, lambda p, k: inner(p, F.get(b, k)))))
+
+        return let(parts, joined)
+
+    return let(found, lambda f: F.when(F.size(f) > 0, let(between, lambda b: placed(f, b))).otherwise(none))
