@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, docs_of, mixed, texts_of, written
+from .common import Words, carried, mixed, texts_of, written
 
 SIZE = 1 << 16
 #: Shards of the rated rows, rounds of averaging, passes of a shard over its rows in a round.
@@ -81,7 +81,23 @@ def _featured(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in it:
         rows = list(features(texts_of(batch, "text"), words))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("grade")), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["grade", "slots", "vals"])
+        given = [batch.column(batch.schema.get_field_index(c)) for c in ("shard", "place", "grade")]
+        slots, vals = pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([*given, slots, vals], ["shard", "place", "grade", "slots", "vals"])
+
+
+def _sigma(x: float) -> float:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def gradients(q: float, grade: int, thresholds: np.ndarray) -> tuple[float, dict[int, float]]:
+    """Of the negative log-likelihood of a grade at quality q: the derivatives by q and by the thresholds around it."""
+    # P(grade) = hi - lo with hi = sigma(t_grade - q), lo = sigma(t_{grade-1} - q)
+    hi = _sigma(thresholds[grade] - q) if grade < len(thresholds) else 1.0
+    lo = _sigma(thresholds[grade - 1] - q) if grade > 0 else 0.0
+    p = max(hi - lo, 1e-9)
+    around = {grade: -hi * (1 - hi) / p, grade - 1: lo * (1 - lo) / p}
+    return (hi * (1 - hi) - lo * (1 - lo)) / p, {k: d for k, d in around.items() if 0 <= k < len(thresholds)}
 
 
 def _improved(weights: np.ndarray, thresholds: np.ndarray, round_: int, decay: float):
@@ -90,48 +106,50 @@ def _improved(weights: np.ndarray, thresholds: np.ndarray, round_: int, decay: f
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in it:
-            slots, vals = batch.column(1), batch.column(2)
-            rows += [(g, slots[i].values.to_numpy(), vals[i].values.to_numpy().astype(np.float64)) for i, g in enumerate(texts_of(batch, "grade"))]
+            slots, vals = (batch.column(batch.schema.get_field_index(c)) for c in ("slots", "vals"))
+            given = zip(texts_of(batch, "place"), texts_of(batch, "grade"), strict=True)
+            rows += [(at, g, slots[i].values.to_numpy(), vals[i].values.to_numpy().astype(np.float64)) for i, (at, g) in enumerate(given)]
+        # in the same order whatever order the rows were fetched in
+        rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
         w, t = weights.copy(), thresholds.copy()
         seen, seen_t = np.full(SIZE, 1e-2), np.full(len(t), 1e-2)
-        sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         draw = np.random.default_rng(round_)
         for _ in range(PASSES):
             for i in draw.permutation(len(rows)):
-                g, s, v = rows[i]
-                q = float(w[s] @ v)
-                # P(grade = g) = hi - lo with hi = sigma(t_g - q), lo = sigma(t_{g-1} - q)
-                hi = sigma(t[g] - q) if g < len(t) else 1.0
-                lo = sigma(t[g - 1] - q) if g > 0 else 0.0
-                p = max(hi - lo, 1e-9)
-                dq = (hi * (1 - hi) - lo * (1 - lo)) / p
+                _, g, s, v = rows[i]
+                dq, around = gradients(float(w[s] @ v), g, t)
                 grad = dq * v + decay * w[s]
                 seen[s] += grad * grad
                 w[s] -= 0.3 * grad / np.sqrt(seen[s])
-                for k, d in ((g, -hi * (1 - hi) / p), (g - 1, lo * (1 - lo) / p)):
-                    if 0 <= k < len(t):
-                        seen_t[k] += d * d
-                        t[k] -= 0.3 * d / np.sqrt(seen_t[k])
+                for k, d in around.items():
+                    seen_t[k] += d * d
+                    t[k] -= 0.3 * d / np.sqrt(seen_t[k])
                 t.sort()
-        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([t.tobytes()], pa.binary())], ["n", "w", "t"])
+        values = [pa.array([len(rows)], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([t.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(values, ["n", "w", "t"])
 
     return run
 
 
 def fit(rated: DataFrame, n_grades: int, max_rows: int = MAX_ROWS, decay: float = 1e-4) -> Ordinal:
-    """Fits on rows (doc_id, text, grade), grades 0 to n_grades-1; rows with a null grade or id don't count.
+    """Fits on rows (doc_id, text, grade), grades 0 to n_grades-1; rows with another grade, a null grade or a null id
+    don't count. A null text counts as empty.
 
     At most about max_rows rows are used, those of the least hash of doc_id (the documented bound of a fit on
-    labelled rows). Without rows all weights are 0 and every grade is as likely."""
-    rated = rated.filter("grade is not null and doc_id is not null").select("doc_id", "text", "grade")
+    labelled rows). Without rows all weights are 0 and every grade is as likely. A shard's rows are taken in an order
+    of their own, so that a task that runs again gives the same."""
+    rated = rated.filter(F.col("grade").between(0, n_grades - 1) & F.col("doc_id").isNotNull()).select("doc_id", "text", "grade")
     n = rated.count()
     if n > max_rows:
         rated = rated.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
-    rows = docs_of(rated, F.col("grade").cast("int").alias("grade")).repartition(SHARDS, F.xxhash64("doc_id"))
-    rows = written(rows.mapInArrow(_featured, "grade int, slots array<int>, vals array<float>"), "rated")
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int").alias("shard")
+    rows = rated.select(shard, F.xxhash64("doc_id", "text").alias("place"), F.col("grade").cast("int").alias("grade"), F.col("text").cast("binary").alias("text"))
+    rows = rows.repartitionById(SHARDS, "shard").mapInArrow(_featured, "shard int, place long, grade int, slots array<int>, vals array<float>")
+    rows = written(rows, "rated")
     weights, thresholds = np.zeros(SIZE), np.log((np.arange(1, n_grades)) / (n_grades - np.arange(1, n_grades)))
     for k in range(ROUNDS if n else 0):
-        parts = rows.repartition(SHARDS).mapInArrow(_improved(weights, thresholds, k, decay), "n long, w binary, t binary").filter("n > 0").collect()
+        tried = rows.repartitionById(SHARDS, "shard").mapInArrow(_improved(weights, thresholds, k, decay), "n long, w binary, t binary")
+        parts = tried.filter("n > 0").collect()  # a row for each shard
         total = sum(p["n"] for p in parts)
         weights = sum(np.frombuffer(p["w"]) * (p["n"] / total) for p in parts)
         thresholds = np.sort(sum(np.frombuffer(p["t"]) * (p["n"] / total) for p in parts))
@@ -141,8 +159,8 @@ def fit(rated: DataFrame, n_grades: int, max_rows: int = MAX_ROWS, decay: float
 def graded(docs: DataFrame, model: Ordinal, *keep: str) -> DataFrame:
     """doc_id, the columns keep, expected_grade and tail (array: P(grade > 0), P(grade > 1), ...) for every document.
 
-    Whole texts; a null text counts as empty, repeated rows are graded alike, null ids pass through."""
-    schema = docs.select("doc_id", *keep).schema
+    Whole texts; a null text counts as empty, repeated rows are graded alike, null ids pass through. A kept column
+    that is named like an output comes out with _in after its name."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -150,10 +168,11 @@ def graded(docs: DataFrame, model: Ordinal, *keep: str) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 tail = model.above(features(texts_of(batch, "_text"), words))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(tail.sum(axis=1)), pa.array(list(tail), pa.list_(pa.float64()))], [*batch.schema.names[:-1], "expected_grade", "tail"])
+                out = [pa.array(tail.sum(axis=1)), pa.array(list(tail), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*batch.schema.names[:-1], "expected_grade", "tail"])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select("doc_id", *keep, F.col("text").cast("binary").alias("_text")).mapInArrow(run, f"{names}, expected_grade double, tail array<double>")
+    rows, schema = carried(docs, keep, ["expected_grade", "tail"])
+    return rows.mapInArrow(run, f"{schema}, expected_grade double, tail array<double>")
 
 
 def selected(docs: DataFrame, model: Ordinal, grade: int = 1, least: float = 0.5) -> DataFrame:

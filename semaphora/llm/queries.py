@@ -34,11 +34,14 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 low quality, 1 good prose that is toxic, 2 good prose. kept: at least grade 1 is likelier than not."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    """Ratings: 0 low quality, 1 good prose that is toxic, 2 good prose that is not; rows that lack the label that a
+    rating needs are not rated. kept: at least grade 1 is likelier than not."""
+    good = F.col("quality") == 1
+    grade = F.when(F.col("quality") == 0, 0).when(good & (F.col("toxic") == 1), 1).when(good & (F.col("toxic") == 0), 2)
     model = quality.fit(_labelled(spark, sf_dir).select("doc_id", "text", grade.alias("grade")), 3)
     rows = quality.graded(table(spark, sf_dir, "documents"), model)
-    return rows.select("doc_id", _held_out(), "expected_grade", F.col("tail")[0].alias("p_good"), F.col("tail")[1].alias("p_best"), (F.col("tail")[0] >= 0.5).alias("kept"))
+    tail = [F.col("tail")[k].alias(name) for k, name in enumerate(("p_good", "p_best"))]
+    return rows.select("doc_id", _held_out(), "expected_grade", *tail, (F.col("tail")[0] >= 0.5).alias("kept"))
 
 
 def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
