@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
-One Bloom filter for each language, bit-sliced: slot s holds a mask with a bit for each language whose filter has
-bit s set. AND-ing the masks at an n-gram's slots gives all languages that contain it, in one look-up for all of
+One Bloom filter for each language, bit-sliced: slot s holds a mask (of as many 64-bit words as the languages need)
+with a bit for each language whose filter has bit s set. AND-ing the masks at an n-gram's slots gives all languages that contain it, in one look-up for all of
 them. A text's n-grams are looked up, each language's hits are counted and corrected for its filter's
 false-positive rate, and the largest corrected count decides.
 """
@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mixed, texts_of
+from .common import batches, carried, kept_as, mixed, texts_of
 
 SIZES = (2, 3, 4)
 SLOTS = 1 << 19
 PROBES = 3
-MAX_LANGUAGES = 64
+WORD = 64
 
 
 @functools.lru_cache(maxsize=1)
@@ -68,7 +68,8 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 @dataclass
 class LanguageFilters:
-    """languages, in the order of their bits; masks by slot; each language's false-positive rate; the fallback's bit."""
+    """languages, in the order of their bits; masks by word (of WORD languages) and slot; each language's
+    false-positive rate; the fallback's bit."""
 
     languages: list[str]
     masks: np.ndarray
@@ -76,10 +77,10 @@ class LanguageFilters:
     fallback: int
 
     def probe(self, grams: np.ndarray) -> np.ndarray:
-        """The bitmask of languages for each n-gram."""
-        found = self.masks[(grams & np.uint64(SLOTS - 1)).astype(np.int64)]
+        """The bitmask of languages for each n-gram, a row for each word of it."""
+        found = self.masks[:, (grams & np.uint64(SLOTS - 1)).astype(np.int64)]
         for i in range(1, PROBES):
-            found = found & self.masks[((grams >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64)]
+            found = found & self.masks[:, ((grams >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64)]
         return found
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,8 +88,9 @@ class LanguageFilters:
         grams, of, has = _grams(texts)
         total = np.bincount(of, minlength=len(texts))
         masks, hits = self.probe(grams), np.zeros((len(texts), len(self.languages)))
-        for bit in range(len(self.languages)):
-            hits[:, bit] = np.bincount(of[(masks >> np.uint64(bit)) & np.uint64(1) == 1], minlength=len(texts))
+        for k in range(len(self.languages)):
+            known = (masks[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1) == 1
+            hits[:, k] = np.bincount(of[known], minlength=len(texts))
         return np.maximum(0, (hits - total[:, None] * self.false_positive) / (1 - self.false_positive)), has, total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -113,32 +115,33 @@ def _count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(train: DataFrame, max_docs: int = 20_000, share: float = 2e-5, ratio: float = 0.1) -> LanguageFilters:
-    """Fits the filters on rows (doc_id, text, lang) with non-null text and lang.
+    """Fits the filters on rows (doc_id, text, lang) with non-null text and lang; a null id counts like any other.
 
-    At most about max_docs rows are used, those of the least hash of doc_id (a documented bound for a fit on
-    labelled rows). A language's filter holds the n-grams that make at least share of its n-grams, so at most
-    len(SIZES)/share of them, and at least ratio of the largest share that any language has, so that a few foreign
-    passages don't fill it. Without rows there is no language: every text is then 'und'."""
+    At most about max_docs rows are used (a documented bound for a fit on labelled rows): each language has an equal
+    part of them, of the least hashes of doc_id, or all its rows if they are fewer, so that no language is lost. A
+    language's filter holds the n-grams that make at least share of its n-grams, so at most len(SIZES)/share of them,
+    and at least ratio of the largest share that any language has, so that a few foreign passages don't fill it.
+    Without rows there is no language: every text is then 'und'. There may be any number of languages."""
     train = train.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    n = train.count()
-    if n > max_docs:
-        train = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30)))
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    languages = sorted(sizes)
+    if sum(sizes.values()) > max_docs:
+        part = [(lang, int(min(1.0, max_docs / len(languages) / n) * (1 << 30))) for lang, n in sizes.items()]
+        upto = train.sparkSession.createDataFrame(part, "_lang string, _upto long")
+        under = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_upto")
+        train = train.join(F.broadcast(upto), F.col("lang") == F.col("_lang")).filter(under).select("doc_id", "text", "lang")
     counts = train.mapInArrow(_count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     totals = counts.groupBy("lang").agg(F.sum("c").alias("total"))
     p = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("c") / F.col("total")).alias("p")).filter(F.col("p") >= share)
     rows = p.toPandas()  # at most languages / share rows
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a mask has {MAX_LANGUAGES} bits")
-    masks = np.zeros(SLOTS, dtype=np.uint64)
+    masks = np.zeros((max(1, -(-len(languages) // WORD)), SLOTS), dtype=np.uint64)
     rows = rows[rows["p"] >= ratio * rows.groupby("gram")["p"].transform("max")]
-    for bit, lang in enumerate(languages):
+    for k, lang in enumerate(languages):
         g = rows.loc[rows["lang"] == lang, "gram"].to_numpy(dtype=np.int64).view(np.uint64)
         for i in range(PROBES):
-            np.bitwise_or.at(masks, ((g >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64), np.uint64(1 << bit))
-    fill = np.array([((masks >> np.uint64(bit)) & np.uint64(1)).mean() for bit in range(len(languages))])
-    return LanguageFilters(languages, masks, fill**PROBES, max(range(len(languages)), key=lambda i: sizes[languages[i]], default=0))
+            np.bitwise_or.at(masks[k // WORD], ((g >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64), np.uint64(1 << k % WORD))
+    fill = np.array([((masks[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean() for k in range(len(languages))])
+    return LanguageFilters(languages, masks, fill**PROBES, max(range(len(languages)), key=lambda k: sizes[languages[k]], default=0))
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, *keep: str) -> DataFrame:
@@ -147,24 +150,24 @@ def identify(docs: DataFrame, filters: LanguageFilters, *keep: str) -> DataFrame
     lang_pred is 'und', with score 0, where the text is null or has no letter. score is the share of the decided
     language in all languages' corrected hits; if no n-gram is known, the most frequent language with score 0.
     coverage is the share of the text's n-grams that the decided language knows; it does not depend on how many
-    languages there are. Whole texts count, repeated rows are predicted alike, and null ids pass through."""
-    schema = docs.select("doc_id", *keep).schema
+    languages there are. Whole texts count, repeated rows are predicted alike, and null ids pass through. A kept column
+    that is named like an output comes out with _in after its name."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
-            lang, *figures = filters.judged(texts_of(batch, "_text")) if filters.languages else (["und"] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in figures)], [*batch.schema.names[:-1], "lang_pred", "score", "coverage"])
+            texts = [None if t is None else t.decode("utf-8", "replace") for t in texts_of(batch, "_text")]
+            lang, *figures = filters.judged(texts) if filters.languages else (["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)))
+            out = [pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in figures)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*batch.schema.names[:-1], "lang_pred", "score", "coverage"])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select("doc_id", *keep, F.col("text").alias("_text")).mapInArrow(run, f"{names}, lang_pred string, score double, coverage double")
+    rows, schema = carried(docs, keep, ["lang_pred", "score", "coverage"])
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, coverage double")
 
 
 def accepted(docs: DataFrame, filters: LanguageFilters, least: float = 0.4) -> DataFrame:
-    """docs without those that have no language: no letter, no text, or less than least of the n-grams known to the best language."""
-    lang, coverage = "__lang_pred", "__lang_coverage"
+    """docs without those that have no language: no letter, no text, or less than least of the n-grams known to the best
+    language. All columns stay, repeated rows and null ids as they are."""
     rest = [c for c in docs.columns if c != "doc_id"]
-    out = identify(docs, filters, *rest).withColumnsRenamed({"lang_pred": lang, "coverage": coverage}) if not {"lang_pred", "score", "coverage"} & set(rest) else None
-    if out is None:  # clashing names: decide by id and join
-        gone = identify(docs.select("doc_id", "text"), filters).filter((F.col("lang_pred") == "und") | (F.col("coverage") < least)).select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return out.filter((F.col(lang) != "und") & (F.col(coverage) >= least)).select(docs.columns)
+    names = kept_as(rest, ["doc_id", "_text", "lang_pred", "score", "coverage"])
+    known = identify(docs, filters, *rest).filter((F.col("lang_pred") != "und") & (F.col("coverage") >= least))
+    return known.select(*(F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns))
