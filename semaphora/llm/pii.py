@@ -4,12 +4,18 @@ Payment cards (Luhn), IBANs (mod 97), IPv4 addresses, social security numbers, p
 e-mail names are found, validated, and replaced by a keyed Feistel permutation within their format: digits stay
 digits, letters stay letters, check digits are right again, dates stay dates. The permutation depends on the key,
 the kind and the value alone, so equal values stay linked across documents, and restore() turns pseudonyms back.
-All of it is DataFrame functions.
+What can't be valid is permuted again until it is (cycle walking). The domain of an e-mail address stays as it is.
+
+The key never stands in a plan: a key of each kind is derived from it (HMAC-SHA256), and those reach the executors as
+the one row of a scalar subquery. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import hmac
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .expressions import gaps, let, matches, starts
@@ -37,8 +43,9 @@ ISSUED = r"^(?:4[0-9]{15}|4[0-9]{12}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|6[0-9]{15}|
 #: More characters than any value that a run can hold, with the character before it.
 WINDOW = 100
 FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
-#: Steps of the walk to a date of the same form; each step ends it with a chance of three in five.
+#: Most steps of a walk to a valid value; a step ends it with a chance of three in five (dates) or nine in ten (SSNs).
 WALK = 40
+NO_SSN = "^(000|666|9)|^.{3}00|0000$"
 KINDS = ("email", "iban", "ipv4", "date", "ssn", "card", "phone")
 
 
@@ -58,11 +65,25 @@ def _moved(ch: Column, by: Column) -> Column:
     return out
 
 
-def _salted(key: str, kind: str, round_: Column, half: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), round_.cast("string"), half.cast("string")), 256)
+def keyed(spark: SparkSession, key: str) -> Column:
+    """The keys of all kinds, derived from key, as a column: for each kind the inner and outer block of its HMAC.
+
+    It is a subquery of one row, so it may stand in a select() but not inside a function of an array."""
+    blocks = []
+    for kind in KINDS:
+        own = hmac.digest(key.encode(), kind.encode(), hashlib.sha256).ljust(64, b"\0")
+        blocks.append((bytearray(x ^ 0x36 for x in own), bytearray(x ^ 0x5C for x in own)))
+    rows = spark.createDataFrame([tuple(blocks)], ", ".join(f"{kind} struct<inner:binary,outer:binary>" for kind in KINDS))
+    return rows.select(F.struct(*KINDS).alias("keys")).scalar()
+
+
+def _salted(keys: Column, kind: str, round_: Column, half: Column) -> Column:
+    """HMAC-SHA256 of 'round|half' under the kind's key, in hex."""
+    said = F.concat_ws("|", round_.cast("string"), half.cast("string")).cast("binary")
+    return F.sha2(F.concat(keys[kind]["outer"], F.unhex(F.sha2(F.concat(keys[kind]["inner"], said), 256))), 256)
 
 
-def permuted(value: Column, key: str, kind: str, back: bool = False) -> Column:
+def permuted(value: Column, keys: Column, kind: str, back: bool = False) -> Column:
     """A Feistel permutation of strings of one format: each character stays in its class (A-Z, a-z, 0-9, other)."""
     n = F.length(value)
     half = F.floor(n / 2).cast("int")
@@ -75,18 +96,18 @@ def permuted(value: Column, key: str, kind: str, back: bool = False) -> Column:
         def with_stream(h: Column) -> Column:
             return F.array_join(F.transform(F.split(same, ""), lambda ch, k: _moved(ch, _byte(h, k) * sign)), "")
 
-        moved = F.when(F.length(same) > 0, let(_salted(key, kind, i, other), with_stream)).otherwise(same)
+        moved = F.when(F.length(same) > 0, let(_salted(keys, kind, i, other), with_stream)).otherwise(same)
         return F.struct(other.alias("l"), moved.alias("r")) if not back else F.struct(moved.alias("l"), other.alias("r"))
 
     rounds = F.sequence(F.lit(1), F.lit(ROUNDS)) if not back else F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1))
     return F.aggregate(rounds, start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
 
-def permuted_number(x: Column, a: int, b: int, key: str, kind: str, back: bool = False) -> Column:
+def permuted_number(x: Column, a: int, b: int, keys: Column, kind: str, back: bool = False) -> Column:
     """A Feistel permutation of 0 to a*b-1: two parts to the moduli a and b, each moved by a digest of the other."""
     start = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, F.lit(b)).cast("long").alias("r"))
     sign = -1 if back else 1
-    draw = lambda i, half: F.conv(_salted(key, kind, i, half).substr(1, 12), 16, 10).cast("long")
+    draw = lambda i, half: F.conv(_salted(keys, kind, i, half).substr(1, 12), 16, 10).cast("long")
 
     def step(acc: Column, i: Column) -> Column:
         left = lambda r: F.pmod(acc["l"] + F.pmod(draw(i, r), F.lit(a)) * sign, F.lit(a))
@@ -159,52 +180,61 @@ def kind_of(value: Column) -> Column:
         .when(is_(IPV4), F.when((octets[0] <= 255) & (octets[1] <= 255) & (octets[2] <= 255) & (octets[3] <= 255), F.lit("ipv4")))
         .when(is_(IBAN), F.when(iban_valid(value), F.lit("iban")))
         .when(is_(DATE), F.when(_date(value).isNotNull(), F.lit("date")))
-        .when(is_(SSN), F.when(~value.rlike("^(000|666|9)|-00-|-0000$"), F.lit("ssn")))
+        .when(is_(SSN), F.when(~digits.rlike(NO_SSN), F.lit("ssn")))
         .when(is_(PHONE), F.when(F.length(digits).between(8, 15), F.lit("phone")))
         .when(is_(CARD), F.when(luhn(digits) & ~digits.rlike("^0+$"), F.lit("card")))
     )
 
 
-def _swapped(value: Column, kind: Column, key: str, back: bool) -> Column:
+def _walked(first: Column, step, ok) -> Column:
+    """first, or what step makes of it, again and again, until it is ok. A step permutes, so the way back is as sure."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda acc, _: F.when(ok(acc), acc).otherwise(step(acc)))
+
+
+def _swapped(value: Column, kind: Column, keys: Column, back: bool) -> Column:
     digits, bare = _only(value, "0-9"), _only(value, "A-Z0-9")
-    card = let(digits, lambda d: _with_check_digit(permuted(d.substr(F.lit(1), F.length(d) - 1), key, "card", back)))
+    card = let(digits, lambda d: _with_check_digit(permuted(d.substr(F.lit(1), F.length(d) - 1), keys, "card", back)))
     country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)
     local = value.substr(F.length(country) + 1, F.length(value))
-    phone = F.concat(country, _laid_over(local, permuted(_only(local, "0-9"), key, "phone", back), "0-9"))
+    phone = F.concat(country, _laid_over(local, permuted(_only(local, "0-9"), keys, "phone", back), "0-9"))
 
     def iban(b: Column) -> Column:
-        land, body = b.substr(1, 2), permuted(b.substr(F.lit(5), F.length(b)), key, "iban", back)
-        return let(body, lambda x: F.concat(land, F.lpad((F.lit(98) - _mod97(F.concat(x, land, F.lit("00")))).cast("string"), 2, "0"), x))
+        land, body = b.substr(1, 2), permuted(b.substr(F.lit(5), F.length(b)), keys, "iban", back)
+        check = lambda x: F.lpad((F.lit(98) - _mod97(F.concat(x, land, F.lit("00")))).cast("string"), 2, "0")
+        return let(body, lambda x: F.concat(land, check(x), x))
 
     days = lambda d: F.datediff(d, F.lit(FIRST_DAY).cast("date")).cast("long")
     dated = lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), x.cast("int"))
-    other = lambda x: permuted_number(x, *DAY_PARTS, key, "date", back)
+    other = lambda x: permuted_number(x, *DAY_PARTS, keys, "date", back)
     # a date that only mm/dd/yyyy can mean stays one: the permutation goes on until the day is over 12
-    walk = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), other(x), lambda acc, _: F.when(F.dayofmonth(dated(acc)) > 12, acc).otherwise(other(acc)))
+    walk = lambda x: _walked(other(x), other, lambda day: F.dayofmonth(dated(day)) > 12)
     month_first = value.contains("/") & F.try_to_timestamp(value, F.lit("dd/MM/yyyy")).isNull()
     date = dated(let(days(_date(value)), lambda x: F.when(month_first, walk(x)).otherwise(other(x))))
+    next_ssn = lambda d: permuted(d, keys, "ssn", back)
+    ssn = _walked(next_ssn(digits), next_ssn, lambda d: ~d.rlike(NO_SSN))
     number = _octet(value, 0) * (1 << 24) + _octet(value, 1) * (1 << 16) + _octet(value, 2) * (1 << 8) + _octet(value, 3)
-    ip = let(permuted_number(number, 1 << 16, 1 << 16, key, "ipv4", back), lambda x: F.concat_ws(".", *(F.shiftright(x, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0))))
+    octets = lambda x: (F.shiftright(x, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0))
+    ip = let(permuted_number(number, 1 << 16, 1 << 16, keys, "ipv4", back), lambda x: F.concat_ws(".", *octets(x)))
     name = F.regexp_extract(value, "^([^@]*)@", 1)
     return (
-        F.when(kind == "email", F.concat(permuted(name, key, "email", back), value.substr(F.length(name) + 1, F.length(value))))
+        F.when(kind == "email", F.concat(permuted(name, keys, "email", back), value.substr(F.length(name) + 1, F.length(value))))
         .when(kind == "ipv4", ip)
         .when(kind == "iban", _laid_over(value, let(bare, iban), "A-Z0-9"))
         .when(kind == "date", _date_form(value, date))
-        .when(kind == "ssn", _laid_over(value, permuted(digits, key, "ssn", back), "0-9"))
+        .when(kind == "ssn", _laid_over(value, ssn, "0-9"))
         .when(kind == "card", _laid_over(value, card, "0-9"))
         .when(kind == "phone", phone)
     )
 
 
-def pseudonym(value: Column, kind: Column, key: str) -> Column:
-    """The pseudonym of a value of a kind."""
-    return _swapped(value, kind, key, False)
+def pseudonym(value: Column, kind: Column, keys: Column) -> Column:
+    """The pseudonym of a value of a kind; keys: a column of keyed()."""
+    return _swapped(value, kind, keys, False)
 
 
-def restore(value: Column, kind: Column, key: str) -> Column:
+def restore(value: Column, kind: Column, keys: Column) -> Column:
     """The value that a pseudonym of that kind stands for."""
-    return _swapped(value, kind, key, True)
+    return _swapped(value, kind, keys, True)
 
 
 def _at_start(window: Column) -> Column:
@@ -250,11 +280,11 @@ def _inside(run: Column) -> Column:
     return let(options, scan)
 
 
-def _found(text: Column, key: str) -> Column:
+def _found(text: Column, keys: Column) -> Column:
     """For each match in text its pieces (before, value, kind, pseudonym); a value that isn't valid has no kind and stays.
 
     A match is one piece, but an invalid one of several words or numbers is tried again in parts."""
-    swapped = lambda before, v, k: F.struct(before.alias("before"), v.alias("value"), k.alias("kind"), F.when(k.isNotNull(), pseudonym(v, k, key)).alias("pseudonym"))
+    swapped = lambda before, v, k: F.struct(before.alias("before"), v.alias("value"), k.alias("kind"), F.when(k.isNotNull(), pseudonym(v, k, keys)).alias("pseudonym"))
     whole = lambda m: F.array(F.struct(F.lit("").alias("before"), m.alias("value")))
     again = lambda m: m.rlike("^[A-Z0-9 -]*[ -][A-Z0-9 -]*$") & ~m.rlike(f"^(?:{DATE}|{SSN}|{PHONE})$")
     pieces = lambda m: let(kind_of(m), lambda k: F.when(k.isNull() & again(m), _inside(m)).otherwise(whole(m)))
@@ -277,32 +307,41 @@ def _rewritten(text: Column, found: Column) -> Column:
     return F.when(F.exists(found, lambda f: F.exists(f, lambda p: p["kind"].isNotNull())), let(_between(text), parts)).otherwise(text)
 
 
+def _looked_into(docs: DataFrame, key: str) -> DataFrame:
+    """_row (a struct of all columns of docs, so that no name of theirs can clash with one used here) and _found."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), keyed(docs.sparkSession, key).alias("_keys"))
+    return rows.select("_row", _found(F.col("_row.text"), F.col("_keys")).alias("_found"))
+
+
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs with every valid value in text replaced by its pseudonym; all rows and columns stay, in order.
 
     A null text stays null, a text without personal data unchanged; repeated rows change alike."""
-    # the columns travel as one struct, so that no name of docs can clash with a name used here
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _found(F.col("text"), key).alias("_found"))
     text = _rewritten(F.col("_row.text"), F.col("_found"))
-    return rows.select(*(text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    return _looked_into(docs, key).select(*(text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def findings(docs: DataFrame, key: str) -> DataFrame:
     """A row for each valid value: doc_id, kind, start (characters before it), length, value_sha256, pseudonym.
 
     Whole texts; null and empty texts give no row; ids pass through, nulls too."""
-    rows = docs.select("doc_id", F.col("text").alias("_text"), _found(F.col("text"), key).alias("found"))
-    at = let(_between(F.col("_text")), lambda between: starts(F.transform(F.col("found"), lambda f: _joined(f, False)), between))
+    rows = _looked_into(docs.select("doc_id", "text"), key).filter(F.size("_found") > 0)
+    at = starts(F.transform("_found", lambda f: _joined(f, False)), _between(F.col("_row.text")))
     inner = lambda f, i: F.length(_joined(F.slice(f, F.lit(1), i), False)) + F.length(F.get(f, i)["before"])
-    rows = rows.filter(F.size("found") > 0).select("doc_id", F.explode(F.arrays_zip(F.col("found"), at.alias("start"))).alias("m"))
-    rows = rows.select("doc_id", F.explode(F.transform(F.col("m.found"), lambda p, i: F.struct(p.alias("found"), (F.col("m.start") + inner(F.col("m.found"), i)).alias("start")))).alias("f"))
+    rows = rows.select("_row.doc_id", F.explode(F.arrays_zip(F.col("_found").alias("found"), at.alias("start"))).alias("m"))
+    placed = F.transform(F.col("m.found"), lambda p, i: F.struct(p.alias("found"), (F.col("m.start") + inner(F.col("m.found"), i)).alias("start")))
+    rows = rows.select("doc_id", F.explode(placed).alias("f")).filter("f.found.kind is not null")
     value = F.col("f.found.value")
-    return rows.filter(F.col("f.found.kind").isNotNull()).select("doc_id", F.col("f.found.kind").alias("kind"), F.col("f.start").cast("long").alias("start"), F.length(value).cast("long").alias("length"), F.sha2(value, 256).alias("value_sha256"), F.col("f.found.pseudonym").alias("pseudonym"))
+    return rows.select(
+        "doc_id", F.col("f.found.kind").alias("kind"), F.col("f.start").cast("long").alias("start"), F.length(value).cast("long").alias("length"),
+        F.sha2(value, 256).alias("value_sha256"), F.col("f.found.pseudonym").alias("pseudonym"),
+    )
 
 
 def summarised(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_found, kinds (sorted, each once), clean_text for every document; nulls as in pseudonymised()."""
-    rows = docs.select("doc_id", F.col("text").alias("_text"), _found(F.col("text"), key).alias("found"))
-    valid = F.filter(F.flatten("found"), lambda f: f["kind"].isNotNull())
+    valid = F.filter(F.flatten("_found"), lambda f: f["kind"].isNotNull())
     kinds = F.array_sort(F.array_distinct(F.transform(valid, lambda f: f["kind"])))
-    return rows.select("doc_id", F.coalesce(F.size(valid), F.lit(0)).cast("long").alias("n_found"), kinds.alias("kinds"), _rewritten(F.col("_text"), F.col("found")).alias("clean_text"))
+    clean = _rewritten(F.col("_row.text"), F.col("_found"))
+    n = F.coalesce(F.size(valid), F.lit(0)).cast("long")
+    return _looked_into(docs.select("doc_id", "text"), key).select("_row.doc_id", n.alias("n_found"), kinds.alias("kinds"), clean.alias("clean_text"))
