@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, components, docs_of, mixed, shingle_sets, texts_of, written
+from .common import Words, batches, components, docs_of, mixed, removed, shingle_sets, texts_of, written
 
 BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
@@ -32,6 +32,8 @@ MARGIN = 0.2
 FINE_SAMPLES, FINE_BITS, FINE_MARGIN = 2048, 4096, 0.055
 #: Ids that a task may hold to pick texts by; beyond that, texts and ids meet in a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Partners that meet the text of one document in one place.
+MEMBERS = 256
 
 
 def _parameters(samples: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -125,16 +127,25 @@ def _fine(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def _confirm(n: int, percent: int):
+    """Of rows in the order of (b, salt), the text of b itself (a null) first: the pairs whose full sets are alike enough."""
+
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, held = Words(), None, None
+        words, last, held = Words(), None, []
         for batch in batches(it):
-            keep = []
-            for b, own, other in zip(texts_of(batch, "b"), shingle_sets(texts_of(batch, "text_a"), n, words), texts_of(batch, "text_b"), strict=True):
-                if b != last:
-                    last, held = b, next(shingle_sets([other], n, words))
-                both = len(np.intersect1d(own, held, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(held) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out = []
+            columns = [texts_of(batch, c) for c in ("a", "b", "salt")]
+            for a, b, salt, own in zip(*columns, shingle_sets(texts_of(batch, "text"), n, words), strict=True):
+                if (b, salt) != last:
+                    last, held = (b, salt), []
+                if a is None:
+                    held.append(own)  # several where rows of one id differ
+                    continue
+                for hub in held:
+                    both = len(np.intersect1d(own, hub, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(hub) - both):
+                        out.append((a, b))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
 
     return run
 
@@ -146,11 +157,19 @@ def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _confirmed(likely: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """Of candidate pairs (a, b): those that the full sets confirm."""
+    """Of candidate pairs (a, b): those that the full sets confirm.
+
+    The text of b travels once for MEMBERS of its partners, which meet it in a partition of their own, in order."""
     t = _picked(texts, likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))))
     t = written(t, name + "-texts")
-    full = likely.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(n, percent), "a long, b long"), name + "-links")
+    salts = likely.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+    dealt = likely.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    members = dealt.join(t.withColumnRenamed("doc_id", "a"), "a").select("b", "salt", "a", "text")
+    hubs = dealt.select("b", "salt").distinct().join(t.withColumnRenamed("doc_id", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
+    rows = members.unionByName(hubs).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    links = written(rows.mapInArrow(_confirm(n, percent), "a long, b long").distinct(), name + "-links")
+    removed(t)
+    return links
 
 
 def _shingle_rows(n: int):
@@ -179,22 +198,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     (itself included), kept tells whether that is the document's own. n_links counts the confirmed links of the
     document's class that were needed (equal sets are one class).
 
-    A null or empty text has an empty set and is linked with nothing. Repeated rows of one doc_id are one
-    document of that id in links and come out as often as they went in; a null doc_id is kept and linked with
+    A null or empty text has an empty set and is linked with nothing. Rows of one doc_id (a number) are one document
+    in links, whatever their texts, and come out as often as they went in; a null doc_id is kept and linked with
     nothing. Other columns are ignored."""
     docs = docs.select("doc_id", "text")
     sig = written(docs_of(docs).mapInArrow(_sign(n), SIGNATURE), "signatures")
     full = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = written(full.join(classes, (full.set_key == classes.set_key) & (full.doc_id == classes.rep), "left_semi").select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id", "n_shingles"]), "reps")
+    reps = full.join(classes, (full.set_key == classes.set_key) & (full.doc_id == classes.rep), "left_semi")
+    reps = written(reps.select("doc_id", "set_key", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id", "set_key"]).drop("set_key"), "reps")
+    # the sets of an id whose rows differ belong together
+    several = full.groupBy("doc_id").agg((F.min("set_key") != F.max("set_key")).alias("differ")).filter("differ").select("doc_id")
+    own = full.join(several, "doc_id").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
     # band: its hash, in which its number is mixed; at: the number
     band = reps.select("doc_id", F.posexplode("bands").alias("at", "band"))
     bucket = band.groupBy("band").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
     member = written(band.join(bucket, "band").select("band", "at", F.col("doc_id").alias("a"), "b"), "members")
     texts = docs_of(docs.filter("doc_id is not null and text is not null"))
     near = _lanes(reps, "a").join(member.filter("a <> b").select("a", "b").distinct(), "a").join(_lanes(reps, "b"), "b")
-    star = written(near.filter(_likely(percent)).select("a", "b"), "star-likely")
-    links = _confirmed(star, texts, n, percent, "star")
+    star = written(near.filter(_likely(percent)).select("a", "b").distinct(), "star-likely")
+    links = written(_confirmed(star, texts, n, percent, "star").union(own), "links")
     label = components(links, "star-components")
     # what the stars leave open: buckets that still hold more than one component
     placed = member.join(label.withColumnRenamed("v", "a"), "a", "left").select("band", "at", "a", F.coalesce("label", "a").alias("label"))
@@ -202,20 +225,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     rest = written(placed.join(open_, "band", "left_semi"), "open")
     # a shingle that no other open text has is in no intersection: that bounds every link of a text from above
     alone = _alone(texts, rest.select("a").distinct(), n)
-    # of the bands 32 bits each: a pair counts in the first band that both share
-    short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int"))
-    sized = rest.select("a").distinct().join(reps, F.col("a") == reps.doc_id).join(alone, "a", "left").select("a", F.col("n_shingles").alias("n_a"), *(F.col("sketch")[i].alias(f"a{i}") for i in range(LANES)), short.alias("bands_a"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most_a"))
-    sized = written(sized.filter(100 * F.col("most_a") >= percent * F.col("n_a")), "open-sizes")
-    sized = written(sized.join(_fine(texts, sized.select(F.col("a").alias("doc_id")), n), "a", "left"), "open-sketches")
+    sized = rest.select("a").distinct().join(reps, F.col("a") == reps.doc_id).join(alone, "a", "left")
+    most = (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most_a")
+    sized = sized.select("a", F.col("n_shingles").alias("n_a"), *(F.col("sketch")[i].alias(f"a{i}") for i in range(LANES)), F.col("bands").alias("bands_a"), most)
+    few = written(sized.filter(100 * F.col("most_a") >= percent * F.col("n_a")), "open-sizes")
+    sized = written(few.join(_fine(texts, few.select(F.col("a").alias("doc_id")), n), "a", "left"), "open-sketches")
     # a row for each document, with its open bands (BANDS at most); dealt to bands only after the joins
     one = rest.groupBy("a").agg(F.min("label").alias("label"), F.collect_list(F.struct("at", "band")).alias("open")).join(sized, "a")
     one = one.withColumn("o", F.explode("open")).withColumn("band", F.col("o.band")).withColumn("bands_a", F.slice("bands_a", F.lit(1), F.col("o.at"))).drop("open", "o")
     two = one.select("band", F.col("label").alias("label_b"), *(F.col(c).alias("b" + c[1:] if c[0] == "a" else c[:-1] + "b") for c in one.columns if c not in ("band", "label")))
     most = F.least("most_a", "most_b")
+    # a pair counts in the first band that both share
     new = ~F.exists(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), lambda same: same)
-    cross = one.join(two, (one.band == two.band) & (F.col("label") > F.col("label_b")) & _likely(percent) & new & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)) & _finely_likely(percent))
-    cross = written(cross.select("a", "b").distinct().join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "cross-likely")
+    enough = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    cross = one.join(two, (one.band == two.band) & (F.col("label") > F.col("label_b")) & _likely(percent) & new & enough & _finely_likely(percent))
+    back = star.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    cross = written(cross.select("a", "b").distinct().join(star, ["a", "b"], "left_anti").join(back, ["a", "b"], "left_anti"), "cross-likely")
     more = _confirmed(cross, texts, n, percent, "cross")
+    removed(member, reps, star, rest, few, sized, cross)
     if more.limit(1).count():
         links = written(links.union(more), "all-links")
         label = components(links, "all-components")
@@ -229,6 +256,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near-duplicates, the one of the smallest doc_id; all columns stay."""
+    """docs with one document of each group of near-duplicates, the one of the smallest doc_id; all columns stay.
+
+    Rows of one doc_id are one document: all of them stay, or none. Null and empty texts and null ids stay."""
     gone = near_duplicates(docs, n, percent).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

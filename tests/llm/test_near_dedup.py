@@ -35,3 +35,20 @@ def test_hard_rows(spark):
     out = near_dedup.deduplicated(hard(spark))
     assert out.columns == hard(spark).columns and {5, None} <= {r["doc_id"] for r in out.collect()}
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """They are one document: what is linked with one of its texts is linked with it."""
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    docs = spark.createDataFrame([(5, one), (5, two), (3, one), (9, two), (7, "quite another text of its own")], "doc_id long, text string")
+    rows = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(3, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
+    assert sorted(r["doc_id"] for r in near_dedup.deduplicated(docs).collect()) == [3, 7]
+
+
+def test_a_hub_with_many_partners(spark):
+    """More partners than meet a text in one place."""
+    base = [f"w{k}" for k in range(120)]
+    texts = {k: " ".join(base[:119] + [f"x{k}"]) for k in range(3 * near_dedup.MEMBERS)}
+    rows = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 80).collect()
+    assert {r["component_id"] for r in rows} == {0} and len(rows) == len(texts)
