@@ -9,6 +9,7 @@ All of it is DataFrame functions.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ BIN_BITS = 7
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
 PROBES = 4
+#: Text in a range of ids, and the most ranges whose bounds a plan names.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
 
 
 def shingle_hashes(text: Column, n: int = 5) -> Column:
@@ -84,46 +87,59 @@ def fingerprints(docs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def with_next(rows: DataFrame, key: str, carried: list[str], n_buckets: int) -> DataFrame:
-    """rows with next_<c> for each c of carried: the values of the next row by descending key; after the last, the first.
+    """rows with next_<c> for each c of carried: the values of the next row by descending key (a number); after the last,
+    the first.
 
     Keys are dealt to ranges of about equal counts (percentiles of the key, measured first); in each range a window
     looks one row ahead, and a range's first row also goes to the range before it, where it closes the gap. So no
-    task orders all rows. Null keys come last; rows of one key follow each other by a hash of what they carry."""
-    rows = rows.withColumn("_k", F.coalesce(F.col(key), F.lit(-(1 << 63))))
+    task orders all rows. Null keys come last; rows of one key follow each other by a hash of what they carry, and a
+    key that fills whole ranges is split by that hash."""
+    rows = rows.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64(*carried))
     accuracy = 10 * n_buckets
-    bounds = rows.select("_k").agg(F.percentile_approx("_k", [i / n_buckets for i in range(1, n_buckets)] or [0.5], accuracy).alias("q")).first()["q"]
-    bounds = sorted(set(bounds or []))
+    percentiles = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
+    found = rows.select("_k").agg(F.percentile_approx("_k", percentiles, accuracy).alias("q")).first()["q"] or []
+    bounds, often = sorted(set(found)), {k: n for k, n in Counter(found).items() if n > 1}
     step = max(1, math.isqrt(len(bounds)))
     coarse, fine = F.lit(bounds[::step]).cast("array<bigint>"), F.lit(bounds).cast("array<bigint>")
     upto = lambda among, k: F.size(F.filter(among, lambda x: x <= k))
     block = upto(coarse, F.col("_k"))
     bucket = F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + upto(F.slice(fine, (block - 1) * step + 1, F.lit(step)), F.col("_k"))) if bounds else F.lit(0)
-    firsts = rows.select(bucket.alias("b"), "_k").groupBy("b").agg(F.max("_k").alias("k")).orderBy("b").collect()  # a row for each range
+    # of a key that several percentiles name, the rows are dealt by their hash, behind the greater keys of the range
+    parts = F.element_at(F.create_map(*(F.lit(x) for kn in often.items() for x in kn)), F.col("_k")) if often else F.lit(None)
+    part = F.coalesce(1 + F.floor((F.shiftright("_h", 48) + (1 << 15)) * parts / (1 << 16)), F.lit(0))
+    place = (part - bucket.cast("long") * (1 << 24)).alias("b")  # ascending as keys descend
+    firsts = rows.select(place, "_k", F.bitwise_not("_h").alias("n")).groupBy("b").agg(F.max(F.struct("_k", "n")).alias("x")).orderBy("b").collect()  # a row for each range
     if not firsts:
-        return rows.drop("_k").select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
-    to = {r["k"]: firsts[(i + 1) % len(firsts)]["b"] for i, r in enumerate(firsts)}
-    heads = rows.sparkSession.createDataFrame(list(to.items()), "_head long, _to int")
-    dealt = rows.withColumn("_b", bucket).join(F.broadcast(heads), F.col("_k") == F.col("_head"), "left").drop("_head")
-    dealt = dealt.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("copy")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("copy")), F.struct(F.col("_to").alias("b"), F.lit(True).alias("copy"))))))
-    w = Window.partitionBy("_at.b").orderBy("_at.copy", F.desc("_k"), F.xxhash64(*carried))
+        return rows.drop("_k", "_h").select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
+    heads = [(r["x"]["_k"], ~r["x"]["n"], firsts[i - 1]["b"]) for i, r in enumerate(firsts)]
+    heads = rows.sparkSession.createDataFrame(heads, "_head long, _head_h long, _to long")
+    dealt = rows.withColumn("_b", place).join(F.broadcast(heads), (F.col("_k") == F.col("_head")) & (F.col("_h") == F.col("_head_h")), "left")
+    own, copy = (F.struct(F.col(b).alias("b"), F.lit(c).alias("copy")) for b, c in (("_b", False), ("_to", True)))
+    dealt = dealt.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, copy))))
+    w = Window.partitionBy("_at.b").orderBy("_at.copy", F.desc("_k"), "_h")
     out = dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried)).filter(~F.col("_at.copy"))
-    return out.drop("_k", "_b", "_to", "_at")
+    return out.drop("_k", "_h", "_b", "_to", "_at", "_head", "_head_h")
 
 
 def edited_fingerprints(docs: DataFrame, n: int = 5, n_buckets: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, with likenesses.
 
     The edited text has the text's last floor(n_chars/2) code points replaced by the first as many (or all) of the
-    next document's by descending doc_id (after the last: the first). Returns doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next. Null texts are empty; other columns are ignored."""
+    next document's by descending doc_id (a number; after the last: the first). Returns doc_id, n_chars, edited_sha256,
+    fingerprint, edited_fingerprint, near_edited, near_next. Null texts are empty; null ids come last, repeated ids
+    follow each other by a hash of their texts; other columns are ignored. n_buckets: ranges of ids, by default as many
+    as the bytes of text ask for (RANGE_BYTES each)."""
     spark = docs.sparkSession
-    n_buckets = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n_buckets is None:
+        size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // RANGE_BYTES, MOST_RANGES))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(rows.withColumn("bins", bins(F.col("text"), n)), "doc_id", ["text", "bins"], n_buckets)
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), size - half), F.col("next_text").substr(F.lit(1), half))
-    rows = rows.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "bins", "next_bins").withColumn("edited_bins", bins(F.col("edited"), n))
+    rows = rows.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "bins", "next_bins")
+    rows = rows.withColumn("edited_bins", bins(F.col("edited"), n))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("bins")).alias("fingerprint"), packed(F.col("edited_bins")).alias("edited_fingerprint"),
         likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"), likeness(F.col("bins"), F.col("next_bins")).alias("near_next"),
