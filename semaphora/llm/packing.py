@@ -26,6 +26,8 @@ from .common import mixed, written
 LENGTH = 1024
 DIMENSIONS, BITS = 4, 10
 SEPARATOR = 0
+#: Tokens of a range of the curve, which one task cuts into sequences.
+RANGE_TOKENS = 4 << 20
 #: Pieces that a task remembers the ids of.
 CACHE = 3 << 18
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -213,12 +215,15 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, n_ranges: int
 
     tokenizer: path of a tokenizer file. Documents follow each other by curve_key, then doc_id; a null text is the
     separator alone, a null id is kept, repeated rows are packed as often as they stand there, and an empty table
-    gives no piece. Other columns are ignored."""
+    gives no piece. Other columns are ignored. n_ranges: ranges of the curve, by default one for RANGE_TOKENS tokens and
+    a session's partitions at least."""
     if length & (length - 1):
         raise ValueError("length has to be a power of two")
     spark = docs.sparkSession
-    n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = written(tokenised(docs, tokenizer), "tokens")
+    if n_ranges is None:
+        tokens = rows.agg(F.sum("doc_tokens").alias("n")).first()["n"] or 0
+        n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // RANGE_TOKENS))
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = [F.col("curve_key"), F.col("doc_id"), F.col("doc_tokens")]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long"

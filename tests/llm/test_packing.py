@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -44,6 +45,14 @@ def test_odd_texts(spark):
     check(packing.packed(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tokenizer_path()).collect(), texts)
 
 
+def test_random_unicode(spark):
+    draw = random.Random(8)
+    some = [*"aeT 0.,'\n\t", "'s", "'ll", "  ", "é", "ß", "ł", "Ω", "Ж", "א", "ع", "漢", "か", "한", "\u0301", "\u200b", "\u2009", "\xa0", "\x85", "\u3000", "²", "½", "Ⅷ", "🙂", "👩‍🚀", "\x00", "\x1f", "\ufffd", "\U000e0041", "_", "-"]
+    anywhere = lambda: chr(draw.choice([draw.randrange(1, 0x300), draw.randrange(0x300, 0xD800), draw.randrange(0xE000, 0x11000)]))
+    texts = {k: "".join(draw.choice(some) if draw.random() < 0.6 else anywhere() for _ in range(draw.randrange(1, 120))) for k in range(400)}
+    check(packing.packed(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tokenizer_path()).collect(), texts)
+
+
 def test_hard_rows(spark):
     rows = packing.packed(hard(spark), tokenizer_path()).collect()
     assert {r["doc_id"] for r in rows} == {r[0] for r in hard_rows()}
