@@ -105,13 +105,31 @@ class LanguageFilters:
         return [self.languages[b] if h else "und" for b, h in zip(best, has, strict=True)], np.where(has & (total > 0), top / np.maximum(total, 1e-9), 0.0), np.where(has, top / np.maximum(grams, 1), 0.0)
 
 
+#: N-grams of small batches that are counted together before they are handed on.
+HELD = 1 << 20
+
+
 def _count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(it, 2048):
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def merged() -> Iterator[pa.RecordBatch]:
+        for lang, parts in sorted(held.items()):
+            g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            c = np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], ["lang", "gram", "c"])
+        held.clear()
+
+    for batch in batches(it, 128):
         langs = np.array(texts_of(batch, "lang"), dtype=object)
         grams, of, _ = _grams(texts_of(batch, "text"))
         for lang in sorted(set(langs)):
-            g, c = np.unique(grams[(langs == lang)[of]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], ["lang", "gram", "c"])
+            held.setdefault(lang, []).append(np.unique(grams[(langs == lang)[of]], return_counts=True))
+            size += len(held[lang][-1][0])
+        if size > HELD:
+            yield from merged()
+            size = 0
+    yield from merged()
 
 
 def fit(train: DataFrame, max_docs: int = 20_000, share: float = 2e-5, ratio: float = 0.1) -> LanguageFilters:
@@ -154,7 +172,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, *keep: str) -> DataFrame
     that is named like an output comes out with _in after its name."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it):
+        for batch in batches(it, 256):
             texts = [None if t is None else t.decode("utf-8", "replace") for t in texts_of(batch, "_text")]
             lang, *figures = filters.judged(texts) if filters.languages else (["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)))
             out = [pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in figures)]
