@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scene import let
+
 # The pattern of ids and the words that fields may hold.
 ID = r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,63}$"
 NODE_KINDS = ["buffer_stop", "boundary", "joint", "switch", "crossing", "ekw", "dkw"]
@@ -30,18 +32,18 @@ PROVENANCE_KINDS = ["ground_truth", "prediction"]
 
 # A field: (what it holds, "!" required or "?" may be null or "" may be left out but not null).
 # What: a name in _plain, a list of words, a dict (an object), [dict] (a list of objects), (dict,) (a map of objects).
-GEOMETRY = {"bbox": ("numbers4", "?"), "polyline": ("list", "?"), "point": ("numbers2", "?")}
+GEOMETRY = {"bbox": ("numbers4", "?"), "polyline": ("points", "?"), "point": ("numbers2", "?")}
 _PLACED = {"geometry": (GEOMETRY, "?"), "confidence": ("unit", "?")}
 PORT_REF = {"node": ("id", "!"), "port": (PORTS, "!")}
 ATTACHMENT = {"edge": ("id", "!"), "offset": ("unit", ""), "direction": (DIRECTIONS, "!")}
-NODE = {"id": ("id", "!"), "kind": (NODE_KINDS, "!"), "label": ("text", "?"), "half_labels": ("list", ""), **_PLACED}
+NODE = {"id": ("id", "!"), "kind": (NODE_KINDS, "!"), "label": ("text", "?"), "half_labels": ("texts", ""), **_PLACED}
 EDGE = {"id": ("id", "!"), "kind": (TRACK_KINDS, ""), "label": ("text", "?"), "a": (PORT_REF, "!"), "b": (PORT_REF, "!"), **_PLACED}
 SIGNAL = {"id": ("id", "!"), "kind": (SIGNAL_KINDS, "!"), "label": ("text", "?"), "system": ("text", "?"), "at": (ATTACHMENT, "!"), **_PLACED}
 DERAILER = {"id": ("id", "!"), "label": ("text", "?"), "at": (ATTACHMENT, "!"), **_PLACED}
-ROUTE = {"id": ("id", "!"), "label": ("text", "?"), "start": ("id", "!"), "end": ("id", "!"), "path": ("ids", "!"), "switch_positions": ("object", ""), "confidence": ("unit", "?")}
+ROUTE = {"id": ("id", "!"), "label": ("text", "?"), "start": ("id", "!"), "end": ("id", "!"), "path": ("ids", "!"), "switch_positions": ("settings", ""), "confidence": ("unit", "?")}
 _SURE = {"confidence": ("unit", "?")}
 STATE = {
-    "switches": (({"position": (POSITIONS, "?"), "active_paths": ("list", "?"), "raw": ("text", "?"), **_SURE},), ""),
+    "switches": (({"position": (POSITIONS, "?"), "active_paths": ("paths", "?"), "raw": ("text", "?"), **_SURE},), ""),
     "signals": (({"aspect": (ASPECTS, ""), "raw": ("text", "?"), **_SURE},), ""),
     "tracks": (({"occupancy": (OCCUPANCY, ""), "route_set": ("flag", "?"), **_SURE},), ""),
     "derailers": (({"position": (DERAILER_POSITIONS, ""), **_SURE},), ""),
@@ -70,11 +72,21 @@ def _plain(what: str | list[str], v: Column, t: Column) -> Column:
     if isinstance(what, list):
         return (t == "STRING") & text.isin(what)
     items = F.try_variant_get(v, "$", "array<variant>")
-    numbers = lambda n: t.startswith("ARRAY") & (F.size(items) == n) & F.forall(items, lambda x: F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"))
+    type_, text_of = F.schema_of_variant, lambda x: F.try_variant_get(x, "$", "string")
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    array = lambda x, n, ok: type_(x).startswith("ARRAY") & (F.size(F.try_variant_get(x, "$", "array<variant>")) == n) & F.forall(F.try_variant_get(x, "$", "array<variant>"), ok)
+    numeric = lambda x: type_(x).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$")
+    port = lambda x: (type_(x) == "STRING") & sure(text_of(x).isin(PORTS))
+    pair = lambda x: sure(array(x, 2, port))
+    all_ = lambda ok: t.startswith("ARRAY") & F.forall(items, ok)
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    setting = lambda e: e["key"].rlike(ID) & (((type_(e["value"]) == "STRING") & sure(text_of(e["value"]).isin(POSITIONS))) | pair(e["value"]))
     return {
         "id": lambda: (t == "STRING") & text.rlike(ID), "text": lambda: t == "STRING", "flag": lambda: t == "BOOLEAN", "whole": lambda: whole, "size": lambda: whole & (number >= 1),
-        "unit": lambda: is_number & number.between(0, 1), "list": lambda: t.startswith("ARRAY"), "object": lambda: t.startswith("OBJECT"), "numbers2": lambda: numbers(2), "numbers4": lambda: numbers(4),
-        "ids": lambda: t.startswith("ARRAY") & (F.size(items) > 0) & F.forall(items, lambda x: (F.schema_of_variant(x) == "STRING") & F.coalesce(F.try_variant_get(x, "$", "string").rlike(ID), F.lit(False))),
+        "unit": lambda: is_number & number.between(0, 1), "texts": lambda: all_(lambda x: type_(x) == "STRING"), "object": lambda: t.startswith("OBJECT"),
+        "numbers2": lambda: array(v, 2, numeric), "numbers4": lambda: array(v, 4, numeric), "points": lambda: all_(lambda x: sure(array(x, 2, numeric))), "paths": lambda: all_(pair),
+        "settings": lambda: t.startswith("OBJECT") & F.forall(entries, setting),
+        "ids": lambda: t.startswith("ARRAY") & (F.size(items) > 0) & F.forall(items, lambda x: (type_(x) == "STRING") & sure(text_of(x).rlike(ID))),
     }[what]()
 
 
@@ -94,6 +106,11 @@ def _entry(path: Column, model: dict):
     return check
 
 
+def _inside(f: Column, model: dict, path: Column) -> Column:
+    """problems() of an inner object, which is taken out once."""
+    return let(f, lambda x: problems(x, model, path))
+
+
 def problems(v: Column, model: dict, path: Column) -> Column:
     """Paths at which the object v is not of the model: an array, empty if all is right.
 
@@ -106,7 +123,7 @@ def problems(v: Column, model: dict, path: Column) -> Column:
         f = _part(v, name)
         t = F.schema_of_variant(f)
         if isinstance(what, dict):
-            inner = F.when(t.startswith("OBJECT"), problems(f, what, below(name))).otherwise(one(below(name)))
+            inner = F.when(t.startswith("OBJECT"), _inside(f, what, below(name))).otherwise(one(below(name)))
         elif isinstance(what, tuple):
             inner = F.when(t.startswith("OBJECT"), F.flatten(F.transform(F.map_entries(_part(v, name, "map<string,variant>")), _entry(below(name), what[0])))).otherwise(one(below(name)))
         elif isinstance(what[0], dict):
@@ -119,14 +136,18 @@ def problems(v: Column, model: dict, path: Column) -> Column:
     return F.flatten(F.array(*parts))
 
 
+def shape_problems(body: Column) -> Column:
+    """Paths, in order and each once, at which a JSON text is not a scene document; [""] if it is no JSON object."""
+    whole = lambda v: F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), problems(v, SCENE, F.lit(""))).otherwise(F.array(F.lit("")))
+    return F.array_sort(F.array_distinct(let(F.try_parse_json(body), whole)))
+
+
 def schema_issues(docs: DataFrame, body: str = "body") -> DataFrame:
     """doc, code, path: each place at which the JSON text of docs (doc, body) is not a scene document.
 
     Text that isn't JSON, or not an object, has one issue at the path "". A null body counts as such text; repeated
     rows are reported as often as they come; each path is reported once a row."""
-    v = F.try_parse_json(F.col(body))
-    found = F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), problems(v, SCENE, F.lit(""))).otherwise(F.array(F.lit("")))
-    return docs.select("doc", F.lit("SCHEMA_INVALID").alias("code"), F.explode(F.array_distinct(found)).alias("path"))
+    return docs.select("doc", F.lit("SCHEMA_INVALID").alias("code"), F.explode(shape_problems(F.col(body))).alias("path"))
 
 
 _ELEMENT = "struct<family:string,idx:int,element:string>"

@@ -1,122 +1,185 @@
-"""The validator: every rule is a query over the canonical tables and gives issues (doc, code, severity, element_id, path).
+"""The validator: every rule is an expression over one nested row (doc, scene) and gives an array of issues (code,
+severity, element_id, path). All rules of a document are one projection: nothing is joined or shuffled, so documents
+that arrive as a stream are validated by the same call.
 
-Rules look elements up by (doc, id), where the last of equal ids wins, and report by list position. All joins are on
-doc first, so tables partitioned by doc join in place. The rules tables have some twenty rows and are broadcast.
+Look-ups by id take the last of equal ids; issues are reported by list position. Sets of ids are compared by
+array_except and maps, not by loops in loops, so that a document of thousands of elements stays cheap.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..corpus import Corpus, all_ids, endpoints, last_wins
+from ..scene import LISTS, SCENE, STATES, field, let, path_key, path_of, position_of
+from ..sources.shared import written
+from .documents import shape_problems
 
 ISSUE = ["doc", "code", "severity", "element_id", "path"]
+FOUND = "array<struct<code:string,severity:string,element_id:string,path:string>>"
+_SHORT = {path: path.split("/")[-1] for path in LISTS}
+
+
+def _at(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def issue(rows: DataFrame, code: str, element: Column | str, path: Column) -> DataFrame:
+def _issue(code: str, element: Column, path: Column) -> Column:
     severity = "warning" if code in rules.WARNINGS else "error"
-    return rows.select("doc", F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.col(element) if isinstance(element, str) else element).alias("element_id"), path.alias("path"))
+    return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), element.alias("element_id"), path.alias("path"))
 
 
-def _at(*parts: Column | str) -> Column:
-    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+def _none() -> Column:
+    return F.array().cast(FOUND)
+
+
+def _ids(items: Column | str) -> Column:
+    return F.transform(items, lambda x: x["id"])
+
+
+def _last(items: Column, ids: Column) -> Column:
+    """Of elements with equal ids the last."""
+    return F.filter(items, lambda x, i: F.array_position(F.reverse(ids), x["id"]) == F.size(ids) - i)
+
+
+def _twice(keys: Column) -> Callable[[Column, Column], Column]:
+    """Whether a key stands at position i of keys for the first time, and stands there again."""
+    return lambda key, i: (F.array_position(keys, key) == i + 1) & (F.array_position(F.reverse(keys), key) != F.size(keys) - i)
+
+
+def prepared(scenes: DataFrame) -> DataFrame:
+    """scenes (doc, scene and more) with what rules look up: lists, ids, ends of edges, maps of the last elements by id."""
+    scene = F.col("scene")
+    rows = scenes.select("*", *(field(scene, path).alias(name) for path, name in _SHORT.items()))
+    rows = rows.select("*", *(_ids(name).alias(f"{name}_ids") for name in _SHORT.values()))
+    end = lambda e, i, x: F.struct(_at("topology/edges/", i, "/", x).alias("path"), e["id"].alias("id"), e[x]["node"].alias("node"), e[x]["port"].alias("port"))
+    ends = F.flatten(F.transform("edges", lambda e, i: F.array(end(e, i, "a"), end(e, i, "b"))))
+    known = lambda name: _last(F.col(name), F.col(f"{name}_ids"))
+    rows = rows.select("*", ends.alias("ends"), *(known(n).alias(f"last_{n}") for n in ("nodes", "edges", "signals")))
+    kinds = F.map_from_arrays(_ids("last_nodes"), F.transform("last_nodes", lambda n: n["kind"]))
+    tracks = F.map_from_arrays(_ids("last_edges"), F.transform("last_edges", lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"))))
+    heads = F.map_from_arrays(_ids("last_signals"), F.transform("last_signals", lambda s: s["at"]))
+    keys = lambda name: F.coalesce(F.map_keys(scene["state"][name]), F.array().cast("array<string>"))
+    return rows.select("*", kinds.alias("kinds"), tracks.alias("tracks"), heads.alias("heads"), *(keys(n).alias(f"state_{n}") for n in STATES))
+
+
+def _every_id() -> Column:
+    of = lambda path, name: F.transform(name, lambda x, i: F.struct(x["id"].alias("id"), _at(path + "/", i).alias("path")))
+    return F.concat(*(of(path, name) for path, name in _SHORT.items()))
+
+
+def rule1_duplicate_ids() -> Column:
+    ids = F.concat(*(F.col(f"{n}_ids") for n in _SHORT.values()))
+    first = _twice(ids)
+    return F.transform(F.filter(_every_id(), lambda x, i: first(x["id"], i)), lambda x: _issue("ID_DUPLICATE", x["id"], x["path"]))
 
 
-def _absent(rows: DataFrame, key: str, among: DataFrame) -> DataFrame:
-    """Rows whose (doc, key) is no (doc, id) of among."""
-    known = among.select(F.col("doc").alias("_d"), F.col("id").alias("_i"))
-    return rows.join(known, (F.col("doc") == F.col("_d")) & (F.col(key) == F.col("_i")), "left_anti")
+def _unknown(refs: Column, among: str) -> Column:
+    return F.array_except(refs, F.col(among))
 
 
-def _look_up(rows: DataFrame, key: str, among: DataFrame, **take: str) -> DataFrame:
-    """rows with columns of the element that (doc, key) names; rows without one go."""
-    known = last_wins(among).select(F.col("doc").alias("_d"), F.col("id").alias("_i"), *(F.col(v).alias(k) for k, v in take.items()))
-    return rows.join(known, (F.col("doc") == F.col("_d")) & (F.col(key) == F.col("_i"))).drop("_d", "_i")
+def rule2_edge_references() -> Column:
+    unknown = _unknown(F.transform("ends", lambda e: e["node"]), "nodes_ids")
+    bad = F.filter("ends", lambda e: F.array_contains(unknown, e["node"]))
+    return F.when(F.size(unknown) > 0, F.transform(bad, lambda e: _issue("TOPO_DANGLING_REF", e["id"], e["path"]))).otherwise(_none())
 
 
-def _spark(c: Corpus):
-    return c.node.sparkSession
+def rule2_attachments() -> Column:
+    def of(name: str) -> Column:
+        unknown = _unknown(F.transform(name, lambda x: x["at"]["edge"]), "edges_ids")
+        placed = F.transform(name, lambda x, i: F.struct(x["id"].alias("id"), x["at"]["edge"].alias("edge"), _at(name + "/", i, "/at/edge").alias("path")))
+        bad = F.filter(placed, lambda x: F.array_contains(unknown, x["edge"]))
+        return F.when(F.size(unknown) > 0, F.transform(bad, lambda x: _issue("TOPO_DANGLING_REF", x["id"], x["path"]))).otherwise(_none())
 
+    return F.concat(of("signals"), of("derailers"))
 
-def rule1_duplicate_ids(c: Corpus) -> DataFrame:
-    place = F.struct("family_no", "idx", "path")
-    rows = all_ids(c).groupBy("doc", "id").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    return issue(rows, "ID_DUPLICATE", "id", F.col("first.path"))
 
+def rule3_ports() -> Column:
+    allowed = F.array(*(F.lit(f"{k}|{p}") for k, ports in rules.PORTS.items() for p in ports))
+    bad = lambda e: ~F.coalesce(F.array_contains(allowed, F.concat(F.try_element_at("kinds", e["node"]), F.lit("|"), e["port"])), F.lit(True))
+    return F.transform(F.filter("ends", bad), lambda e: _issue("TOPO_PORT_UNKNOWN", e["id"], e["path"]))
 
-def rule2_edge_references(c: Corpus) -> DataFrame:
-    rows = _absent(endpoints(c), "node", c.node)
-    return issue(rows, "TOPO_DANGLING_REF", "edge_id", _at("topology/edges/", F.col("edge_idx"), "/", F.col("end_name")))
 
+def rule4_port_twice() -> Column:
+    keys = F.transform("ends", lambda e: F.concat(e["node"], F.lit("/"), e["port"]))
+    first = _twice(keys)
+    used = F.transform("ends", lambda e: F.struct(e["node"].alias("node"), F.concat(e["node"], F.lit("/"), e["port"]).alias("key")))
+    return F.transform(F.filter(used, lambda e, i: first(e["key"], i)), lambda e: _issue("TOPO_PORT_DUP", e["node"], _at("topology/nodes/", e["key"])))
 
-def rule2_attachments(c: Corpus) -> DataFrame:
-    part = lambda t, f: issue(_absent(t, "at_edge", c.edge), "TOPO_DANGLING_REF", "id", _at(f + "/", F.col("idx"), "/at/edge"))
-    return part(c.signal, "signals").unionByName(part(c.derailer, "derailers"))
 
+def _listed(name: str, path: str, tail: str, code: str, bad: Callable[[Column], Column]) -> Column:
+    """An issue for each element of a list that is bad."""
+    placed = F.transform(name, lambda x, i: F.struct(bad(x).alias("bad"), x["id"].alias("id"), _at(path + "/", i, tail).alias("path")))
+    return F.transform(F.filter(placed, lambda x: x["bad"]), lambda x: _issue(code, x["id"], x["path"]))
 
-def rule3_ports(c: Corpus) -> DataFrame:
-    rows = _look_up(endpoints(c), "node", c.node, node_kind="kind")
-    known = F.broadcast(rules.ports_table(_spark(c)).withColumnsRenamed({"kind": "_k", "port": "_p"}))
-    rows = rows.join(known, (F.col("node_kind") == F.col("_k")) & (F.col("port") == F.col("_p")), "left_anti")
-    return issue(rows, "TOPO_PORT_UNKNOWN", "edge_id", _at("topology/edges/", F.col("edge_idx"), "/", F.col("end_name")))
 
+def rule5_self_loops() -> Column:
+    return _listed("edges", "topology/edges", "", "TOPO_SELF_LOOP", lambda e: e["a"]["node"] == e["b"]["node"])
 
-def rule4_port_twice(c: Corpus) -> DataFrame:
-    rows = endpoints(c).groupBy("doc", "node", "port").agg(F.count("*").alias("n")).filter("n > 1")
-    return issue(rows, "TOPO_PORT_DUP", "node", _at("topology/nodes/", F.col("node"), "/", F.col("port")))
 
+def rule6_degree() -> Column:
+    degrees = F.create_map(*(F.lit(x) for k in rules.PORTS for x in (k, rules.degree(k))))
+    at = F.transform("ends", lambda e: e["node"])
+    return _listed("nodes", "topology/nodes", "", "TOPO_DEGREE", lambda n: F.size(at) - F.size(F.array_remove(at, n["id"])) != F.element_at(degrees, n["kind"]))
 
-def rule5_self_loops(c: Corpus) -> DataFrame:
-    return issue(c.edge.filter("a_node = b_node"), "TOPO_SELF_LOOP", "id", _at("topology/edges/", F.col("idx")))
 
+def rule7_half_labels() -> Column:
+    return _listed("nodes", "topology/nodes", "/half_labels", "NODE_HALF_LABELS_UNEXPECTED", lambda n: (F.coalesce(F.size(n["half_labels"]), F.lit(0)) > 0) & ~n["kind"].isin(rules.SLIPS))
 
-def rule6_degree(c: Corpus) -> DataFrame:
-    count = endpoints(c).groupBy(F.col("doc").alias("_d"), F.col("node").alias("_n")).agg(F.count("*").alias("n"))
-    rows = c.node.join(count, (F.col("doc") == F.col("_d")) & (F.col("id") == F.col("_n")), "left").join(F.broadcast(rules.degrees_table(_spark(c))), "kind")
-    return issue(rows.filter(F.coalesce("n", F.lit(0)) != F.col("degree")), "TOPO_DEGREE", "id", _at("topology/nodes/", F.col("idx")))
 
+def out_of_bounds(geometry: Column, width: Column, height: Column) -> Column:
+    """The first of bbox, polyline, point with a coordinate outside 0 to width and 0 to height, both inclusive."""
+    inside = lambda x, y: (x >= 0) & (x <= width) & (y >= 0) & (y <= height)
+    xy = lambda p, k=0: inside(F.get(p, F.lit(k)), F.get(p, F.lit(k + 1)))
+    box, line, point = geometry["bbox"], geometry["polyline"], geometry["point"]
+    return F.when(box.isNotNull() & ~(xy(box) & xy(box, 2)), "bbox").when(F.exists(line, lambda p: ~xy(p)), "polyline").when(point.isNotNull() & ~xy(point), "point")
 
-def rule7_half_labels(c: Corpus) -> DataFrame:
-    rows = c.node.filter((F.col("n_half") > 0) & ~F.col("kind").isin(rules.SLIPS))
-    return issue(rows, "NODE_HALF_LABELS_UNEXPECTED", "id", _at("topology/nodes/", F.col("idx"), "/half_labels"))
 
+def rule8_geometry() -> Column:
+    source = F.col("scene.source")
 
-def rule8_geometry(c: Corpus) -> DataFrame:
-    """Points outside 0 to width and 0 to height, both inclusive."""
-    inside = F.col("px").between(0, F.col("width")) & F.col("py").between(0, F.col("height"))
-    rows = c.node.filter("px is not null").join(c.scene.select("doc", "width", "height"), "doc").filter(~inside)
-    return issue(rows, "GEOM_OUT_OF_BOUNDS", "id", _at("topology/nodes/", F.col("idx"), "/geometry/point"))
+    def of(path: str, name: str) -> Column:
+        placed = F.transform(name, lambda x, i: F.struct(out_of_bounds(x["geometry"], source["width"], source["height"]).alias("field"), x["id"].alias("id"), i.alias("i")))
+        bad = F.filter(placed, lambda x: x["field"].isNotNull())
+        return F.transform(bad, lambda x: _issue("GEOM_OUT_OF_BOUNDS", x["id"], _at(path + "/", x["i"], "/geometry/", x["field"])))
 
+    return F.concat(*(of(p, n) for p, n in _SHORT.items() if n != "routes"))
 
-def _states(c: Corpus):
-    """(states, what their keys may name, family, what has to have a state, path of the family)."""
-    need = c.node.filter(F.col("kind").isin(rules.SWITCHING))
-    return [(c.state_switch, c.node, "switches", need), (c.state_signal, c.signal, "signals", c.signal), (c.state_track, c.edge, "tracks", c.edge), (c.state_derailer, c.derailer, "derailers", c.derailer), (c.state_route, c.route, "routes", c.route)]
 
+#: State family -> the list that its keys may name.
+_STATED = {"switches": "nodes", "signals": "signals", "tracks": "edges", "derailers": "derailers", "routes": "routes"}
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
+def rule9_state_keys() -> Column:
+    of = lambda f, name: F.transform(_unknown(F.col(f"state_{f}"), f"{name}_ids"), lambda k: _issue("STATE_UNKNOWN_ELEMENT", k, _at(f"state/{f}/", k)))
+    return F.concat(*(of(f, name) for f, name in _STATED.items()))
 
-def rule9_state_keys(c: Corpus) -> DataFrame:
-    return _union([issue(_absent(s.select("doc", "id"), "id", known), "STATE_UNKNOWN_ELEMENT", "id", _at(f"state/{f}/", F.col("id"))) for s, known, f, _ in _states(c)])
 
+def rule14_missing_states() -> Column:
+    def of(f: str, name: str) -> Column:
+        ids = _ids(F.filter("nodes", lambda n: n["kind"].isin(rules.SWITCHING))) if f == "switches" else F.col(f"{name}_ids")
+        missing = _unknown(ids, f"state_{f}")
+        again = F.filter(ids, lambda i: F.array_contains(missing, i))  # an issue for each row of a list
+        return F.when(F.size(missing) > 0, F.transform(again, lambda i: _issue("STATE_MISSING", i, _at(f"state/{f}/", i)))).otherwise(_none())
 
-def rule14_missing_states(c: Corpus) -> DataFrame:
-    return _union([issue(_absent(need.select("doc", "id"), "id", s), "STATE_MISSING", "id", _at(f"state/{f}/", F.col("id"))) for s, _, f, need in _states(c)])
+    return F.concat(*(of(f, name) for f, name in _STATED.items()))
 
 
-def rule10_state_fields(c: Corpus) -> DataFrame:
+def _switch_states() -> Column:
+    """(id, kind, state) of the switch states whose node is known."""
+    entries = F.coalesce(F.map_entries("scene.state.switches"), F.array().cast("array<struct<key:string,value:struct<position:string,active_paths:array<array<string>>,raw:string,confidence:double>>>"))
+    rows = F.transform(entries, lambda e: F.struct(e["key"].alias("id"), F.try_element_at("kinds", e["key"]).alias("kind"), e["value"].alias("s")))
+    return F.filter(rows, lambda e: e["kind"].isNotNull())
+
+
+def rule10_state_fields() -> Column:
     """A node that isn't switching has no switch state; a switch has no paths, a slip no position."""
-    rows = _look_up(c.state_switch, "id", c.node, kind="kind")
-    field = F.when(~F.col("kind").isin(rules.SWITCHING), "").when((F.col("kind") == "switch") & F.col("paths").isNotNull(), "/active_paths").when((F.col("kind") != "switch") & F.col("position").isNotNull(), "/position")
-    rows = rows.withColumn("field", field).filter("field is not null")
-    return issue(rows, "STATE_WRONG_FIELD_FOR_KIND", "id", _at("state/switches/", F.col("id"), F.col("field")))
+    field_ = lambda e: F.when(~e["kind"].isin(rules.SWITCHING), "").when((e["kind"] == "switch") & e["s"]["active_paths"].isNotNull(), "/active_paths").when((e["kind"] != "switch") & e["s"]["position"].isNotNull(), "/position")
+    rows = F.filter(F.transform(_switch_states(), lambda e: F.struct(e["id"].alias("id"), field_(e).alias("field"))), lambda e: e["field"].isNotNull())
+    return F.transform(rows, lambda e: _issue("STATE_WRONG_FIELD_FOR_KIND", e["id"], _at("state/switches/", e["id"], e["field"])))
 
 
 def path_set_allowed(kind: Column, paths: Column) -> Column:
@@ -133,110 +196,157 @@ def path_set_allowed(kind: Column, paths: Column) -> Column:
     return (F.size(paths) == 0) | (apart & ok)
 
 
-def rule11_path_sets(c: Corpus) -> DataFrame:
+def rule11_path_sets() -> Column:
     """Slips only: other kinds have no path sets, which rule 10 reports."""
-    rows = _look_up(c.state_switch.filter("paths is not null"), "id", c.node, kind="kind").filter(F.col("kind").isin(rules.SLIPS))
-    paths = F.filter(F.split("paths", r"\|"), lambda p: p != "")
-    return issue(rows.filter(~path_set_allowed(F.col("kind"), paths)), "STATE_PATH_NOT_ALLOWED", "id", _at("state/switches/", F.col("id"), "/active_paths"))
+    bad = lambda e: e["kind"].isin(rules.SLIPS) & e["s"]["active_paths"].isNotNull() & ~path_set_allowed(e["kind"], F.transform(e["s"]["active_paths"], path_key))
+    return F.transform(F.filter(_switch_states(), bad), lambda e: _issue("STATE_PATH_NOT_ALLOWED", e["id"], _at("state/switches/", e["id"], "/active_paths")))
 
 
-def rule12_route_references(c: Corpus) -> DataFrame:
-    """References of routes, rules 2 and 12."""
-    at = lambda tail: _at("routes/", F.col("idx"), tail)
-    ids = all_ids(c).select("doc", "id").distinct()
-    unknown = issue(_absent(c.route, "start", ids), "TOPO_DANGLING_REF", "id", at("/start"))
-    known = _look_up(_absent(c.route, "start", c.signal), "start", ids.withColumn("idx", F.lit(0)))
-    not_signal = issue(known, "ROUTE_START_NOT_SIGNAL", "id", at("/start"))
-    ends = issue(_absent(_absent(c.route, "end_id", c.signal), "end_id", c.node), "TOPO_DANGLING_REF", "id", at("/end"))
-    named = c.route.select(F.col("doc").alias("_rd"), F.col("idx").alias("_ri"), F.col("id").alias("route_id"))
-    of_route = lambda rows: rows.join(named, (F.col("doc") == F.col("_rd")) & (F.col("route_idx") == F.col("_ri")))
-    paths = issue(of_route(_absent(c.route_path, "edge_id", c.edge)), "TOPO_DANGLING_REF", "route_id", _at("routes/", F.col("route_idx"), "/path/", F.col("pos")))
-    settings = issue(of_route(_absent(c.route_setting, "node_id", c.node)), "TOPO_DANGLING_REF", "route_id", _at("routes/", F.col("route_idx"), "/switch_positions/", F.col("node_id")))
-    return _union([unknown, not_signal, ends, paths, settings])
+def _settings(route: Column) -> Column:
+    return F.coalesce(route["switch_positions"], F.create_map().cast("map<string,string>"))
 
 
-_FOUND = "array<struct<code:string,element_id:string,path:string>>"
-
+def rule12_route_references() -> Column:
+    """References of routes, rules 2 and 12."""
 
-def rule13_route_walk(c: Corpus) -> DataFrame:
-    """Walks every route whose references hold: one row for a route, its edges in order, folded with aggregate().
+    def of(r: Column, i: Column) -> Column:
+        at = lambda *tail: _at("routes/", i, *tail)
+        one = lambda code, path: F.array(_issue(code, r["id"], path))
+        in_ = lambda name, x: F.array_contains(F.col(f"{name}_ids"), x)
+        anywhere = in_("nodes", r["start"]) | in_("edges", r["start"]) | in_("signals", r["start"]) | in_("derailers", r["start"]) | in_("routes", r["start"])
+        start = F.when(~anywhere, one("TOPO_DANGLING_REF", at("/start"))).when(~in_("signals", r["start"]), one("ROUTE_START_NOT_SIGNAL", at("/start"))).otherwise(_none())
+        end = F.when(in_("signals", r["end"]) | in_("nodes", r["end"]), _none()).otherwise(one("TOPO_DANGLING_REF", at("/end")))
+        steps = F.filter(F.transform(r["path"], lambda e, k: F.struct(e.alias("e"), k.alias("k"))), lambda s: ~in_("edges", s["e"]))
+        path = F.transform(steps, lambda s: _issue("TOPO_DANGLING_REF", r["id"], at("/path/", s["k"])))
+        keys = F.transform(_unknown(F.map_keys(_settings(r)), "nodes_ids"), lambda k: _issue("TOPO_DANGLING_REF", r["id"], at("/switch_positions/", k)))
+        return F.concat(start, end, path, keys)
+
+    return F.flatten(F.transform("routes", of))
+
+
+_ALLOWED = {f"{k}|{p}": rules.expected_setting(k, p) or "" for k, paths in rules.PATHS.items() for p in paths}
+
+
+def _walk(r: Column, i: Column) -> Column:
+    """The issues of one route whose references hold: its edges in order, folded with aggregate()."""
+    base = _at("routes/", i)
+    one = lambda code, element, tail: F.array(_issue(code, element, F.concat(base, tail)))
+    head, settings = F.try_element_at("heads", r["start"]), _settings(r)
+    allowed = F.create_map(*(F.lit(x) for kv in _ALLOWED.items() for x in kv))
+    first, forward = F.try_element_at("tracks", F.get(r["path"], F.lit(0))), head["direction"] == "a_to_b"
+    far = F.when(forward, first["b"]).otherwise(first["a"])
+    begun = F.struct(far["node"].alias("at"), far["port"].alias("port"), F.array().cast("array<string>").alias("walked"), _none().alias("found"), F.lit(True).alias("whole"), F.lit(0).alias("pos"))
+
+    def step(acc: Column, edge_id: Column) -> Column:
+        track = F.try_element_at("tracks", edge_id)
+        seen = F.struct(track["a"].alias("a"), track["b"].alias("b"), F.try_element_at("kinds", acc["at"]).alias("kind"), F.try_element_at(settings, acc["at"]).alias("declared"))
+
+        def met(x: Column) -> Column:
+            from_a = x["a"]["node"] == acc["at"]
+            out = F.when(from_a, x["a"]["port"]).when(x["b"]["node"] == acc["at"], x["b"]["port"])
+            setting = let(out, lambda o: F.try_element_at(allowed, F.concat_ws("|", x["kind"], path_key(F.array(acc["port"], o)))))
+            fields = {"kind": x["kind"], "declared": x["declared"], "out": out, "on": F.when(from_a, x["b"]).otherwise(x["a"]), "setting": setting}
+            return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+        def judged_step(x: Column) -> Column:
+            pos, kind, setting = acc["pos"] + 1, x["kind"], x["setting"]
+            position, switching = position_of(x["declared"]), x["kind"].isin(rules.SWITCHING)
+            fits = F.when(position.isNotNull(), (kind == "switch") & (position == setting)).otherwise(kind.isin(rules.SLIPS) & F.coalesce(path_of(x["declared"]) == setting, F.lit(False)))
+            code = (
+                F.when(x["out"].isNull(), "ROUTE_DISCONTIGUOUS").when(setting.isNull(), "ROUTE_INVALID_TRAVERSAL")
+                .when(switching & x["declared"].isNull(), "ROUTE_SWITCH_MISSING").when(switching & ~fits, "ROUTE_SWITCH_MISMATCH")
+            )
+            severity = lambda c: F.when(c == "ROUTE_SWITCH_MISSING", "warning").otherwise("error")
+            element = lambda c: F.when(c == "ROUTE_DISCONTIGUOUS", r["id"]).otherwise(acc["at"])
+            tail = lambda c: F.when(c.startswith("ROUTE_SWITCH"), _at("/switch_positions/", acc["at"])).otherwise(_at("/path/", pos))
+            issue = lambda c: F.struct(c.alias("code"), severity(c).alias("severity"), element(c).alias("element_id"), F.concat(base, tail(c)).alias("path"))
+            stop = ~acc["whole"] | kind.isNull()
+            goes = ~stop & x["out"].isNotNull()
+            found = F.when(stop, acc["found"]).otherwise(F.concat(acc["found"], F.transform(F.array_compact(F.array(code)), issue)))
+            walked = F.when(goes & setting.isNotNull() & switching, F.array_append(acc["walked"], acc["at"])).otherwise(acc["walked"])
+            at, port = (F.when(goes, x["on"][k]).otherwise(acc[old]) for k, old in (("node", "at"), ("port", "port")))
+            return F.struct(at.alias("at"), port.alias("port"), walked.alias("walked"), found.alias("found"), goes.alias("whole"), pos.alias("pos"))
+
+        return let(let(seen, met), judged_step)
+
+    def judged(walk: Column) -> Column:
+        goal = F.try_element_at("heads", r["end"])
+        end_ok = F.when(goal.isNotNull(), goal["edge"] == F.element_at(r["path"], -1)).when(F.array_contains("nodes_ids", r["end"]), r["end"] == walk["at"]).otherwise(True)
+        extra = F.filter(F.map_keys(settings), lambda k: F.array_contains("nodes_ids", k) & ~F.array_contains(walk["walked"], k))
+        extras = F.transform(extra, lambda k: _issue("ROUTE_SWITCH_MISMATCH", k, _at(base, "/switch_positions/", k)))
+        after = F.concat(F.when(end_ok, _none()).otherwise(one("ROUTE_DISCONTIGUOUS", r["id"], F.lit("/end"))), extras)
+        return F.when(walk["whole"], F.concat(walk["found"], after)).otherwise(walk["found"])
+
+    rest = F.slice(r["path"], F.lit(2), F.greatest(F.size(r["path"]) - 1, F.lit(0)))
+    walked = F.flatten(F.transform(F.array(F.aggregate(rest, begun, step)), judged))
+    fits = F.get(r["path"], F.lit(0)) == head["edge"]
+    known = head.isNotNull() & F.array_contains("edges_ids", head["edge"]) & (F.size(F.array_except(r["path"], F.col("edges_ids"))) == 0)
+    return F.when(~F.coalesce(known, F.lit(False)), _none()).when(~fits, one("ROUTE_DISCONTIGUOUS", r["id"], F.lit("/path/0"))).otherwise(walked)
+
+
+def rule13_route_walk() -> Column:
+    """Walks every route whose references hold.
 
     A route starts on its start signal's edge, leaves it at the far end, and goes on over edges that touch where it
     stands, through paths that the node allows; switching nodes have to be declared as the path needs them."""
-    spark = _spark(c)
-    edge = last_wins(c.edge).select(F.col("doc").alias("_d"), F.col("id").alias("_e"), "a_node", "a_port", "b_node", "b_port")
-    steps = c.route_path.join(edge, (F.col("doc") == F.col("_d")) & (F.col("edge_id") == F.col("_e")), "left")
-    steps = steps.groupBy(F.col("doc").alias("_pd"), "route_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "edge_id", "a_node", "a_port", "b_node", "b_port"))).alias("steps"), F.bool_and(F.col("_e").isNotNull()).alias("whole"))
-    settings = c.route_setting.groupBy(F.col("doc").alias("_sd"), F.col("route_idx").alias("_sr")).agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.struct("position", "path")))).alias("settings"))
-    kinds = last_wins(c.node).groupBy(F.col("doc").alias("_nd")).agg(F.map_from_entries(F.collect_list(F.struct("id", "kind"))).alias("kinds"))
-    signal = last_wins(c.signal).select(F.col("doc").alias("_gd"), F.col("id").alias("_g"), "at_edge", "at_dir")
-    known = last_wins(c.edge).select(F.col("doc").alias("_kd"), F.col("id").alias("_k"))
-    end = last_wins(c.signal).select(F.col("doc").alias("_ed"), F.col("id").alias("_en"), F.col("at_edge").alias("end_edge"))
-    rows = c.route.join(steps, (F.col("doc") == F.col("_pd")) & (F.col("idx") == F.col("route_idx"))).filter("whole")
-    rows = rows.join(signal, (F.col("doc") == F.col("_gd")) & (F.col("start") == F.col("_g"))).join(known, (F.col("doc") == F.col("_kd")) & (F.col("at_edge") == F.col("_k")), "left_semi")
-    rows = rows.join(end, (F.col("doc") == F.col("_ed")) & (F.col("end_id") == F.col("_en")), "left").join(kinds, F.col("doc") == F.col("_nd"), "left").join(settings, (F.col("doc") == F.col("_sd")) & (F.col("idx") == F.col("_sr")), "left")
-    base = F.concat(F.lit("routes/"), F.col("idx").cast("string"))
-    one = lambda code, element, tail: F.array(F.struct(F.lit(code).alias("code"), element.alias("element_id"), F.concat(base, tail).alias("path")))
-    none = F.array().cast(_FOUND)
-    allowed = {f"{k}|{p}": F.lit(s if s else "") for k, paths in rules.PATHS.items() for p in paths for s in [rules.expected_setting(k, p)]}
-    allowed = F.create_map(*(x for k, v in allowed.items() for x in (F.lit(k), v)))
-    first, forward = F.col("steps")[0], F.col("at_dir") == "a_to_b"
-    begun = F.struct(F.when(forward, first["b_node"]).otherwise(first["a_node"]).alias("at"), F.when(forward, first["b_port"]).otherwise(first["a_port"]).alias("port"), F.array().cast("array<string>").alias("walked"), none.alias("found"), F.lit(True).alias("whole"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kind = F.element_at("kinds", acc["at"])
-        from_a, from_b = s["a_node"] == acc["at"], s["b_node"] == acc["at"]
-        out = F.when(from_a, s["a_port"]).when(from_b, s["b_port"])
-        path = F.array_join(F.array_sort(F.array_distinct(F.array(acc["port"], out))), "-")
-        setting = F.element_at(allowed, F.concat_ws("|", kind, path))
-        declared = F.element_at("settings", acc["at"])
-        fits = F.when(declared["position"].isNotNull(), (kind == "switch") & (declared["position"] == setting)).otherwise(kind.isin(rules.SLIPS) & F.coalesce(declared["path"] == setting, F.lit(False)))
-        tail = F.concat(F.lit("/path/"), s["pos"].cast("string"))
-        at_setting = F.concat(F.lit("/switch_positions/"), acc["at"])
-        switching = kind.isin(rules.SWITCHING)
-        found = F.when(out.isNull(), one("ROUTE_DISCONTIGUOUS", F.col("id"), tail)).when(setting.isNull(), one("ROUTE_INVALID_TRAVERSAL", acc["at"], tail)).when(
-            switching & declared.isNull(), one("ROUTE_SWITCH_MISSING", acc["at"], at_setting)).when(switching & ~fits, one("ROUTE_SWITCH_MISMATCH", acc["at"], at_setting)).otherwise(none)
-        stop = ~acc["whole"] | kind.isNull()
-        halted = F.struct(acc["at"].alias("at"), acc["port"].alias("port"), acc["walked"].alias("walked"), F.when(stop, acc["found"]).otherwise(F.concat(acc["found"], found)).alias("found"), F.lit(False).alias("whole"))
-        walked = F.when(setting.isNotNull() & switching, F.array_append(acc["walked"], acc["at"])).otherwise(acc["walked"])
-        on = F.struct(F.when(from_a, s["b_node"]).otherwise(s["a_node"]).alias("at"), F.when(from_a, s["b_port"]).otherwise(s["a_port"]).alias("port"), walked.alias("walked"), F.concat(acc["found"], found).alias("found"), F.lit(True).alias("whole"))
-        return F.when(stop | out.isNull(), halted).otherwise(on)
-
-    rest = F.slice("steps", F.lit(2), F.greatest(F.size("steps") - 1, F.lit(0)))
-    rows = rows.withColumn("walk", F.when(first["edge_id"] == F.col("at_edge"), F.aggregate(rest, begun, step)))
-    end_ok = F.when(F.col("end_edge").isNotNull(), F.col("end_edge") == F.element_at("steps", -1)["edge_id"]).when(F.map_contains_key("kinds", F.col("end_id")), F.col("end_id") == F.col("walk.at")).otherwise(True)
-    extra = F.filter(F.coalesce(F.map_keys("settings"), F.array().cast("array<string>")), lambda k: F.map_contains_key(F.col("kinds"), k) & ~F.array_contains(F.col("walk.walked"), k))
-    extras = F.transform(extra, lambda k: F.struct(F.lit("ROUTE_SWITCH_MISMATCH").alias("code"), k.alias("element_id"), F.concat(base, F.lit("/switch_positions/"), k).alias("path")))
-    after = F.concat(F.when(end_ok, none).otherwise(one("ROUTE_DISCONTIGUOUS", F.col("id"), F.lit("/end"))), extras)
-    found = F.when(F.col("walk").isNull(), one("ROUTE_DISCONTIGUOUS", F.col("id"), F.lit("/path/0"))).when(F.col("walk.whole"), F.concat(F.col("walk.found"), after)).otherwise(F.col("walk.found"))
-    rows = rows.select("doc", F.explode(found).alias("x"))
-    return rows.select("doc", "x.code", F.when(F.col("x.code") == "ROUTE_SWITCH_MISSING", "warning").otherwise("error").alias("severity"), "x.element_id", "x.path")
-
-
-RULES = {
+    return F.flatten(F.transform("routes", _walk))
+
+
+RULES: dict[str, Callable[[], Column]] = {
     "rule1_dup_ids": rule1_duplicate_ids, "rule2_edge_refs": rule2_edge_references, "rule2_attachments": rule2_attachments, "rule3_ports": rule3_ports, "rule4_port_dup": rule4_port_twice,
     "rule5_self_loop": rule5_self_loops, "rule6_degree": rule6_degree, "rule7_half_labels": rule7_half_labels, "rule8_geometry": rule8_geometry, "rule9_state_keys": rule9_state_keys,
     "rule10_state_fields": rule10_state_fields, "rule11_path_sets": rule11_path_sets, "rule12_route_refs": rule12_route_references, "rule13_route_walk": rule13_route_walk, "rule14_state_missing": rule14_missing_states,
 }
 
 
-def promoted(issues: DataFrame, strict: bool) -> DataFrame:
-    """Strict validation: some warnings count as errors."""
-    return issues.withColumn("severity", F.when(F.lit(strict) & F.col("code").isin(rules.PROMOTED), "error").otherwise(F.col("severity")))
+def exploded(rows: DataFrame, issues: str = "issues") -> DataFrame:
+    """A row for each issue: doc, code, severity, element_id, path."""
+    return rows.select("doc", F.inline(issues)).select(*ISSUE)
+
+
+def apply(scenes: DataFrame, *names: str) -> DataFrame:
+    """The issues of some rules, a row each."""
+    return exploded(prepared(scenes).select("doc", F.concat(*(RULES[n]() for n in names)).alias("issues")))
 
 
-def validate(c: Corpus, strict: bool = False, structural: DataFrame | None = None) -> DataFrame:
-    """All issues of a corpus. structural: issues found before (SCHEMA_INVALID); their documents get no others."""
-    issues = promoted(_union([rule(c) for rule in RULES.values()]), strict)
-    if structural is None:
+def promoted(issues: Column, strict: bool) -> Column:
+    """Strict validation: some warnings count as errors."""
+    if not strict:
         return issues
-    return issues.join(structural.select("doc").distinct(), "doc", "left_anti").unionByName(structural.select(ISSUE))
+    severity = lambda x: F.when(x["code"].isin(rules.PROMOTED), "error").otherwise(x["severity"])
+    return F.transform(issues, lambda x: x.withField("severity", severity(x)))
+
+
+def ordered(issues: Column) -> Column:
+    """By path, code and element; nulls as empty texts."""
+    text = lambda x: F.coalesce(x, F.lit(""))
+    keyed = F.transform(issues, lambda x: F.struct(text(x["path"]).alias("p"), x["code"].alias("c"), text(x["element_id"]).alias("e"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+
+
+def validate(scenes: DataFrame, strict: bool = False, *keep: str) -> DataFrame:
+    """(doc, the columns keep, issues) of every scene (doc, scene): an array in order, empty if all is right.
+
+    One projection; repeated rows come out as often as they went in."""
+    return prepared(scenes).select("doc", *keep, ordered(promoted(F.concat(*(rule() for rule in RULES.values())), strict)).alias("issues"))
+
+
+def validate_documents(docs: DataFrame, strict: bool = False, body: str = "body") -> DataFrame:
+    """(doc, issues) of JSON texts (doc, body): where the shape is wrong, SCHEMA_INVALID and nothing else; elsewhere the
+    rules. Text that is no JSON object, a null too, has one issue at the path "".
+
+    The shape and the rules are large expressions, which Spark plans far faster one at a time: what the shape check
+    and the parsing find is written to the shared folder in between."""
+    rows = written(docs.select("doc", F.col(body).alias("body"), shape_problems(F.col(body)).alias("_wrong")), "shapes")
+    sound = F.when(F.size("_wrong") == 0, F.col("body")).otherwise(F.lit("{}"))
+    scenes = written(rows.select("doc", "_wrong", F.from_json(sound, SCENE).alias("scene")), "parsed")
+    found = validate(scenes, strict, "_wrong")
+    shape = lambda p: F.struct(F.lit("SCHEMA_INVALID").alias("code"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("element_id"), p.alias("path"))
+    return found.select("doc", F.when(F.size("_wrong") > 0, F.transform("_wrong", shape)).otherwise(F.col("issues")).alias("issues"))
 
 
-def report(c: Corpus, issues: DataFrame) -> DataFrame:
-    """A row for each document: ok, n_errors, n_warnings, and all issues in order as code@path, joined by ' '."""
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("path", F.lit("")).alias("path"), "code", F.coalesce("element_id", F.lit("")).alias("element_id"))))
-    by = issues.groupBy("doc").agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings"), order.alias("all"))
-    text = F.array_join(F.transform("all", lambda x: F.concat(x["code"], F.lit("@"), x["path"])), " ")
-    rows = c.scene.select("doc").join(by, "doc", "left")
-    return rows.select("doc", (F.coalesce("n_errors", F.lit(0)) == 0).alias("ok"), F.coalesce("n_errors", F.lit(0)).cast("long").alias("n_errors"), F.coalesce("n_warnings", F.lit(0)).cast("long").alias("n_warnings"), F.coalesce(text, F.lit("")).alias("issues"))
+def report(rows: DataFrame) -> DataFrame:
+    """Of (doc, issues): ok, n_errors, n_warnings, and all issues in order as code@path, joined by ' '."""
+    count = lambda s: F.size(F.filter("issues", lambda x: x["severity"] == s)).cast("long")
+    text = F.array_join(F.transform("issues", lambda x: F.concat(x["code"], F.lit("@"), x["path"])), " ")
+    return rows.select("doc", (count("error") == 0).alias("ok"), count("error").alias("n_errors"), count("warning").alias("n_warnings"), text.alias("issues"))

@@ -6,49 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..corpus import Corpus, all_ids, endpoints, last_wins
+from ..corpus import all_ids, endpoints, last_wins
 from ..operators import validator
-from ..sources.bridge import corpus, prelude
+from ..operators.generate import generated
+from ..scene import tables
+from ..sources.bridge import corpus, prelude, scenes
 
 
-def _kept(c: Corpus) -> Corpus:
-    """The tables that several rules read are computed once."""
-    return c.map(lambda t: t.persist())
-
-
-def _rule(rule):
-    return lambda spark, sf: rule(corpus(spark, sf))
+def _rule(name: str):
+    return lambda spark, sf: validator.apply(scenes(spark, sf), name)
 
 
 def report_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    c = _kept(corpus(spark, sf))
-    return validator.report(c, validator.validate(c))
+    return validator.report(validator.validate(scenes(spark, sf)))
 
 
 def issue_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: issues of the corpus by code and severity, validated strictly."""
-    c = _kept(corpus(spark, sf))
-    return validator.validate(c, strict=True).groupBy("code", "severity").agg(F.count("*").alias("n_issues"), F.countDistinct("doc").alias("n_docs"))
+    rows = validator.exploded(validator.validate(scenes(spark, sf), strict=True))
+    return rows.groupBy("code", "severity").agg(F.count("*").alias("n_issues"), F.countDistinct("doc").alias("n_docs"))
 
 
 def cli_totals(spark: SparkSession, sf: str) -> DataFrame:
-    c = _kept(corpus(spark, sf))
-    rows = validator.report(c, validator.validate(c))
-    return rows.agg(F.count("*").alias("files"), F.sum("n_errors").alias("errors"), F.sum("n_warnings").alias("warnings"), F.count_if("ok").alias("ok"))
+    return report_rollup(spark, sf).agg(F.count("*").alias("files"), F.sum("n_errors").alias("errors"), F.sum("n_warnings").alias("warnings"), F.count_if("ok").alias("ok"))
 
 
 def strict_promotion(spark: SparkSession, sf: str) -> DataFrame:
-    c = corpus(spark, sf)
-    parts = [validator.RULES[r](c) for r in ("rule7_half_labels", "rule8_geometry", "rule14_state_missing")]
-    return validator.promoted(parts[0].unionByName(parts[1]).unionByName(parts[2]), True)
+    names = ("rule7_half_labels", "rule8_geometry", "rule14_state_missing")
+    rows = validator.prepared(scenes(spark, sf)).select("doc", validator.promoted(F.concat(*(validator.RULES[n]() for n in names)), True).alias("issues"))
+    return validator.exploded(rows)
 
 
 def validate_staged(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents whose key divides by 7 count as structurally bad: they get SCHEMA_INVALID and nothing else."""
-    c = corpus(spark, sf)
-    bad = c.scene.filter("doc % 7 = 0").select("doc", F.lit("SCHEMA_INVALID").alias("code"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("element_id"), F.lit("").alias("path"))
-    rest = validator.rule6_degree(c).unionByName(validator.rule5_self_loops(c))
-    return rest.join(bad.select("doc"), "doc", "left_anti").unionByName(bad)
+    """Documents whose key divides by 7 count as structurally bad: they get SCHEMA_INVALID and no rule runs on them."""
+    rows = scenes(spark, sf)
+    bad = rows.filter("doc % 7 = 0").select("doc", F.lit("SCHEMA_INVALID").alias("code"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("element_id"), F.lit("").alias("path"))
+    return validator.apply(rows.filter("doc % 7 <> 0"), "rule6_degree", "rule5_self_loop").unionByName(bad)
 
 
 def path_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,20 +72,41 @@ def endpoint_map(spark: SparkSession, sf: str) -> DataFrame:
 def fill_state(spark: SparkSession, sf: str) -> DataFrame:
     """Signal states with 'unknown' where a signal has none."""
     c = corpus(spark, sf)
-    missing = validator._absent(c.signal.select("doc", "id").distinct(), "id", c.state_signal)
+    missing = c.signal.select("doc", "id").distinct().join(c.state_signal, ["doc", "id"], "left_anti")
     return c.state_signal.unionByName(missing.withColumn("value", F.lit("unknown")))
 
 
-def _table(name: str):
-    return lambda spark, sf: getattr(corpus(spark, sf), name)
+def _generated(spark: SparkSession, sf: str):
+    """Scenes of another size and other kinds than the corpus has, by the generator's arguments."""
+    doc = F.col("c_custkey")
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(doc.alias("doc"), F.pmod(doc, F.lit(7)).alias("n"))
+    kinds = F.array(*map(F.lit, ("switch", "ekw", "joint")))
+    return generated(rows, "n", lambda i: F.get(kinds, F.pmod(F.col("doc") + i, F.lit(3)).cast("int")))
+
+
+def generate_topology(spark: SparkSession, sf: str) -> DataFrame:
+    return tables(_generated(spark, sf)).edge
+
+
+def generate_scene(spark: SparkSession, sf: str) -> DataFrame:
+    """Strict validation of generated scenes: how many elements, and no issue."""
+    rows, made = validator.validate(_generated(spark, sf), strict=True), _generated(spark, sf)
+    count = lambda path: F.size(f"scene.{path}").cast("long")
+    sizes = made.select("doc", count("topology.nodes").alias("n_nodes"), count("topology.edges").alias("n_edges"), count("state.tracks").alias("n_tracks"), count("state.switches").alias("n_switches"))
+    return sizes.join(rows.select("doc", F.size("issues").cast("long").alias("n_issues")), "doc")
+
+
+def main_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours on the main line, as the route goes over them."""
+    return tables(_generated(spark, sf)).route_path
 
 
 QUERIES = {
-    **{name: _rule(rule) for name, rule in validator.RULES.items()},
+    **{name: _rule(name) for name in validator.RULES},
     "issue_counts": issue_counts, "report_rollup": report_rollup, "cli_totals": cli_totals, "strict_promotion": strict_promotion, "validate_staged": validate_staged, "path_rules": path_rules,
     "all_ids": lambda spark, sf: all_ids(corpus(spark, sf)).select("doc", "family", "idx", "id", "path"), "node_map": node_map, "graph_degree": graph_degree, "endpoints": endpoint_map, "fill_state": fill_state,
-    "elements": lambda spark, sf: corpus(spark, sf).node.select("doc", "idx", "id", "kind"), "generate_topology": _table("edge"), "generate_scene": _table("route_setting"), "main_line": lambda spark, sf: corpus(spark, sf).route_path,
-    "route_switch_settings": lambda spark, sf: validator.rule13_route_walk(corpus(spark, sf)).filter(F.col("code").startswith("ROUTE_SWITCH")),
+    "elements": lambda spark, sf: corpus(spark, sf).node.select("doc", "idx", "id", "kind"), "generate_topology": generate_topology, "generate_scene": generate_scene, "main_line": main_line,
+    "route_switch_settings": lambda spark, sf: validator.apply(scenes(spark, sf), "rule13_route_walk").filter(F.col("code").startswith("ROUTE_SWITCH")),
 }
 
 _IDS = """ids AS (SELECT doc, 0 AS f, 'topology/nodes' AS family, idx, id FROM node UNION ALL SELECT doc, 1, 'topology/edges', idx, id FROM edge UNION ALL SELECT doc, 2, 'signals', idx, id FROM signal
@@ -118,7 +132,7 @@ _RULE_SQL = {
     "rule5_self_loop": _issue("TOPO_SELF_LOOP", "id", "'topology/edges/' || idx", "edge WHERE a_node = b_node"),
     "rule6_degree": _issue("TOPO_DEGREE", "id", "'topology/nodes/' || idx", f"(SELECT n.*, degree, (SELECT count(*) FROM ends WHERE ends.doc = n.doc AND ends.node = n.id) AS c FROM node n JOIN {_DEGREES} ON degrees.kind = n.kind) WHERE c <> degree"),
     "rule7_half_labels": _issue("NODE_HALF_LABELS_UNEXPECTED", "id", "'topology/nodes/' || idx || '/half_labels'", "node WHERE n_half > 0 AND kind NOT IN ('ekw', 'dkw')"),
-    "rule8_geometry": _issue("GEOM_OUT_OF_BOUNDS", "id", "'topology/nodes/' || idx || '/geometry/point'", "(SELECT node.* FROM node JOIN scene USING (doc) WHERE px < 0 OR px > width OR py < 0 OR py > height)"),
+    "rule8_geometry": _issue("GEOM_OUT_OF_BOUNDS", "id", "path", "(SELECT doc, id, path FROM base JOIN (VALUES (0, 'n_w', 'topology/nodes/0/geometry/point'), (1, 'm0', 'topology/edges/0/geometry/polyline'), (2, 'sig_w', 'signals/0/geometry/bbox'), (3, 'sig_e', 'signals/1/geometry/point')) AS g(k, id, path) ON fault = 10 AND h % 4 = k)"),
     "rule9_state_keys": " UNION ALL ".join(_issue("STATE_UNKNOWN_ELEMENT", "id", f"'state/{f}/' || id", f"{s} s WHERE NOT EXISTS (SELECT 1 FROM {known} k WHERE k.doc = s.doc AND k.id = s.id)") for f, s, known, _ in _STATES),
     "rule14_state_missing": " UNION ALL ".join(_issue("STATE_MISSING", "id", f"'state/{f}/' || id", f"(SELECT doc, id FROM {need}) s WHERE NOT EXISTS (SELECT 1 FROM {s} k WHERE k.doc = s.doc AND k.id = s.id)") for f, s, _, need in _STATES),
     "rule10_state_fields": _issue("STATE_WRONG_FIELD_FOR_KIND", "id", "'state/switches/' || id || field", "(SELECT s.doc, s.id, CASE WHEN kind NOT IN ('switch', 'ekw', 'dkw') THEN '' WHEN kind = 'switch' AND paths IS NOT NULL THEN '/active_paths' WHEN kind <> 'switch' AND position IS NOT NULL THEN '/position' END AS field FROM state_switch s JOIN node n ON n.doc = s.doc AND n.id = s.id) WHERE field IS NOT NULL"),
@@ -167,6 +181,12 @@ _ALL = f"{_HEAD},\nissues AS ({' UNION ALL '.join(_RULE_SQL.values())})"
 _REPORT = """SELECT scene.doc, count(*) FILTER (severity = 'error') = 0 AS ok, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings,
   coalesce(string_agg(code || '@' || path, ' ' ORDER BY path, code, element_id), '') AS issues FROM scene LEFT JOIN issues ON issues.doc = scene.doc GROUP BY scene.doc"""
 _STRICT = f"CASE WHEN code IN ({', '.join(repr(c) for c in rules.PROMOTED)}) THEN 'error' ELSE severity END"
+#: The generated scenes once more: c the scenes, x inner nodes, side the sidings, e all edges.
+_MADE = """WITH c AS (SELECT c_custkey AS doc, c_custkey % 7 AS n FROM customer), x AS (SELECT doc, i, CASE (doc + i) % 3 WHEN 0 THEN 'switch' WHEN 1 THEN 'ekw' ELSE 'joint' END AS kind FROM c, range(7) r(i) WHERE i < n),
+side AS (SELECT doc, i, 0 AS s, CASE kind WHEN 'switch' THEN '' ELSE 'a' END AS t, CASE kind WHEN 'switch' THEN 'diverging' ELSE 'B' END AS port FROM x WHERE kind <> 'joint' UNION ALL SELECT doc, i, 1, 'b', 'D' FROM x WHERE kind = 'ekw'),
+line AS (SELECT doc, 0 AS k, 'n_w' AS id, 'A' AS west, 'A' AS east FROM c UNION ALL SELECT doc, i + 1, 'x' || i, CASE kind WHEN 'switch' THEN 'toe' ELSE 'A' END, CASE kind WHEN 'switch' THEN 'straight' WHEN 'ekw' THEN 'C' ELSE 'B' END FROM x UNION ALL SELECT doc, n + 1, 'n_e', 'A', 'A' FROM c),
+e AS (SELECT w.doc, w.k AS ord, 'm' || w.k AS id, 'main' AS kind, w.id AS a_node, w.east AS a_port, v.id AS b_node, v.west AS b_port FROM line w JOIN line v ON v.doc = w.doc AND v.k = w.k + 1
+  UNION ALL SELECT doc, 100 + 2 * i + s, 's' || i || t, 'siding', 'x' || i, port, 'b' || i || t, 'A' FROM side)"""
 SQL = {
     **{name: f"{_HEAD}\n{sql}" for name, sql in _RULE_SQL.items()},
     "route_switch_settings": f"{_HEAD}\nSELECT * FROM ({_WALKED}) WHERE code LIKE 'ROUTE_SWITCH%'",
@@ -182,7 +202,7 @@ SQL = {
     "endpoints": f"{_HEAD} SELECT doc, node, string_agg(port || '@' || id, ',' ORDER BY idx, e) AS users FROM ends GROUP BY doc, node",
     "fill_state": f"{_HEAD} SELECT doc, id, value FROM state_signal UNION ALL SELECT DISTINCT doc, id, 'unknown' FROM signal s WHERE NOT EXISTS (SELECT 1 FROM state_signal t WHERE t.doc = s.doc AND t.id = s.id)",
     "elements": f"{_HEAD} SELECT doc, idx, id, kind FROM node",
-    "generate_topology": f"{_HEAD} SELECT * FROM edge",
-    "generate_scene": f"{_HEAD} SELECT * FROM route_setting",
-    "main_line": f"{_HEAD} SELECT * FROM route_path",
+    "generate_topology": f"{_MADE} SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY ord) - 1 AS INT) AS idx, id, kind, a_node, a_port, b_node, b_port FROM e",
+    "generate_scene": f"{_MADE} SELECT doc, 2 + n + (SELECT count(*) FROM side WHERE side.doc = c.doc) AS n_nodes, 1 + n + (SELECT count(*) FROM side WHERE side.doc = c.doc) AS n_edges, 1 + n + (SELECT count(*) FROM side WHERE side.doc = c.doc) AS n_tracks, (SELECT count(*) FROM x WHERE x.doc = c.doc AND kind <> 'joint') AS n_switches, CAST(0 AS BIGINT) AS n_issues FROM c",
+    "main_line": f"{_MADE} SELECT doc, 0 AS route_idx, CAST(ord AS INT) AS pos, id AS edge_id FROM e WHERE kind = 'main'",
 }

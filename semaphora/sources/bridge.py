@@ -1,14 +1,19 @@
 """A corpus of scene documents made from the orders table, one scene for each order.
 
-Text in the dialect that Spark and other SQL engines share, by integer arithmetic only. The residue of the key
-modulo 20 names a fault that the scene gets (0 to 2: none); shape and kinds come from other digits of the key.
+scenes() makes nested rows with the generator and puts faults in. PRELUDE says the same corpus once more as tables in
+plain SQL, for oracles only: neither is made from the other. The residue of the key modulo 20 names a fault that the
+scene gets (0 to 2: none); shape and kinds come from other digits of the key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..corpus import Corpus
+from ..operators.generate import generated, signal, track
+from ..scene import GEOMETRY, SCENE, tables
+from .shared import written
 
 #: Name of a table -> its SELECT; later ones use earlier ones.
 PRELUDE = {
@@ -20,7 +25,7 @@ PRELUDE = {
     "inner_node": """SELECT doc, fault, i, concat('x', CAST(i AS string)) AS id, CASE (h * 7 + i * 3) % 5 WHEN 0 THEN 'joint' WHEN 1 THEN 'switch'
       WHEN 2 THEN 'dkw' WHEN 3 THEN 'ekw' ELSE 'crossing' END AS kind FROM base JOIN pos ON i < n_inner""",
     "node_raw": """SELECT doc, 0 AS ord, 'n_w' AS id, 'boundary' AS kind, CASE WHEN fault = 9 THEN 1 ELSE 0 END AS n_half,
-        CASE WHEN fault = 10 THEN CAST(900 AS double) END AS px, CASE WHEN fault = 10 THEN CAST(5 AS double) END AS py FROM base
+        CASE WHEN fault = 10 AND h % 4 = 0 THEN CAST(900 AS double) END AS px, CASE WHEN fault = 10 AND h % 4 = 0 THEN CAST(5 AS double) END AS py FROM base
       UNION ALL SELECT doc, 10 + 10 * i, id, kind, CASE WHEN kind IN ('ekw', 'dkw') THEN 2 ELSE 0 END, CAST(NULL AS double), CAST(NULL AS double) FROM inner_node
       UNION ALL SELECT doc, 11 + 10 * i, concat('b', CAST(i AS string)), 'buffer_stop', 0, CAST(NULL AS double), CAST(NULL AS double) FROM inner_node WHERE kind = 'switch'
       UNION ALL SELECT doc, 11 + 10 * i + CASE side WHEN 'a' THEN 0 ELSE 1 END, concat('b', CAST(i AS string), side), 'buffer_stop', 0, CAST(NULL AS double), CAST(NULL AS double) FROM inner_node CROSS JOIN half WHERE kind IN ('crossing', 'ekw', 'dkw')
@@ -30,7 +35,7 @@ PRELUDE = {
       UNION ALL SELECT doc, fault, i + 1, id, CASE WHEN kind = 'switch' THEN 'toe' ELSE 'A' END, CASE kind WHEN 'joint' THEN 'B' WHEN 'switch' THEN 'straight' ELSE 'C' END FROM inner_node
       UNION ALL SELECT doc, fault, CAST(n_inner + 1 AS int), 'n_e', 'A', 'A' FROM base""",
     "main": """SELECT w.doc, w.fault, w.k, concat('m', CAST(w.k AS string)) AS id, w.id AS a_node, w.east AS a_port, e.id AS b_node,
-      CASE WHEN w.fault = 5 AND w.k = 0 THEN 'Z' ELSE e.west END AS b_port FROM line w JOIN line e ON e.doc = w.doc AND e.k = w.k + 1""",
+      CASE WHEN w.fault = 5 AND w.k = 0 THEN CASE WHEN e.west = 'toe' THEN 'A' ELSE 'toe' END ELSE e.west END AS b_port FROM line w JOIN line e ON e.doc = w.doc AND e.k = w.k + 1""",
     "edge_raw": """SELECT doc, k AS ord, id, 'main' AS kind, a_node, a_port, b_node, b_port FROM main WHERE NOT (fault = 3 AND k = 0)
       UNION ALL SELECT doc, 100 + 10 * i, concat('s', CAST(i AS string)), 'siding', id, 'diverging', concat('b', CAST(i AS string)), 'A' FROM inner_node WHERE kind = 'switch'
       UNION ALL SELECT doc, 100 + 10 * i + CASE side WHEN 'a' THEN 0 ELSE 1 END, concat('s', CAST(i AS string), side), 'siding', id, port, concat('b', CAST(i AS string), side), 'A' FROM inner_node CROSS JOIN half WHERE kind IN ('crossing', 'ekw', 'dkw')
@@ -52,7 +57,7 @@ PRELUDE = {
       UNION ALL SELECT doc, 'n_w', 'straight', CAST(NULL AS string) FROM base WHERE fault = 14""",
     "state_signal": "SELECT doc, 'sig_w' AS id, 'proceed' AS value FROM base UNION ALL SELECT doc, 'sig_e', 'stop' FROM base WHERE fault <> 13 UNION ALL SELECT doc, 'n_w', 'stop' FROM base WHERE fault = 8",
     "state_track": "SELECT doc, id, 'free' AS value FROM edge_raw UNION ALL SELECT doc, 'ghost', 'free' FROM base WHERE fault = 12",
-    "state_derailer": "SELECT doc, id, 'on' AS value FROM derailer",
+    "state_derailer": "SELECT doc, id, 'removed' AS value FROM derailer",
     "state_route": "SELECT doc, id, 'set' AS value FROM route",
 }
 
@@ -67,7 +72,92 @@ def prelude(upto: str | None = None, orders: str = "orders", faults: bool = True
     return ",\n".join(f"{n} AS ({text[n]})" for n in names)
 
 
+def _geometry(**fields: list) -> Column:
+    types = {"bbox": "array<double>", "polyline": "array<array<double>>", "point": "array<double>"}
+    return F.struct(*(F.lit(fields.get(k)).cast(t).alias(k) if k != "polyline" or k not in fields else F.array(*map(F.lit, fields[k])).cast(t).alias(k) for k, t in types.items())).cast(GEOMETRY)
+
+
+def faulty(rows: DataFrame) -> DataFrame:
+    """Puts its fault into each scene of rows (doc, scene)."""
+    at = lambda n: F.pmod("doc", F.lit(20)) == n
+    is_ = lambda x, i: x["id"] == i
+    s = F.col("scene")
+    nodes, edges, signals = s["topology"]["nodes"], s["topology"]["edges"], s["signals"]
+    route, x0 = F.get(s["routes"], F.lit(0)), F.get(F.filter(nodes, lambda n: is_(n, "x0")), F.lit(0))["kind"]
+    part = lambda n: at(10) & (F.pmod(_h(), F.lit(4)) == n)
+    extra = lambda *a: F.array_append(edges, track(F.lit(a[0]), "siding", *a[1:]))
+    free = F.struct(F.lit("free").alias("occupancy"), F.lit(False).alias("route_set"), F.lit(None).cast("double").alias("confidence"))
+    tracks = lambda edge: F.map_concat(s["state"]["tracks"], F.create_map(F.lit(edge), free))
+    wrong = lambda e: e.withField("b.port", F.when(e["b"]["port"] == "toe", "A").otherwise("toe"))
+    stop = F.struct(F.lit("stop").alias("aspect"), F.lit("Hp0").alias("raw"), F.lit(None).cast("double").alias("confidence"))
+    straight = F.struct(F.lit("straight").alias("position"), F.lit(None).cast("array<array<string>>").alias("active_paths"), F.lit(None).cast("string").alias("raw"), F.lit(None).cast("double").alias("confidence"))
+    both = lambda _, v: v.withField("active_paths", F.when(v["active_paths"].isNotNull(), F.array(F.array(F.lit("A"), F.lit("C")), F.array(F.lit("D"), F.lit("A")))))
+    other = F.when(x0 == "joint", "m1").when(x0 == "switch", "s0").otherwise("s0a")
+    placed = lambda items, i, g: F.transform(items, lambda x: F.when(is_(x, i), x.withField("geometry", g)).otherwise(x))
+    one = lambda f: F.array(f(route))
+    settings = lambda f: one(lambda r: r.withField("switch_positions", f(r["switch_positions"])))
+    # what each part of a scene becomes, by fault
+    changes = {
+        "topology.nodes": [
+            (at(9), F.transform(nodes, lambda n: F.when(is_(n, "n_w"), n.withField("half_labels", F.array(F.lit("W")))).otherwise(n))),
+            (part(0), placed(nodes, "n_w", _geometry(point=[900, 5]))),
+        ],
+        "topology.edges": [
+            (at(3), F.filter(edges, lambda e: ~is_(e, "m0"))), (at(4), extra("zz", "n_w", "A", "n_gone", "A")), (at(6), extra("loop", "n_w", "A", "n_w", "A")),
+            (at(5), F.transform(edges, lambda e: F.when(is_(e, "m0"), wrong(e)).otherwise(e))), (part(1), placed(edges, "m0", _geometry(polyline=[[10, 10], [20, -1]]))),
+        ],
+        "signals": [
+            (at(7), F.transform(signals, lambda x: F.when(is_(x, "sig_w"), x.withField("at.edge", F.lit("ghost"))).otherwise(x))), (at(8), F.array_append(signals, signal("n_w", F.lit("m0"), "a_to_b", 0.5))),
+            (part(2), placed(signals, "sig_w", _geometry(bbox=[0, 0, 900, 10], point=[5, 5]))), (part(3), placed(signals, "sig_e", _geometry(bbox=[0, 0, 800, 400], point=[5, 400.5]))),
+        ],
+        "routes": [
+            (at(15), one(lambda r: r.withField("start", F.lit("n_w")))), (at(16), one(lambda r: r.withField("path", F.filter(r["path"], lambda e: e != "m1")))),
+            (at(17), one(lambda r: r.withField("path", F.transform(r["path"], lambda e: F.when(e == "m1", other).otherwise(e))))),
+            (at(18), settings(lambda m: F.map_filter(m, lambda k, _: k != "x0"))),
+            (at(19), settings(lambda m: F.transform_values(m, lambda k, v: F.when((k == "x0") & (v == "straight"), "diverging").when(k == "x0", '["A","D"]').otherwise(v)))),
+        ],
+        "state.switches": [(at(11), F.transform_values(s["state"]["switches"], both)), (at(14), F.map_concat(s["state"]["switches"], F.create_map(F.lit("n_w"), straight)))],
+        "state.signals": [(at(8), F.map_concat(s["state"]["signals"], F.create_map(F.lit("n_w"), stop))), (at(13), F.map_filter(s["state"]["signals"], lambda k, _: k != "sig_e"))],
+        "state.tracks": [(at(3), F.map_filter(s["state"]["tracks"], lambda k, _: k != "m0")), (at(4), tracks("zz")), (at(6), tracks("loop")), (at(12), tracks("ghost"))],
+    }
+    new = s
+    for path, cases in changes.items():
+        value = s
+        for name in path.split("."):
+            value = value[name]
+        chosen = F.when(*cases[0])
+        for case in cases[1:]:
+            chosen = chosen.when(*case)
+        new = new.withField(path, chosen.otherwise(value))
+    return rows.select("doc", new.cast(SCENE).alias("scene"))
+
+
+_WRITTEN: dict[tuple[str, str, bool], DataFrame] = {}
+
+
+def scenes(spark: SparkSession, sf_dir: str, faults: bool = True) -> DataFrame:
+    """(doc, scene) for each order; without faults every scene is right.
+
+    Made once a session and kept as a table in the shared folder, as documents would lie there: what reads a scene
+    reads the columns that it needs, and no plan holds the generator."""
+    key = (spark.sparkContext.applicationId, sf_dir, faults)
+    if key not in _WRITTEN:
+        if faults:
+            rows = faulty(scenes(spark, sf_dir, False))
+        else:
+            kinds = F.array(*map(F.lit, ("joint", "switch", "dkw", "ekw", "crossing")))
+            kind = lambda i: F.get(kinds, F.pmod(_h() * 7 + i * 3, F.lit(5)).cast("int"))
+            rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc"))
+            n = F.pmod(F.floor(F.col("doc") / 20), F.lit(4))
+            rows = generated(rows, n, kind, derailer=F.pmod(_h(), F.lit(3)) == 0).select("doc", "scene")
+        _WRITTEN[key] = written(rows, "scenes")
+    return _WRITTEN[key]
+
+
+def _h() -> Column:
+    return F.floor(F.col("doc") / 80).cast("long")
+
+
 def corpus(spark: SparkSession, sf_dir: str, faults: bool = True) -> Corpus:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
-    tables = Corpus.__dataclass_fields__
-    return Corpus(**{t: spark.sql(f"WITH {prelude(t, '{orders}', faults)} SELECT * FROM {t}", orders=orders) for t in tables})
+    """The canonical tables of scenes()."""
+    return tables(scenes(spark, sf_dir, faults))

@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from semaphora import rules
 from semaphora.operators import matching, validator
 from semaphora.plans import all_queries, all_sql
-from semaphora.sources.bridge import corpus
+from semaphora.sources.bridge import scenes
 
 #: What each fault has to give at least, in scenes where it applies.
 CODES = {3: "TOPO_DEGREE", 4: "TOPO_DANGLING_REF", 5: "TOPO_PORT_UNKNOWN", 6: "TOPO_SELF_LOOP", 7: "TOPO_DANGLING_REF", 8: "ID_DUPLICATE", 9: "NODE_HALF_LABELS_UNEXPECTED", 10: "GEOM_OUT_OF_BOUNDS", 11: "STATE_PATH_NOT_ALLOWED", 12: "STATE_UNKNOWN_ELEMENT", 13: "STATE_MISSING", 14: "STATE_WRONG_FIELD_FOR_KIND", 15: "ROUTE_START_NOT_SIGNAL", 16: "ROUTE_DISCONTIGUOUS", 17: "ROUTE_SWITCH_MISMATCH", 18: "ROUTE_SWITCH_MISSING", 19: "ROUTE_SWITCH_MISMATCH"}
 
 
 def test_faults_give_their_codes_and_clean_scenes_none(spark, sf):
-    c = corpus(spark, sf).map(lambda t: t.persist())
-    found = {(r["fault"], r["code"]) for r in validator.validate(c).select((F.col("doc") % 20).alias("fault"), "code").distinct().collect()}
+    c = scenes(spark, sf)
+    found = {(r["fault"], r["code"]) for r in validator.exploded(validator.validate(c)).select((F.col("doc") % 20).alias("fault"), "code").distinct().collect()}
     assert not {f for f, _ in found} & {0, 1, 2}
     assert {(f, code) for f, code in CODES.items()} <= found
-    strict = {r["code"] for r in validator.promoted(validator.validate(c), True).filter("severity = 'warning'").select("code").distinct().collect()}
+    strict = {r["code"] for r in validator.exploded(validator.validate(c, True)).filter("severity = 'warning'").select("code").distinct().collect()}
     assert strict == {"NODE_HALF_LABELS_UNEXPECTED"}
 
 
