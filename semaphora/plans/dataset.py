@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import licences as L
 from ..functions import scenes as S
+from ..operators import ingest
 from ..operators import log as log_ops
 from ..streaming import latest as streaming
 
@@ -37,25 +38,40 @@ named AS (SELECT *, CASE WHEN regexp_full_match(trim(name), '(?i)CC[ -]BY[ -]\\d
   WHEN lower(trim(name)) IN ('cc0', 'cc0 1.0', 'cc0-1.0') THEN 'cc0' WHEN regexp_full_match(lower(trim(name)), 'public domain|pd([ -].*)?') THEN 'public_domain' WHEN lower(trim(name)) = 'attribution' THEN 'attribution' ELSE 'other' END AS family FROM records),
 spdx AS (SELECT *, CASE family WHEN 'cc0' THEN 'CC0-1.0' WHEN 'public_domain' THEN 'LicenseRef-PublicDomain' WHEN 'attribution' THEN 'LicenseRef-Commons-Attribution'
   WHEN 'cc_by' THEN 'CC-BY-' || regexp_extract(name, '\\d\\.\\d') || CASE WHEN regexp_extract(trim(name), '[ -]([A-Za-z]{{2,3}})$', 1) <> '' AND regexp_matches(trim(name), '\\d[ -][A-Za-z]+$') THEN '-' || upper(regexp_extract(trim(name), '[ -]([A-Za-z]{{2,3}})$', 1)) ELSE '' END END AS spdx FROM named)"""
+#: One candidate after the other, each shutting out the later ones of its title or content.
+_INGEST = f"""WITH RECURSIVE {_RECORDS}, known AS MATERIALIZED (SELECT title, 'commons-' || substr(sha256, 1, 12) AS body FROM records WHERE key % 997 = 5),
+hits AS MATERIALIZED (SELECT key, title, CASE WHEN key % 101 <> 0 THEN 'commons-' || substr(sha256, 1, 12) END AS body,
+  CASE WHEN spdx IS NULL THEN 'licence_rejected' WHEN mime = 'image/gif' OR width * height < 200000 THEN 'unsuitable' WHEN key % 101 = 0 THEN 'failed' END AS refused,
+  title IN (SELECT title FROM known) AS known_title, coalesce(body IN (SELECT body FROM known), false) AS known_body FROM spdx),
+open AS MATERIALIZED (SELECT key, title, body FROM hits WHERE refused IS NULL AND NOT known_title AND NOT known_body),
+step AS (SELECT key, title, body, 'open' AS state FROM open
+  UNION ALL SELECT key, title, body, CASE WHEN first THEN 'new' ELSE 'open' END FROM
+    (SELECT *, bool_or(first) OVER (PARTITION BY title) OR bool_or(first) OVER (PARTITION BY body) AS shut FROM
+      (SELECT key, title, body, key = min(key) OVER (PARTITION BY title) AND key = min(key) OVER (PARTITION BY body) AS first FROM step WHERE state = 'open')) WHERE first OR NOT shut),
+gone_in AS MATERIALIZED (SELECT key, title, body FROM step WHERE state = 'new'),
+decided AS (SELECT h.key, h.title, h.body, CASE WHEN known_title OR t.key < h.key THEN 'duplicate' WHEN refused IS NOT NULL THEN refused WHEN known_body OR b.key < h.key THEN 'duplicate' ELSE 'new' END AS reason
+  FROM hits h LEFT JOIN gone_in t ON t.title = h.title LEFT JOIN gone_in b ON b.body = h.body)"""
 _MD = lambda x: f"regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '([\\\\`*_\\[\\]<>|])', '\\\\\\1', 'g')"
 _SHARE = "CAST(('0x' || substr(sha1({}), 1, 8)) AS BIGINT) % 1000 < 200"
 
 
-def ingest_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    """Counters of an ingest: filters in order; among what passes, a title or a content counts once, the first in order."""
+def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Search hits in order of key (some downloads fail), and sources that are known already."""
     r = _records(spark, sf)
-    r = r.withColumn("stateless", F.when(L.spdx_id(F.col("name")).isNull(), "licence_rejected").when((F.col("mime") == "image/gif") | (F.col("width") * F.col("height") < 200000), "unsuitable"))
-    ok = r.filter("stateless is null").select(F.min("key").over(_by("title")).alias("first_title"), "key", "title", "sha256")
-    # of the first rows of their titles, the first of each content goes in
-    new = ok.filter("key = first_title").select("key", F.min("key").over(_by("sha256")).alias("first_body")).select(F.when(F.col("key") == F.col("first_body"), "new").otherwise("duplicate").alias("reason"))
-    again = ok.filter("key <> first_title").select(F.lit("duplicate").alias("reason"))
-    return r.filter("stateless is not null").select(F.col("stateless").alias("reason")).unionAll(new).unionAll(again).groupBy("reason").agg(F.count("*").alias("n"))
+    ok = F.pmod("key", F.lit(101)) != 0
+    hits = r.select("key", "title", F.when(ok, S.source_id(F.col("sha256"))).alias("source_id"), L.spdx_id(F.col("name")).alias("spdx"), "mime", "width", "height", ok.alias("ok"))
+    return hits, r.filter("key % 997 = 5").select("title", S.source_id(F.col("sha256")).alias("source_id"))
 
 
-def _by(*cols: str):
-    from pyspark.sql import Window
+def ingest_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of an ingest: hits seen, and what became of them."""
+    rows = ingest.decided(*_hits(spark, sf))
+    return rows.select(F.explode(F.array(F.lit("seen"), "reason")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
 
-    return Window.partitionBy(*cols)
+def ingest_new(spark: SparkSession, sf: str) -> DataFrame:
+    """The hits that went in."""
+    return ingest.decided(*_hits(spark, sf)).filter("reason = 'new'").select("key", "title", "source_id")
 
 
 def promote_sync(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,7 +218,7 @@ QUERIES = {
     "source_id": _of_records(source_id=lambda: S.source_id(F.col("sha256"))), "image_scale": _of_records(scale=lambda: F.round(S.image_scale(F.col("width") * 5, F.col("height") * 5), 9)), "clip_boxes": _boxes,
     "html_plain": lambda spark, sf: _t(spark, sf, "pages").select("page_id", L.plain_html(F.col("html")).alias("plain")), "md_escape": lambda spark, sf: _t(spark, sf, "documents").select("doc_id", L.markdown(F.regexp_replace("text", "[^ -~\n]", "")).alias("md")),
     "extract_json": lambda spark, sf: _t(spark, sf, "events").select("event_id", S.json_span(F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```"))).alias("json")),
-    "ingest_funnel": ingest_funnel, "promote_sync": promote_sync, "manifest_rows": manifest_rows, "attribution": attribution,
+    "ingest_funnel": ingest_funnel, "ingest_new": ingest_new, "promote_sync": promote_sync, "manifest_rows": manifest_rows, "attribution": attribution,
     "latest_attempt": lambda spark, sf: log_ops.latest(_log(spark, sf)).select("scene_id", "model", "seq", "ok"), "resume_jobs": resume_jobs, "prediction_cost": prediction_cost, "latency_summary": latency_summary, "majority_vote": majority_vote,
     "docs_for_scene": docs_for_scene, "aggregate_run": aggregate_run, "leaderboard": leaderboard, "task_scenes": task_scenes, "calibration_brier": calibration_brier, "calibration_ece": calibration_ece,
     "label_distance": label_distance, "label_cer": label_cer, "label_wer": label_wer,
@@ -224,9 +240,8 @@ SQL = {
     "html_plain": "SELECT page_id, nullif(replace(replace(replace(trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), '&amp;', '&'), '&quot;', '\"'), '&#039;', chr(39)), '') AS plain FROM pages",
     "md_escape": f"SELECT doc_id, {_MD('regexp_replace(text, ' + chr(39) + '[^ -~' + chr(10) + ']' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS md FROM documents",
     "extract_json": "SELECT event_id, regexp_extract(props, '(?s)\\{.*\\}') AS json FROM events",
-    "ingest_funnel": f"""WITH {_RECORDS}, ok AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY key) AS t FROM spdx WHERE spdx IS NOT NULL AND mime <> 'image/gif' AND width * height >= 200000),
-      f AS (SELECT key, row_number() OVER (PARTITION BY sha256 ORDER BY key) AS b FROM ok WHERE t = 1)
-      SELECT CASE WHEN s.spdx IS NULL THEN 'licence_rejected' WHEN s.mime = 'image/gif' OR s.width * s.height < 200000 THEN 'unsuitable' WHEN f.b = 1 THEN 'new' ELSE 'duplicate' END AS reason, count(*) AS n FROM spdx s LEFT JOIN f ON f.key = s.key GROUP BY 1""",
+    "ingest_funnel": f"{_INGEST} SELECT reason, count(*) AS n FROM (SELECT unnest(['seen', reason]) AS reason FROM decided) GROUP BY 1",
+    "ingest_new": f"{_INGEST} SELECT key, title, body AS source_id FROM decided WHERE reason = 'new'",
     "promote_sync": f"WITH {_RECORDS} SELECT key, CASE WHEN o_orderpriority <> '1-URGENT' AND status = 'accepted' THEN 'staged' ELSE 'plane' END AS origin FROM records WHERE CASE WHEN o_orderpriority <> '1-URGENT' THEN status = 'accepted' ELSE o_orderpriority <= '3' END",
     "manifest_rows": f"WITH {_RECORDS} SELECT 'k' || key AS scene_id, CASE WHEN {_SHARE.format('CASE WHEN panel_group = ' + chr(39) * 2 + ' THEN ' + chr(39) + 'k' + chr(39) + ' || key ELSE panel_group END')} THEN 'test' ELSE 'dev' END AS partition, spdx AS license FROM spdx WHERE status = 'accepted'",
     "attribution": f"""WITH {_RECORDS} SELECT key, '[' || {_MD("substr(title, 6)")} || '](<http://x/' || key || '>) by ' || CASE WHEN panel_group = '' THEN 'unknown author' ELSE panel_group END || ', ' || {_MD("coalesce(name, 'none')")} || '.' ||
