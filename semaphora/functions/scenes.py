@@ -88,11 +88,15 @@ def polyline_samples(points: Column, n: int = 16) -> Column:
 
         def at(k: Column) -> Column:
             want = total * k / (n - 1)
-            j = F.greatest(F.lit(0), F.least(F.size(ends) - 2, F.size(F.filter(ends, lambda e: e <= want)) - 1))
-            span = F.get(ends, j + 1) - F.get(ends, j)
-            t = F.when(span > 0, (want - F.get(ends, j)) / span).otherwise(0.0)
-            along = lambda c: F.get(points, j)[c] + t * (F.get(points, j + 1)[c] - F.get(points, j)[c])
-            return F.struct(along("x").alias("x"), along("y").alias("y"))
+            last = F.greatest(F.lit(0), F.least(F.size(ends) - 2, F.size(F.filter(ends, lambda e: e <= want)) - 1))
+
+            def on(j: Column) -> Column:
+                span = F.get(ends, j + 1) - F.get(ends, j)
+                t = F.when(span > 0, (want - F.get(ends, j)) / span).otherwise(0.0)
+                along = lambda c: F.get(points, j)[c] + t * (F.get(points, j + 1)[c] - F.get(points, j)[c])
+                return F.struct(along("x").alias("x"), along("y").alias("y"))
+
+            return F.get(F.transform(F.array(last), on), F.lit(0))
 
         return F.when(total > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)).otherwise(F.array_repeat(F.get(points, F.lit(0)), n))
 

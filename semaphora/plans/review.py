@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus, all_ids
+from ..functions import geometry as G
 from ..functions import scenes as S
-from ..operators import consensus, log, matching, metrics
-from ..sources.bridge import corpus, prelude
+from ..operators import consensus, log, matching, merge, metrics
+from ..scene import GEOMETRY
+from ..sources.bridge import corpus, prelude, scenes
 from ..sources.shared import written
 
 DIAGONAL = 894.427190999916  # of 800 x 400
@@ -106,6 +108,67 @@ def consensus_draft(spark: SparkSession, sf: str) -> DataFrame:
     return support.select("doc", "draft_id", "kind", "label", "support", "status", "disagree", "x", "y")
 
 
+def models(spark: SparkSession, sf: str) -> DataFrame:
+    """Three models' documents of each scene: (doc, model_no, scene). Elements are renamed, moved, mistaken and dropped
+    here and there; every family has places of its own kind, and some elements have none."""
+    doc, m, scene = F.col("doc"), F.col("model_no"), F.col("scene")
+    own = lambda id_: F.concat(id_, F.lit("_"), m.cast("string"))
+    every = lambda i, n: F.pmod(doc + i + m, F.lit(n)) == 0
+    shifted = lambda i, by, most: F.pmod(i * by, F.lit(most)).cast("double") + F.pmod(doc * m + i, F.lit(5))
+    shape = lambda **g: F.struct(*(g.get(n, F.lit(None)).alias(n) for n in ("bbox", "polyline", "point"))).cast(GEOMETRY)
+
+    def node(e, i):
+        return e.withField("geometry", shape(point=F.array(shifted(i, 97, 800), shifted(i, 41, 400)))).withField("kind", F.when(every(i, 11), "joint").otherwise(e["kind"])).withField("label", F.concat(F.when(every(2 * i, 5), "M").otherwise("L"), e["id"]))
+
+    def edge(e, i):
+        x, y = shifted(i, 89, 700), shifted(i, 53, 300)
+        line = shape(polyline=F.array(F.array(x, y), F.array(x + 30, y), F.array(x + 60, y + 30)))
+        return e.withField("geometry", F.when(F.pmod(doc + i, F.lit(10)) != 0, line)).withField("kind", F.when(every(i, 6), "siding").otherwise(e["kind"])).withField("a", e["a"].withField("node", own(e["a"]["node"]))).withField("b", e["b"].withField("node", own(e["b"]["node"])))
+
+    def placed(e, i):
+        x, y = shifted(i, 211, 700), shifted(i, 67, 300)
+        found = F.when(every(i, 3), shape(bbox=F.array(x - 4, y - 2, x + 4, y + 2))).when(~every(i, 4), shape(point=F.array(x, y)))
+        return e.withField("geometry", found).withField("at", F.struct(own(e["at"]["edge"]).alias("edge"), (m / 7 + 0.1).alias("offset"), e["at"]["direction"].alias("direction"))).withField("label", F.when(~every(i, 6), F.concat(F.lit("S"), i.cast("string"))))
+
+    def route(e, i):
+        return e.withField("start", own(e["start"])).withField("end", own(e["end"])).withField("path", F.transform(e["path"], own)).withField("label", F.when(every(i, 2), e["id"]))
+
+    def those(path, change, n):
+        value = scene
+        for name in path.split("."):
+            value = value[name]
+        return F.array_compact(F.transform(value, lambda e, i: F.when(~every(3 * i, n), change(e, i).withField("id", own(e["id"])))))
+
+    routes = those("routes", route, 9)
+    twice = F.concat(routes, F.transform(routes, lambda e: e.withField("id", F.concat(e["id"], F.lit("b")))))
+    states = {name: F.transform_keys(scene["state"][name], lambda k, _: own(k)) for name in ("switches", "signals", "tracks", "derailers", "routes")}
+    occupied = lambda k, v: F.when(F.pmod(doc + m + F.length(k), F.lit(4)) == 0, v.withField("occupancy", F.lit("occupied"))).otherwise(v)
+    states["tracks"] = F.transform_values(states["tracks"], occupied)
+    parts = {  # whole structs: a changed field inside a struct would double the plan each time
+        "topology": F.struct(those("topology.nodes", node, 7).alias("nodes"), those("topology.edges", edge, 9).alias("edges")), "signals": those("signals", placed, 8), "derailers": those("derailers", placed, 5),
+        "routes": F.when(F.pmod(doc + m, F.lit(5)) == 0, twice).otherwise(routes), "state": F.struct(*(c.alias(name) for name, c in states.items()), scene["state"]["observed_at_ms"].alias("observed_at_ms")),
+    }
+    new = F.struct(*(parts.get(name, scene[name]).alias(name) for name in ("schema_version", "scene_id", "source", "provenance", "topology", "signals", "derailers", "routes", "state", "meta")))
+    rows = scenes(spark, sf, False).withColumn("model_no", F.explode(F.array(*map(F.lit, range(3)))))
+    return rows.select("doc", "model_no", new.alias("scene"))
+
+
+def merged_draft(spark: SparkSession, sf: str) -> DataFrame:
+    rows = merge.merged(written(models(spark, sf), "models"), DIAGONAL)
+    return rows.drop("line").withColumns({c: F.array_join(c, ",") for c in ("refs", "disagree")})
+
+
+def state_vote(spark: SparkSession, sf: str) -> DataFrame:
+    """Merged states of elements that are in the draft."""
+    return merge.merged(written(models(spark, sf), "models"), DIAGONAL).filter("state is not null and chosen").select("doc", "family", "id", "state")
+
+
+def route_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of routes by exact key."""
+    rows = written(merge.elements(models(spark, sf)), "elements")
+    return merge.members(rows, DIAGONAL).filter("family = 'routes'").select("doc", "model_no", "id", "cluster_no", "member_pos", "draft_id")
+
+
 def edge_pair_costs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of a scene's edges in two versions, by how many end nodes they share; no geometry counts as far apart."""
     truth, pred = _both(spark, sf)
@@ -135,13 +198,23 @@ def polyline_samples(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", "k", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
+def polyline_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance of each line to the next one, and the anchor of its geometry."""
+    rows = _polylines(spark, sf).select("vec_id", F.col("points").alias("line"), S.polyline_samples(F.col("points")).alias("samples")).select("vec_id", F.struct("line", "samples").alias("shape"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("shape").alias("after"))
+    none = F.lit(None).cast("array<double>")
+    at = G.anchor(F.struct(none.alias("point"), none.alias("bbox"), F.transform("shape.line", lambda p: F.array(p["x"], p["y"])).alias("polyline")))
+    apart = G.polyline_distance(F.col("shape"), F.col("after"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(apart, 6).alias("distance"), F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"))
+
+
 def _of_votes(f):
     return lambda spark, sf: f(votes(spark, sf))
 
 
 QUERIES = {
     "pair_costs": lambda spark, sf: _pair(spark, sf).select("doc", "t_id", "p_id", F.round("cost", 9).alias("cost")), "match_elements": lambda spark, sf: matching.matches(_pair(spark, sf)).drop("t_idx"), "assignment": lambda spark, sf: matching.matches(_pair(spark, sf, 0, 2)).drop("t_idx"),
-    "cluster_members": _of_votes(lambda v: matching.clusters(v, DIAGONAL)), "consensus_draft": consensus_draft, "cluster_support": _of_votes(lambda v: consensus.support(v, ["label", "kind"], 3)),
+    "cluster_members": _of_votes(lambda v: matching.clusters(v, DIAGONAL)), "consensus_draft": consensus_draft, "merged_draft": merged_draft, "state_vote": state_vote, "route_keys": route_keys, "polyline_distance": polyline_distance, "cluster_support": _of_votes(lambda v: consensus.support(v, ["label", "kind"], 3)),
     "median_point": _of_votes(consensus.median_points), "draft_ids": _of_votes(lambda v: consensus.draft_ids(v, "nodes")), "medoid": _of_votes(lambda v: consensus.medoids(v, DIAGONAL)), "translate_refs": translate_refs,
     "draft_closure": draft_closure, "suggestions": suggestions, "provenance_diff": provenance_diff, "review_summary": review_summary, "human_share": human_share, "edge_pair_costs": edge_pair_costs, "nearest_edge": nearest_edge, "polyline_samples": polyline_samples,
     "detection_prf1": lambda spark, sf: metrics.detection(*(all_ids(c) for c in _both(spark, sf))), "state_accuracy": lambda spark, sf: metrics.state_accuracy(*map(_states, _both(spark, sf))), "route_prf1": lambda spark, sf: metrics.route_quality(*map(_routes, _both(spark, sf))),
@@ -168,6 +241,16 @@ _ST = lambda p: f"SELECT doc, 'signals' AS family, id, value FROM {p}state_signa
 _RT = lambda p: f"SELECT DISTINCT r.doc, r.start, r.end_id, (SELECT string_agg(edge_id, '>' ORDER BY pos) FROM {p}route_path q WHERE q.doc = r.doc) AS path FROM {p}route r"
 _EK = lambda p: f"SELECT DISTINCT doc, least(a_node || '.' || a_port, b_node || '.' || b_port) || '|' || greatest(a_node || '.' || a_port, b_node || '.' || b_port) AS k FROM {p}edge"
 _DRAFT = "ids AS (SELECT doc, cluster_no, 'n' || lpad(CAST(row_number() OVER (PARTITION BY doc ORDER BY y, x, cluster_no) AS VARCHAR), 3, '0') AS draft_id FROM (SELECT doc, cluster_no, median(x) AS x, median(y) AS y FROM votes GROUP BY 1, 2))"
+_SAMPLES = """WITH p AS (SELECT vec_id, [embedding[k]::DOUBLE * 100 FOR k IN [1, 3, 5, 7]] AS x, [embedding[k]::DOUBLE * 100 FOR k IN [2, 4, 6, 8]] AS y FROM embeddings),
+      l AS (SELECT *, sqrt(pow(x[2] - x[1], 2) + pow(y[2] - y[1], 2)) AS a, sqrt(pow(x[3] - x[2], 2) + pow(y[3] - y[2], 2)) AS b, sqrt(pow(x[4] - x[3], 2) + pow(y[4] - y[3], 2)) AS c FROM p),
+      s AS (SELECT *, k, (a + b + c) * k / {n} AS w FROM l, range({n} + 1) r(k)), j AS (SELECT *, CASE WHEN w < a THEN 1 WHEN w < a + b THEN 2 ELSE 3 END AS i FROM s),
+      f AS (SELECT *, CASE i WHEN 1 THEN w / a WHEN 2 THEN (w - a) / b ELSE (w - a - b) / c END AS t FROM j)"""
+#: Every second one of 31 points is one of 16; the one in the middle of the 31 is the anchor.
+_APART = """, pt AS (SELECT vec_id, k, x[i] + t * (x[i + 1] - x[i]) AS px, y[i] + t * (y[i + 1] - y[i]) AS py FROM f),
+  seg AS (SELECT vec_id, x[i] AS ax, y[i] AS ay, x[i + 1] - x[i] AS dx, y[i + 1] - y[i] AS dy FROM p, range(1, 4) r(i)),
+  d AS (SELECT least(pt.vec_id, seg.vec_id) AS vec_id, pt.vec_id < seg.vec_id AS onward, k, min(sqrt(pow(px - ax - greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) * dx, 2)
+    + pow(py - ay - greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) * dy, 2))) AS d FROM pt JOIN seg ON seg.vec_id = pt.vec_id + 1 OR seg.vec_id = pt.vec_id - 1 WHERE k % 2 = 0 GROUP BY ALL)
+  SELECT d.vec_id, round(avg(d), 6) AS distance, round(any_value(pt.px), 6) AS x, round(any_value(pt.py), 6) AS y FROM d JOIN pt ON pt.vec_id = d.vec_id AND pt.k = 15 GROUP BY d.vec_id"""
 SQL = {
     "pair_costs": f"{_V}, c AS (SELECT a.doc, a.id AS t_id, b.id AS p_id, {_LEV} AS l, a.kind <> b.kind AS k, {_GEO} AS g FROM votes a JOIN votes b ON a.doc = b.doc AND a.model_no = 0 AND b.model_no = 1) SELECT doc, t_id, p_id, round(CASE WHEN g >= 1 THEN 1e6 ELSE 0.5::DOUBLE * l + 0.3::DOUBLE * CAST(k AS INT) + 0.2::DOUBLE * g END, 9) AS cost FROM c",
     "cluster_support": f"{_V}, s AS (SELECT doc, cluster_no, count(*) AS support, count(DISTINCT label) > 1 AS l, count(DISTINCT kind) > 1 AS k FROM votes GROUP BY 1, 2) SELECT doc, cluster_no, support, round(support / 3::DOUBLE, 3) AS confidence, concat_ws(',', CASE WHEN l THEN 'label' END, CASE WHEN k THEN 'kind' END) AS disagree, CASE WHEN support * 2 <= 3 THEN 'minority' WHEN l OR k THEN 'contested' ELSE 'consensus' END AS status FROM s",
@@ -181,10 +264,8 @@ SQL = {
     "edge_pair_costs": f"{_TWIN} SELECT t.doc, t.id AS t, p.id AS p, CASE WHEN s = 0 THEN 1e6 ELSE 0.3::DOUBLE * (1 - s / 2::DOUBLE) + 0.7::DOUBLE END AS cost FROM t_edge t JOIN edge p ON p.doc = t.doc, LATERAL (SELECT len(list_intersect([t.a_node, t.b_node], [p.a_node, p.b_node])) AS s)",
     "nearest_edge": f"""{_V}, e AS (WITH {prelude('edge', faults=False)} SELECT * FROM edge), g AS (SELECT e.doc, e.id, e.doc % 800 AS px, e.doc % 400 AS py, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM e JOIN votes a ON a.doc = e.doc AND a.id = e.a_node AND a.model_no = 0 JOIN votes b ON b.doc = e.doc AND b.id = e.b_node AND b.model_no = 0),
       t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM g), d AS (SELECT doc, id, round(sqrt(pow(px - ax - t * dx, 2) + pow(py - ay - t * dy, 2)), 6) AS d FROM t) SELECT doc, arg_min(id, (d, id)) AS edge_id, min(d) AS distance FROM d GROUP BY doc""",
-    "polyline_samples": """WITH p AS (SELECT vec_id, [embedding[k]::DOUBLE * 100 FOR k IN [1, 3, 5, 7]] AS x, [embedding[k]::DOUBLE * 100 FOR k IN [2, 4, 6, 8]] AS y FROM embeddings),
-      l AS (SELECT *, sqrt(pow(x[2] - x[1], 2) + pow(y[2] - y[1], 2)) AS a, sqrt(pow(x[3] - x[2], 2) + pow(y[3] - y[2], 2)) AS b, sqrt(pow(x[4] - x[3], 2) + pow(y[4] - y[3], 2)) AS c FROM p),
-      s AS (SELECT *, k, (a + b + c) * k / 15 AS w FROM l, range(16) r(k)), j AS (SELECT *, CASE WHEN w < a THEN 1 WHEN w < a + b THEN 2 ELSE 3 END AS i FROM s),
-      f AS (SELECT *, CASE i WHEN 1 THEN w / a WHEN 2 THEN (w - a) / b ELSE (w - a - b) / c END AS t FROM j) SELECT vec_id, CAST(k AS INTEGER) AS k, round(x[i] + t * (x[i + 1] - x[i]), 6) AS x, round(y[i] + t * (y[i + 1] - y[i]), 6) AS y FROM f""",
+    "polyline_samples": _SAMPLES.format(n=15) + " SELECT vec_id, CAST(k AS INTEGER) AS k, round(x[i] + t * (x[i + 1] - x[i]), 6) AS x, round(y[i] + t * (y[i + 1] - y[i]), 6) AS y FROM f",
+    "polyline_distance": _SAMPLES.format(n=30) + _APART,
     "detection_prf1": f"{_TWIN}, t AS (SELECT DISTINCT * FROM ({_IDS('t_')})), p AS (SELECT DISTINCT * FROM ({_IDS('')})), j AS (SELECT coalesce(t.family, p.family) AS family, t.id AS ti, p.id AS pi FROM t FULL JOIN p ON t.doc = p.doc AND t.family = p.family AND t.id = p.id), c AS (SELECT family, count(*) FILTER (ti IS NOT NULL AND pi IS NOT NULL) AS tp, count(*) FILTER (ti IS NULL) AS fp, count(*) FILTER (pi IS NULL) AS fn FROM j GROUP BY ROLLUP (family)) SELECT family, tp, fp, fn, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM c",
     "state_accuracy": f"{_TWIN}, t AS ({_ST('t_')}), p AS ({_ST('')}) SELECT t.family, round(avg(CASE WHEN t.value = p.value AND p.value <> 'unknown' THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) AS n FROM t JOIN p ON t.doc = p.doc AND t.family = p.family AND t.id = p.id GROUP BY 1",
     "route_prf1": f"{_TWIN}, t AS ({_RT('t_')}), p AS ({_RT('')}), j AS (SELECT t.doc AS td, p.doc AS pd FROM t FULL JOIN p ON t.doc = p.doc AND t.start = p.start AND t.end_id = p.end_id AND t.path = p.path), c AS (SELECT count(*) FILTER (td IS NOT NULL AND pd IS NOT NULL) AS tp, count(*) FILTER (td IS NULL) AS fp, count(*) FILTER (pd IS NULL) AS fn FROM j) SELECT *, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM c",
