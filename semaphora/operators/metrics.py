@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def in_truth_ids(rows: DataFrame, matched: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows of predictions (doc, ...) with the ids of the named columns in the truth's ids, so that the metrics below
+    compare what was matched. columns: name of a column -> family of its ids. matched: doc, family, t_id, p_id, each
+    p_id once. An id without a match gets a '?' before it and equals no id of the truth; null stays null."""
+    for name, family in columns.items():
+        pairs = matched.filter(F.col("family") == family).select("doc", F.col("p_id").alias(name), F.col("t_id").alias("_t_id"))
+        rows = rows.join(pairs, ["doc", name], "left").withColumn(name, F.coalesce("_t_id", F.concat(F.lit("?"), name))).drop("_t_id")
+    return rows
+
+
 def detection(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """Precision, recall and F1 by family and over all (family null). Rows: doc, family, id in one space of ids."""
     keys = ["doc", "family", "id"]

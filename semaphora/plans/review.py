@@ -208,13 +208,21 @@ def polyline_distance(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(after, "vec_id").select("vec_id", F.round(apart, 6).alias("distance"), F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"))
 
 
+def detection_matched(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection of nodes where a prediction has ids of its own: what the assignment paired is right."""
+    v = votes(spark, sf).withColumn("family", F.lit("nodes"))
+    truth, found = v.filter("model_no = 0"), v.filter("model_no = 1").withColumn("id", F.concat(F.lit("p-"), "id"))
+    matched = matching.matches(matching.costs(truth, found, DIAGONAL).drop("family")).withColumn("family", F.lit("nodes"))
+    return metrics.detection(truth, metrics.in_truth_ids(found, matched, {"id": "nodes"}))
+
+
 def _of_votes(f):
     return lambda spark, sf: f(votes(spark, sf))
 
 
 QUERIES = {
     "pair_costs": lambda spark, sf: _pair(spark, sf).select("doc", "t_id", "p_id", F.round("cost", 9).alias("cost")), "match_elements": lambda spark, sf: matching.matches(_pair(spark, sf)).drop("t_idx"), "assignment": lambda spark, sf: matching.matches(_pair(spark, sf, 0, 2)).drop("t_idx"),
-    "cluster_members": _of_votes(lambda v: matching.clusters(v, DIAGONAL)), "consensus_draft": consensus_draft, "merged_draft": merged_draft, "state_vote": state_vote, "route_keys": route_keys, "polyline_distance": polyline_distance, "cluster_support": _of_votes(lambda v: consensus.support(v, ["label", "kind"], 3)),
+    "cluster_members": _of_votes(lambda v: matching.clusters(v, DIAGONAL)), "consensus_draft": consensus_draft, "merged_draft": merged_draft, "state_vote": state_vote, "route_keys": route_keys, "detection_matched": detection_matched, "polyline_distance": polyline_distance, "cluster_support": _of_votes(lambda v: consensus.support(v, ["label", "kind"], 3)),
     "median_point": _of_votes(consensus.median_points), "draft_ids": _of_votes(lambda v: consensus.draft_ids(v, "nodes")), "medoid": _of_votes(lambda v: consensus.medoids(v, DIAGONAL)), "translate_refs": translate_refs,
     "draft_closure": draft_closure, "suggestions": suggestions, "provenance_diff": provenance_diff, "review_summary": review_summary, "human_share": human_share, "edge_pair_costs": edge_pair_costs, "nearest_edge": nearest_edge, "polyline_samples": polyline_samples,
     "detection_prf1": lambda spark, sf: metrics.detection(*(all_ids(c) for c in _both(spark, sf))), "state_accuracy": lambda spark, sf: metrics.state_accuracy(*map(_states, _both(spark, sf))), "route_prf1": lambda spark, sf: metrics.route_quality(*map(_routes, _both(spark, sf))),

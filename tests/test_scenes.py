@@ -100,3 +100,18 @@ def test_consensus_draft_has_majorities(spark, sf):
     rows = review.consensus_draft(spark, sf).collect()
     key = lambda doc, kind, label: (doc, str(kind), str(label))
     assert rows and sorted(key(r["doc"], r["kind"], r["label"]) for r in rows) == sorted(key(d, most(g, "kind"), most(g, "label")) for (d, _), g in groups.items())
+
+
+def test_metrics_over_matches(spark, sf):
+    from semaphora.operators import metrics
+
+    matched = spark.createDataFrame([(1, "nodes", "a", "p1"), (1, "nodes", "b", "p2"), (2, "nodes", "a", "p3"), (1, "edges", "e", "a")], "doc long, family string, t_id string, p_id string")
+    truth = spark.createDataFrame([(1, "a", "A", "b", "B"), (2, "a", "A", "c", "B")], "doc long, a_node string, a_port string, b_node string, b_port string")
+    found = spark.createDataFrame([(1, "p2", "B", "p1", "A"), (1, "p1", "A", "p3", "B"), (2, "p3", "A", "c", "B"), (2, None, "A", "p3", "A")], truth.schema)
+    rows = metrics.in_truth_ids(found, matched, {"a_node": "nodes", "b_node": "nodes"})
+    assert {tuple(r[c] for c in found.columns) for r in rows.collect()} == {(1, "b", "B", "a", "A"), (1, "a", "A", "?p3", "B"), (2, "a", "A", "?c", "B"), (2, None, "A", "a", "A")}
+    # in scene 1 one of two edges is right, in scene 2 none of three: an unmatched id never is, even one that looks like the truth's
+    assert {r["doc"]: r["jaccard"] for r in metrics.topology_agreement(truth, rows).collect()} == {1: 0.5, 2: 0.0}
+    pairs = all_queries()["match_elements"](spark, sf).count()
+    nodes = next(r for r in all_queries()["detection_matched"](spark, sf).collect() if r["family"] == "nodes")
+    assert nodes["tp"] == pairs and nodes["fp"] > 0 and nodes["fn"] > 0
