@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language_id, language_model, near_dedup, packing, pii, quality, secrets, toxicity
+from . import decontaminate, fingerprint, language_id, language_model, main_text, merkle, near_dedup, packing, pii, quality, search, secrets, toxicity
+from .sql import MERKLE_SQL, NEAR_DEDUP_SQL, SEARCH_SQL
 from .common import id_bucket, table
 
 #: The key of the pseudonyms of the query; give your own, secret one to the operator.
@@ -90,6 +91,23 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering, where 3 divides the crc32 of the id, lower-cases A-Z of the text."""
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", merkle.UPPER, merkle.UPPER.lower())
+    tampered = merkle.row_digest([*(F.col(c) for c in columns[:-1]), lowered])
+    return merkle.manifest(docs, columns, now=F.when(id_bucket("doc_id", 3) == 0, tampered))
+
+
+def main_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,28 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality_query, "op2_near_dedup": near_dedup_query, "op3_packing": packing_query, "op4_secrets": secrets_query, "op5_toxicity": toxicity_query,
         "op6_language_id": language_id_query, "op7_fingerprint": fingerprint_query, "op8_pii": pii_query, "op9_language_model": language_model_query, "op10_decontamination": decontamination_query,
-        "pipeline": pipeline_query,
+        "op11_merkle": merkle_query, "op12_main_text": main_text_query, "op13_search": search_query, "pipeline": pipeline_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": NEAR_DEDUP_SQL}
-
-
-#: Near-duplicates by counting the shared shingles of every pair that shares one, and the closure of the links.
-NEAR_DEDUP_SQL = r"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), runs AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM words
-), shingle AS (SELECT DISTINCT doc_id, unnest(s) AS h FROM runs),
-sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM runs),
-shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
-link AS (
-  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
-), edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
-reach(v, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.v, edge.y FROM reach JOIN edge ON reach.r = edge.x)
-SELECT s.doc_id, s.n AS n_shingles, min(r) AS component_id, s.doc_id = min(r) AS kept
-FROM sizes s JOIN reach ON reach.v = s.doc_id GROUP BY s.doc_id, s.n
-"""
+    return {"op2_near_dedup": NEAR_DEDUP_SQL, "op11_merkle": MERKLE_SQL, "op13_search": SEARCH_SQL}
