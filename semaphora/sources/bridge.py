@@ -149,6 +149,8 @@ def scenes(spark: SparkSession, sf_dir: str, faults: bool = True) -> DataFrame:
             kind = lambda i: F.get(kinds, F.pmod(_h() * 7 + i * 3, F.lit(5)).cast("int"))
             rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc"))
             n = F.pmod(F.floor(F.col("doc") / 20), F.lit(4))
+            if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a file of few splits would leave cores idle
+                rows = rows.repartition(spark.sparkContext.defaultParallelism)
             rows = generated(rows, n, kind, derailer=F.pmod(_h(), F.lit(3)) == 0).select("doc", "scene")
         _WRITTEN[key] = written(rows, "scenes")
     return _WRITTEN[key]

@@ -1,6 +1,7 @@
 """The scene corpus: clean scenes have no issue, every fault has its own; kernels against brute force."""
 
 import itertools
+import time
 
 import duckdb
 import numpy as np
@@ -115,3 +116,20 @@ def test_metrics_over_matches(spark, sf):
     pairs = all_queries()["match_elements"](spark, sf).count()
     nodes = next(r for r in all_queries()["detection_matched"](spark, sf).collect() if r["family"] == "nodes")
     assert nodes["tp"] == pairs and nodes["fp"] > 0 and nodes["fn"] > 0
+
+
+def test_large_documents_cost_what_their_elements_cost(spark):
+    """A document of 1,000 inner nodes: issues of all look-ups are right, and it doesn't take the cube of its size."""
+    from semaphora.operators.generate import generated
+
+    kinds = F.array(*map(F.lit, ("switch", "ekw", "joint")))
+    rows = spark.range(2).select(F.col("id").alias("doc"), F.lit(1000).alias("n"))
+    rows = generated(rows, "n", lambda i: F.get(kinds, F.pmod(F.col("doc") + i, F.lit(3)).cast("int")))
+    assert validator.exploded(validator.validate(rows)).count() == 0
+    edges = F.col("scene.topology.edges")
+    twice = F.array_append(edges, F.get(edges, F.lit(3)))  # an edge again: its id, and the ports of both its ends
+    bad = rows.select("doc", F.col("scene").withField("topology.edges", twice).alias("scene"))
+    began = time.time()
+    found = validator.exploded(validator.validate(bad)).groupBy("doc", "code").count().collect()
+    assert time.time() - began < 100
+    assert sorted((r["doc"], r["code"], r["count"]) for r in found) == [(d, c, n) for d in (0, 1) for c, n in (("ID_DUPLICATE", 1), ("TOPO_DEGREE", 2), ("TOPO_PORT_DUP", 2))]
