@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..scene import LISTS, SCENE, STATES, field, let, path_key, path_of, position_of
-from ..sources.shared import written
 from .documents import shape_problems
 
 ISSUE = ["doc", "code", "severity", "element_id", "path"]
@@ -389,18 +388,16 @@ def validate(scenes: DataFrame, strict: bool = False, *keep: str) -> DataFrame:
     return scenes.select("doc", *keep, ordered(promoted(judged(F.col("scene"), *RULES), strict)).alias("issues"))
 
 
-def validate_documents(docs: DataFrame, strict: bool = False, body: str = "body") -> DataFrame:
-    """(doc, issues) of JSON texts (doc, body): where the shape is wrong, SCHEMA_INVALID and nothing else; elsewhere the
-    rules. Text that is no JSON object, a null too, has one issue at the path "".
+def validate_documents(docs: DataFrame, strict: bool = False, body: str = "body", *keep: str) -> DataFrame:
+    """(doc, the columns keep, issues) of JSON texts (doc, body): where the shape is wrong, SCHEMA_INVALID and nothing
+    else; elsewhere the rules, in order. Text that is no JSON object, a null too, has one issue at the path "".
 
-    The shape and the rules are large expressions, which Spark plans far faster one at a time: what the shape check
-    and the parsing find is written to the shared folder in between."""
-    rows = written(docs.select("doc", F.col(body).alias("body"), shape_problems(F.col(body)).alias("_wrong")), "shapes")
-    sound = F.when(F.size("_wrong") == 0, F.col("body")).otherwise(F.lit("{}"))
-    scenes = written(rows.select("doc", "_wrong", F.from_json(sound, SCENE).alias("scene")), "parsed")
-    found = validate(scenes, strict, "_wrong")
+    One projection without shuffle or table, so documents that arrive as a stream are validated by the same call;
+    repeated rows come out as often as they went in. The expression is large: to build it takes some seconds a query."""
     shape = lambda p: F.struct(F.lit("SCHEMA_INVALID").alias("code"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("element_id"), p.alias("path"))
-    return found.select("doc", F.when(F.size("_wrong") > 0, F.transform("_wrong", shape)).otherwise(F.col("issues")).alias("issues"))
+    found = let(F.from_json(F.col(body), SCENE), lambda scene: ordered(promoted(judged(scene, *RULES), strict)))
+    issues = let(shape_problems(F.col(body)), lambda wrong: F.when(F.size(wrong) > 0, F.transform(wrong, shape)).otherwise(found))
+    return docs.select("doc", *keep, issues.alias("issues"))
 
 
 def report(rows: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import dataset, documents, review, validation
+    from . import dataset, documents, review, streams, validation
 
-    return [validation, dataset, review, documents]
+    return [validation, dataset, review, documents, streams]
 
 
 def all_queries() -> dict:

@@ -1,26 +1,16 @@
-"""The prediction log as a stream: what is last for each pair, and counters for each model."""
+"""The prediction log as a stream: what is last for each pair, counters and latency histograms."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from .sinks import drained
 
-
-def _drained(spark: SparkSession, stream: DataFrame, mode: str, query: str) -> DataFrame:
-    """Runs the stream over what is there now; every batch replaces the result table in the shared folder."""
-    folder = f"{shared_dir(spark)}/stream-{query}-{uuid.uuid4().hex}"
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/result")
-
-    run = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/result")
+#: Upper edges of latency buckets, in milliseconds; what is above the last is in a bucket of its own.
+EDGES_MS = [50.0, 100.0, 250.0, 500.0, 1_000.0, 2_500.0, 5_000.0, 10_000.0, 60_000.0]
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,14 +22,37 @@ def latest_of_stream(spark: SparkSession, sf_dir: str, log_of: Callable[[DataFra
     """State: one row for each (scene_id, model), the one of the largest seq, so late rows change nothing."""
     log = log_of(_events(spark, sf_dir))
     rows = log.groupBy("scene_id", "model").agg(F.max("seq").alias("seq"), F.max_by("ok", "seq").alias("ok"))
-    return _drained(spark, rows, "complete", "latest")
+    return drained(spark, rows, "update", "latest", ["scene_id", "model"])
 
 
 def counters_of_stream(spark: SparkSession, sf_dir: str, log_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rows = log_of(_events(spark, sf_dir)).groupBy("model").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
-    return _drained(spark, rows, "complete", "counters")
+    return drained(spark, rows, "complete", "counters")
+
+
+def bucket(value: Column, edges: list[float] = EDGES_MS) -> Column:
+    """The least edge that a value doesn't exceed; infinity above all of them, null for null."""
+    found = F.lit(float("inf"))
+    for e in reversed(edges):
+        found = F.when(value <= e, F.lit(e)).otherwise(found)
+    return F.when(value.isNotNull(), found)
+
+
+def frame_counters(log: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "10 minutes", edges: list[float] = EDGES_MS) -> DataFrame:
+    """Latency histogram, frames, tokens and cost by window of event time, model, mode and status, of a table or stream.
+
+    log: time, model, mode, status, latency_ms, tokens_in, tokens_out, cost_usd. A row for each bucket that has frames,
+    in which n counts them; rows without latency are in the bucket null. One aggregate: a hot model is folded before
+    the shuffle, and the state of a stream is the buckets of the windows that are open. Rows later than late behind the
+    newest are dropped by the watermark of a stream; rows without a time are dropped."""
+    rows = log.filter(F.col(time).isNotNull())
+    rows = rows.withWatermark(time, late) if log.isStreaming else rows
+    sums = [F.sum(c).alias(c) for c in ("tokens_in", "tokens_out", "cost_usd")]
+    by = [F.window(time, width).alias("w"), "model", "mode", "status", bucket(F.col("latency_ms"), edges).alias("le")]
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("latency_ms").alias("latency_ms"), *sums)
+    return out.select(F.col("w.start").alias("begin"), *out.columns[1:])
 
 
-def windowed_counters(log: DataFrame, time: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counters by model and time window of a stream with event times; rows later than late are dropped by the watermark."""
-    return log.withWatermark(time, late).groupBy(F.window(time, width).alias("window"), "model").agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean_latency_ms"))
+def counters_by_window(spark: SparkSession, sf_dir: str, log_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    rows = frame_counters(log_of(_events(spark, sf_dir)), width="1 day")
+    return drained(spark, rows, "update", "histogram", ["begin", "model", "mode", "status", "le"])
