@@ -19,13 +19,15 @@ SIGNAL = f"struct<id:string,kind:string,label:string,system:string,at:{_AT},geom
 DERAILER = f"struct<id:string,label:string,at:{_AT},geometry:{GEOMETRY},confidence:double>"
 #: A switch position is a word, or a pair of ports as JSON text.
 ROUTE = "struct<id:string,label:string,start:string,end:string,path:array<string>,switch_positions:map<string,string>,confidence:double>"
-STATE = (
-    "struct<switches:map<string,struct<position:string,active_paths:array<array<string>>,raw:string,confidence:double>>,"
-    "signals:map<string,struct<aspect:string,raw:string,confidence:double>>,"
-    "tracks:map<string,struct<occupancy:string,route_set:boolean,confidence:double>>,"
-    "derailers:map<string,struct<position:string,confidence:double>>,"
-    "routes:map<string,struct<status:string,confidence:double>>,observed_at_ms:bigint>"
-)
+#: Family of states -> what is kept of an element.
+STATE_ENTRIES = {
+    "switches": "struct<position:string,active_paths:array<array<string>>,raw:string,confidence:double>",
+    "signals": "struct<aspect:string,raw:string,confidence:double>",
+    "tracks": "struct<occupancy:string,route_set:boolean,confidence:double>",
+    "derailers": "struct<position:string,confidence:double>",
+    "routes": "struct<status:string,confidence:double>",
+}
+STATE = f"struct<{','.join(f'{f}:map<string,{entry}>' for f, entry in STATE_ENTRIES.items())},observed_at_ms:bigint>"
 SOURCE = "struct<kind:string,image:string,width:int,height:int,frame_index:int,timestamp_ms:bigint>"
 PROVENANCE = "struct<kind:string,run_id:string,model_id:string,annotator:string,tool:string,created_at:string>"
 SCENE = (
@@ -35,7 +37,7 @@ SCENE = (
 )
 #: Lists of elements, in the order in which their ids are reported: path in a document, type of an element.
 LISTS = {"topology/nodes": NODE, "topology/edges": EDGE, "signals": SIGNAL, "derailers": DERAILER, "routes": ROUTE}
-STATES = ("switches", "signals", "tracks", "derailers", "routes")
+STATES = tuple(STATE_ENTRIES)
 
 
 def field(scene: Column, path: str) -> Column:
