@@ -73,11 +73,13 @@ def provenance(draft: DataFrame, suggested: DataFrame, final: DataFrame) -> Data
     return rows.select("doc", "id", origin.alias("origin"))
 
 
-def review_summary(draft: DataFrame, origins: DataFrame) -> DataFrame:
-    """Counts for each document, and the share of final elements that a person edited or added."""
+def review_summary(draft: DataFrame, origins: DataFrame, checked: DataFrame) -> DataFrame:
+    """Counts for each document, and the share of final elements that a person edited or added. checked: (doc, id) of what
+    was ticked off, of which final elements count, each once."""
+    ticked = checked.select("doc", "id").distinct().join(origins, ["doc", "id"], "left_semi").groupBy("doc").agg(F.count("*").alias("checked"))
     gone = draft.select("doc", "id").join(origins, ["doc", "id"], "left_anti").groupBy("doc").agg(F.count("*").alias("deleted"))
     sizes = draft.groupBy("doc").agg(F.count("*").alias("draft_elements"))
     of = lambda *o: F.count_if(F.col("origin").isin(*o))
     by = origins.groupBy("doc").agg(F.count("*").alias("final_elements"), *(of(o).alias(o) for o in ("prefill_accepted", "human_edited", "suggestion_accepted", "human_added")), of("human_edited", "human_added").alias("_human"))
-    rows = sizes.join(by, "doc", "full_outer").join(gone, "doc", "left").na.fill(0)
+    rows = sizes.join(by, "doc", "full_outer").join(gone, "doc", "left").join(ticked, "doc", "left").na.fill(0)
     return rows.withColumn("human_share", F.bround(F.col("_human") / F.greatest(F.lit(1), F.col("final_elements")), 3)).drop("_human")

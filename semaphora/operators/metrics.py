@@ -48,3 +48,25 @@ def topology_agreement(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     keyed = lambda df, name: df.select("doc", F.concat_ws("|", F.least(a, b), F.greatest(a, b)).alias("edge")).distinct().withColumn(name, F.lit(1))
     rows = keyed(truth, "t").join(keyed(predicted, "p"), ["doc", "edge"], "full_outer")
     return rows.groupBy("doc").agg(F.round(F.count(F.when(F.col("t").isNotNull() & F.col("p").isNotNull(), 1)) / F.count("*"), 9).alias("jaccard"))
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc, id, degree) of every node; loops count twice, ends at unknown nodes don't count."""
+    ends = edges.select("doc", F.explode(F.array("a_node", "b_node")).alias("id")).groupBy("doc", "id").agg(F.count("*").alias("degree"))
+    return nodes.select("doc", "id").distinct().join(ends, ["doc", "id"], "left").na.fill(0, ["degree"])
+
+
+def degree_agreement(truth: DataFrame, predicted: DataFrame, matched: DataFrame) -> DataFrame:
+    """Agreement of two scenes' degree sequences. Rows of truth and predicted: doc, id, degree; matched: doc, t_id, p_id.
+
+    similarity: of the two sequences as multisets, common part by union (1 for equal ones); same: whether the sorted
+    sequences are equal; matched_share: of all nodes of the truth those whose match has their degree. Documents of only
+    one side have similarity 0; without nodes on either side there is no row."""
+    counts = lambda df, name: df.groupBy("doc", "degree").agg(F.count("*").alias(name))
+    both = counts(truth, "t").join(counts(predicted, "p"), ["doc", "degree"], "full_outer").na.fill(0, ["t", "p"])
+    rows = both.groupBy("doc").agg(F.sum(F.least("t", "p")).alias("_common"), F.sum(F.greatest("t", "p")).alias("_all"), F.sum("t").alias("_n"))
+    t, p = truth.select("doc", F.col("id").alias("t_id"), F.col("degree").alias("_t")), predicted.select("doc", F.col("id").alias("p_id"), F.col("degree").alias("_p"))
+    alike = matched.select("doc", "t_id", "p_id").join(t, ["doc", "t_id"]).join(p, ["doc", "p_id"]).groupBy("doc").agg(F.count_if(F.col("_t") == F.col("_p")).alias("_alike"))
+    share = F.coalesce("_alike", F.lit(0)) / F.nullif("_n", F.lit(0))
+    out = rows.join(alike, "doc", "left")
+    return out.select("doc", F.round(F.col("_common") / F.col("_all"), 9).alias("similarity"), (F.col("_common") == F.col("_all")).alias("same"), F.round(share, 9).alias("matched_share"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import dataset, documents, review, streams, validation
+    from . import board, dataset, documents, review, streams, validation
 
-    return [validation, dataset, review, documents, streams]
+    return [validation, dataset, review, documents, streams, board]
 
 
 def all_queries() -> dict:

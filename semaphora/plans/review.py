@@ -63,7 +63,8 @@ def review_summary(spark: SparkSession, sf: str) -> DataFrame:
     final, draft = _both(spark, sf)
     d = _elements(draft)
     kept = d.filter("id not like 's%'")
-    return consensus.review_summary(kept, consensus.provenance(kept, d.filter("id like 's%'"), _elements(final)))
+    ticked = d.unionByName(_elements(final)).filter((F.col("doc") + F.length("id")) % 4 != 1)
+    return consensus.review_summary(kept, consensus.provenance(kept, d.filter("id like 's%'"), _elements(final)), ticked)
 
 
 def human_share(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,7 +239,8 @@ _IDS = lambda p: " UNION ALL ".join(f"SELECT doc, '{f}' AS family, id FROM {p}{t
 _ELS = lambda p: f"SELECT doc, id, kind || '|' || n_half AS content FROM {p}node UNION ALL SELECT doc, id, concat_ws('|', kind, a_node, a_port, b_node, b_port) FROM {p}edge UNION ALL SELECT doc, id, concat_ws('|', kind, at_edge, at_dir) FROM {p}signal WHERE id <> 'n_w'"
 _PROV = f"""{_TWIN}, d AS ({_ELS('')}), f AS ({_ELS('t_')}), p AS (SELECT f.doc, f.id, CASE WHEN d.id IS NULL THEN 'human_added' WHEN d.content <> f.content THEN 'human_edited' WHEN d.id LIKE 's%' THEN 'suggestion_accepted' ELSE 'prefill_accepted' END AS origin FROM f LEFT JOIN d ON d.doc = f.doc AND d.id = f.id)"""
 _SUM = f"""{_PROV}, s AS (SELECT doc, (SELECT count(*) FROM d WHERE d.doc = p.doc AND d.id NOT LIKE 's%') AS draft_elements, count(*) AS final_elements, count(*) FILTER (origin = 'prefill_accepted') AS prefill_accepted, count(*) FILTER (origin = 'human_edited') AS human_edited,
-  count(*) FILTER (origin = 'suggestion_accepted') AS suggestion_accepted, count(*) FILTER (origin = 'human_added') AS human_added, (SELECT count(*) FROM d WHERE d.doc = p.doc AND d.id NOT LIKE 's%' AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc = d.doc AND f.id = d.id)) AS deleted FROM p GROUP BY doc)"""
+  count(*) FILTER (origin = 'suggestion_accepted') AS suggestion_accepted, count(*) FILTER (origin = 'human_added') AS human_added, (SELECT count(*) FROM d WHERE d.doc = p.doc AND d.id NOT LIKE 's%' AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc = d.doc AND f.id = d.id)) AS deleted,
+  (SELECT count(DISTINCT f.id) FROM f WHERE f.doc = p.doc AND (f.doc + length(f.id)) % 4 <> 1) AS checked FROM p GROUP BY doc)"""
 _GRAPH = f"""WITH {prelude()}, el AS MATERIALIZED (SELECT doc, id, (doc + idx) % 3 AS support FROM node UNION ALL SELECT doc, id, (doc + idx) % 3 FROM edge UNION ALL SELECT doc, id, (doc + idx) % 3 FROM signal WHERE id <> 'n_w'),
 refs AS MATERIALIZED (SELECT doc, id, a_node AS ref FROM edge UNION ALL SELECT doc, id, b_node FROM edge UNION ALL SELECT doc, id, at_edge FROM signal WHERE id <> 'n_w'),
 f0 AS MATERIALIZED (SELECT DISTINCT doc, id FROM el WHERE support >= 2), f1 AS MATERIALIZED (SELECT DISTINCT r.doc, r.ref AS id FROM refs r JOIN f0 ON f0.doc = r.doc AND f0.id = r.id),

@@ -68,7 +68,7 @@ def lenient_document(spark: SparkSession, sf: str) -> DataFrame:
 def to_annotation(spark: SparkSession, sf: str) -> DataFrame:
     rows = recovery.annotations(answers(spark, sf))
     at = lambda p: F.get_json_object("annotation", f"$.{p}")
-    return rows.select("doc", "error", at("scene_id").alias("scene_id"), at("source.width").cast("int").alias("width"), at("provenance.model_id").alias("model_id"), at("topology.nodes[0].geometry.point[0]").cast("double").alias("px"))
+    return rows.select("doc", "error", at("scene_id").alias("scene_id"), at("source.width").cast("double").alias("width"), at("provenance.model_id").alias("model_id"), at("topology.nodes[0].geometry.point[0]").cast("double").alias("px"))
 
 
 def _frames(events: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ SQL = {
       CASE WHEN k = 0 THEN 0 ELSE {_COUNT("state_track")} END AS n_tracks_states, px, py FROM s JOIN w ON w.doc = s.doc WHERE NOT {_HAS_NO} AND k <> 6""",
     "to_annotation": f"""{_ANSWERS}, e AS (SELECT s.doc, CASE WHEN k IN (2, 9) THEN 'no JSON object in the answer' WHEN k IN (0, 10) THEN 'invalid JSON' WHEN k = 3 AND j.n > 0 THEN 'schema: ' || j.n || ' error(s); first: at ' || j.first
       WHEN k = 4 THEN 'schema: 1 error(s); first: at ' WHEN k = 5 THEN 'schema: 1 error(s); first: at state/signals/sig_w/aspect' WHEN k = 6 THEN 'schema: 1 error(s); first: at state/signals/-' END AS error FROM s LEFT JOIN {_JOINTS} j ON j.doc = s.doc)
-      SELECT e.doc, error, CASE WHEN error IS NULL THEN 's' || e.doc END AS scene_id, CASE WHEN error IS NULL THEN 1200 END AS width, CASE WHEN error IS NULL THEN 'm' END AS model_id,
+      SELECT e.doc, error, CASE WHEN error IS NULL THEN 's' || e.doc END AS scene_id, CASE WHEN error IS NULL THEN 1200::DOUBLE END AS width, CASE WHEN error IS NULL THEN 'm' END AS model_id,
       CASE WHEN error IS NULL THEN w.px END AS px FROM e JOIN w ON w.doc = e.doc""",
     "validate_documents": _VALIDATED,
     "stream_validate": _VALIDATED,
