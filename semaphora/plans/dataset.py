@@ -170,15 +170,17 @@ def calibration_ece(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbouring turns of conversations as truth and prediction, in printable ASCII."""
+    """Neighbouring turns of conversations as truth and prediction."""
     from pyspark.sql import Window
 
-    text = F.regexp_replace("text", "[^ -~]", "")
-    rows = _t(spark, sf, "conversations").select("conv_id", "turn", text.alias("truth"), F.lead(text).over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("predicted"))
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("truth"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("predicted"))
     return rows.filter("predicted is not null")
 
 
-_TURNS = """turns AS (SELECT * FROM (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS truth, lead(regexp_replace(text, '[^ -~]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS predicted FROM conversations) WHERE predicted IS NOT NULL)"""
+_TURNS = """turns AS (SELECT * FROM (SELECT conv_id, turn, text AS truth, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS predicted FROM conversations) WHERE predicted IS NOT NULL)"""
+#: DuckDB's levenshtein counts bytes: the letters beyond ASCII that the table has become one byte each, for each its own.
+_BEYOND = "óéñèíüçêäößÉÑÈÓÜÍÇÖÊÄ"
+_BYTES = lambda x: f"translate({x}, '{_BEYOND}', {' || '.join(f'chr({k})' for k in [*range(1, 9), *range(14, 14 + len(_BEYOND) - 8)])})"
 
 
 def label_distance(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +195,9 @@ def label_wer(spark: SparkSession, sf: str) -> DataFrame:
     """Words become characters of a code of the pair's own, so the built-in edit distance counts words."""
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     rows = _turns(spark, sf).select(words("truth").alias("t"), words("predicted").alias("p")).withColumn("code", F.array_distinct(F.concat("t", "p")))
-    coded = lambda c: F.array_join(F.transform(c, lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position("code", w) + 0x4E00).cast("long")), 4, "0")), "UTF-16BE")), "")
+    place = lambda w: F.array_position("code", w) + 0x4E00
+    past = lambda k: F.when(k >= 0xD800, k + 0x800).otherwise(k)  # noqa: E731  no character has a code from D800 to DFFF
+    coded = lambda c: F.array_join(F.transform(c, lambda w: F.decode(F.unhex(F.lpad(F.hex(past(place(w)).cast("long")), 8, "0")), "UTF-32")), "")
     return rows.agg(F.sum(F.levenshtein(coded("t"), coded("p"))).cast("long").alias("edits"), F.sum(F.size("t")).cast("long").alias("words"))
 
 
@@ -216,7 +220,7 @@ QUERIES = {
     "licence_class": _of_records(family=lambda: L.licence_class(F.col("name"))), "spdx_id": _of_records(spdx=lambda: L.spdx_id(F.col("name"))), "licence_url": _of_records(url=lambda: L.licence_url(F.col("name"), F.col("panel_group"))),
     "assign_partition": _of_records(partition=lambda: S.partition_of(F.col("key"))), "difficulty_tier": _of_records(tier=lambda: S.difficulty(F.col("width") / 2.0, F.col("height") / 4000.0)),
     "source_id": _of_records(source_id=lambda: S.source_id(F.col("sha256"))), "image_scale": _of_records(scale=lambda: F.round(S.image_scale(F.col("width") * 5, F.col("height") * 5), 9)), "clip_boxes": _boxes,
-    "html_plain": lambda spark, sf: _t(spark, sf, "pages").select("page_id", L.plain_html(F.col("html")).alias("plain")), "md_escape": lambda spark, sf: _t(spark, sf, "documents").select("doc_id", L.markdown(F.regexp_replace("text", "[^ -~\n]", "")).alias("md")),
+    "html_plain": lambda spark, sf: _t(spark, sf, "pages").select("page_id", L.plain_html(F.col("html")).alias("plain")), "md_escape": lambda spark, sf: _t(spark, sf, "documents").select("doc_id", L.markdown(F.col("text")).alias("md")),
     "extract_json": lambda spark, sf: _t(spark, sf, "events").select("event_id", S.json_span(F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```"))).alias("json")),
     "ingest_funnel": ingest_funnel, "ingest_new": ingest_new, "promote_sync": promote_sync, "manifest_rows": manifest_rows, "attribution": attribution,
     "latest_attempt": lambda spark, sf: log_ops.latest(_log(spark, sf)).select("scene_id", "model", "seq", "ok"), "resume_jobs": resume_jobs, "prediction_cost": prediction_cost, "latency_summary": latency_summary, "majority_vote": majority_vote,
@@ -238,7 +242,7 @@ SQL = {
     "image_scale": f"WITH {_RECORDS} SELECT key, round(greatest(1.0, greatest(width, height) * 5 / 2048::DOUBLE), 9) AS scale FROM records",
     "clip_boxes": f"WITH {_RECORDS}, b AS (SELECT key, width, height, key % 1300 - 100 AS x, key * 3 % 900 - 100 AS y FROM records), c AS (SELECT key, greatest(x, 0) AS x0, greatest(y, 0) AS y0, least(x + 50, width) AS x1, least(y + 80, height) AS y1 FROM b) SELECT key, CASE WHEN x0 < x1 AND y0 < y1 THEN x0 END AS x0, CASE WHEN x0 < x1 AND y0 < y1 THEN y0 END AS y0, CASE WHEN x0 < x1 AND y0 < y1 THEN x1 END AS x1, CASE WHEN x0 < x1 AND y0 < y1 THEN y1 END AS y1 FROM c",
     "html_plain": "SELECT page_id, nullif(replace(replace(replace(trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), '&amp;', '&'), '&quot;', '\"'), '&#039;', chr(39)), '') AS plain FROM pages",
-    "md_escape": f"SELECT doc_id, {_MD('regexp_replace(text, ' + chr(39) + '[^ -~' + chr(10) + ']' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS md FROM documents",
+    "md_escape": f"SELECT doc_id, {_MD('text')} AS md FROM documents",
     "extract_json": "SELECT event_id, regexp_extract(props, '(?s)\\{.*\\}') AS json FROM events",
     "ingest_funnel": f"{_INGEST} SELECT reason, count(*) AS n FROM (SELECT unnest(['seen', reason]) AS reason FROM decided) GROUP BY 1",
     "ingest_new": f"{_INGEST} SELECT key, title, body AS source_id FROM decided WHERE reason = 'new'",
@@ -257,6 +261,6 @@ SQL = {
     "task_scenes": "SELECT doc_id, source FROM documents WHERE source = 'src0' ORDER BY doc_id LIMIT 25",
     "calibration_brier": f"{_CAL} SELECT round(avg(pow(c - y, 2)), 9) AS brier, count(*) AS n FROM l",
     "calibration_ece": f"{_CAL}, b AS (SELECT least(floor(c * 10), 9) AS bin, count(*) AS n, avg(y) AS a, avg(c) AS c FROM l GROUP BY 1) SELECT round(sum(n * abs(a - c)) / sum(n), 9) AS ece FROM b",
-    "label_distance": f"WITH {_TURNS} SELECT conv_id, turn, round(CASE WHEN greatest(length(trim(truth)), length(trim(predicted))) = 0 THEN 0 ELSE levenshtein(trim(truth), trim(predicted)) / greatest(length(trim(truth)), length(trim(predicted)))::DOUBLE END, 9) AS distance FROM turns",
-    "label_cer": f"WITH {_TURNS}, s AS (SELECT CAST(sum(levenshtein(truth, predicted)) AS BIGINT) AS edits, CAST(sum(length(truth)) AS BIGINT) AS chars FROM turns) SELECT edits, chars, round(edits / chars, 9) AS cer FROM s",
+    "label_distance": f"WITH {_TURNS} SELECT conv_id, turn, round(CASE WHEN greatest(length(trim(truth)), length(trim(predicted))) = 0 THEN 0 ELSE levenshtein({_BYTES('trim(truth)')}, {_BYTES('trim(predicted)')}) / greatest(length(trim(truth)), length(trim(predicted)))::DOUBLE END, 9) AS distance FROM turns",
+    "label_cer": f"WITH {_TURNS}, s AS (SELECT CAST(sum(levenshtein({_BYTES('truth')}, {_BYTES('predicted')})) AS BIGINT) AS edits, CAST(sum(length(truth)) AS BIGINT) AS chars FROM turns) SELECT edits, chars, round(edits / chars, 9) AS cer FROM s",
 }

@@ -123,6 +123,11 @@ def _issue(code: str, element: str, path: str, source: str) -> str:
     return f"SELECT doc, '{code}' AS code, '{severity}' AS severity, {element} AS element_id, {path} AS path FROM {source}"
 
 
+def _stated(k: int) -> str:
+    """(doc, f, id) of states (k = 1), of elements that states may name (2) and of elements that need a state (3)."""
+    return " UNION ALL ".join(f"SELECT doc, '{family[0]}' AS f, id FROM {family[k]}" for family in _STATES)
+
+
 _RULE_SQL = {
     "rule1_dup_ids": _issue("ID_DUPLICATE", "id", "path", "(SELECT doc, id, arg_min(family || '/' || idx, f * 100000 + idx) AS path FROM ids GROUP BY doc, id HAVING count(*) > 1)"),
     "rule2_edge_refs": _issue("TOPO_DANGLING_REF", "id", "'topology/edges/' || idx || '/' || e", "ends WHERE NOT EXISTS (SELECT 1 FROM node WHERE node.doc = ends.doc AND node.id = ends.node)"),
@@ -133,8 +138,8 @@ _RULE_SQL = {
     "rule6_degree": _issue("TOPO_DEGREE", "id", "'topology/nodes/' || idx", f"(SELECT n.*, degree, (SELECT count(*) FROM ends WHERE ends.doc = n.doc AND ends.node = n.id) AS c FROM node n JOIN {_DEGREES} ON degrees.kind = n.kind) WHERE c <> degree"),
     "rule7_half_labels": _issue("NODE_HALF_LABELS_UNEXPECTED", "id", "'topology/nodes/' || idx || '/half_labels'", "node WHERE n_half > 0 AND kind NOT IN ('ekw', 'dkw')"),
     "rule8_geometry": _issue("GEOM_OUT_OF_BOUNDS", "id", "path", "(SELECT doc, id, path FROM base JOIN (VALUES (0, 'n_w', 'topology/nodes/0/geometry/point'), (1, 'm0', 'topology/edges/0/geometry/polyline'), (2, 'sig_w', 'signals/0/geometry/bbox'), (3, 'sig_e', 'signals/1/geometry/point')) AS g(k, id, path) ON fault = 10 AND h % 4 = k)"),
-    "rule9_state_keys": " UNION ALL ".join(_issue("STATE_UNKNOWN_ELEMENT", "id", f"'state/{f}/' || id", f"{s} s WHERE NOT EXISTS (SELECT 1 FROM {known} k WHERE k.doc = s.doc AND k.id = s.id)") for f, s, known, _ in _STATES),
-    "rule14_state_missing": " UNION ALL ".join(_issue("STATE_MISSING", "id", f"'state/{f}/' || id", f"(SELECT doc, id FROM {need}) s WHERE NOT EXISTS (SELECT 1 FROM {s} k WHERE k.doc = s.doc AND k.id = s.id)") for f, s, _, need in _STATES),
+    "rule9_state_keys": _issue("STATE_UNKNOWN_ELEMENT", "id", "'state/' || f || '/' || id", f"(SELECT * FROM ({_stated(1)}) ANTI JOIN ({_stated(2)}) USING (doc, f, id))"),
+    "rule14_state_missing": _issue("STATE_MISSING", "id", "'state/' || f || '/' || id", f"(SELECT * FROM ({_stated(3)}) ANTI JOIN ({_stated(1)}) USING (doc, f, id))"),
     "rule10_state_fields": _issue("STATE_WRONG_FIELD_FOR_KIND", "id", "'state/switches/' || id || field", "(SELECT s.doc, s.id, CASE WHEN kind NOT IN ('switch', 'ekw', 'dkw') THEN '' WHEN kind = 'switch' AND paths IS NOT NULL THEN '/active_paths' WHEN kind <> 'switch' AND position IS NOT NULL THEN '/position' END AS field FROM state_switch s JOIN node n ON n.doc = s.doc AND n.id = s.id) WHERE field IS NOT NULL"),
     "rule11_path_sets": _issue("STATE_PATH_NOT_ALLOWED", "id", "'state/switches/' || id || '/active_paths'", """(SELECT s.doc, s.id FROM state_switch s JOIN node n ON n.doc = s.doc AND n.id = s.id, LATERAL (SELECT string_split(paths, '|') AS p, string_split(replace(paths, '|', '-'), '-') AS ports)
       WHERE n.kind IN ('ekw', 'dkw') AND paths IS NOT NULL AND paths <> '' AND NOT (len(ports) = len(list_distinct(ports)) AND (list_has_all(['A-C', 'B-D'], p) OR (n.kind = 'ekw' AND list_has_all(['A-D'], p)) OR (n.kind = 'dkw' AND list_has_all(['A-D', 'B-C'], p)))))"""),

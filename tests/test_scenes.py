@@ -121,15 +121,35 @@ def test_metrics_over_matches(spark, sf):
 def test_large_documents_cost_what_their_elements_cost(spark):
     """A document of 1,000 inner nodes: issues of all look-ups are right, and it doesn't take the cube of its size."""
     from semaphora.operators.generate import generated
+    from semaphora.sources.shared import written
 
     kinds = F.array(*map(F.lit, ("switch", "ekw", "joint")))
     rows = spark.range(2).select(F.col("id").alias("doc"), F.lit(1000).alias("n"))
-    rows = generated(rows, "n", lambda i: F.get(kinds, F.pmod(F.col("doc") + i, F.lit(3)).cast("int")))
+    rows = written(generated(rows, "n", lambda i: F.get(kinds, F.pmod(F.col("doc") + i, F.lit(3)).cast("int"))), "large")
     assert validator.exploded(validator.validate(rows)).count() == 0
     edges = F.col("scene.topology.edges")
     twice = F.array_append(edges, F.get(edges, F.lit(3)))  # an edge again: its id, and the ports of both its ends
-    bad = rows.select("doc", F.col("scene").withField("topology.edges", twice).alias("scene"))
+    bad = written(rows.select("doc", F.col("scene").withField("topology.edges", twice).alias("scene")), "large")
     began = time.time()
     found = validator.exploded(validator.validate(bad)).groupBy("doc", "code").count().collect()
     assert time.time() - began < 100
     assert sorted((r["doc"], r["code"], r["count"]) for r in found) == [(d, c, n) for d in (0, 1) for c, n in (("ID_DUPLICATE", 1), ("TOPO_DEGREE", 2), ("TOPO_PORT_DUP", 2))]
+
+
+def test_families_are_matched_apart(spark):
+    """Equal positions in two families don't meet in one matrix."""
+    rows = [(1, f, t, p, f"{f}{t}", f"{f}{p}", 0.1 if t == p else 0.5) for f, n in (("nodes", 3), ("signals", 2)) for t in range(n) for p in range(n)]
+    pairs = spark.createDataFrame(rows, "doc long, family string, t_idx int, p_idx int, t_id string, p_id string, cost double")
+    got = sorted((r["family"], r["t_id"], r["p_id"]) for r in matching.matches(pairs).collect())
+    assert got == [(f, f"{f}{i}", f"{f}{i}") for f, n in (("nodes", 3), ("signals", 2)) for i in range(n)]
+
+
+def test_word_errors_of_very_many_words(spark, monkeypatch):
+    """More distinct words than there are characters below the surrogates, and words beyond ASCII."""
+    from semaphora.plans import dataset
+
+    many = " ".join(f"w{i}" for i in range(36_000))
+    rows = [("w0 wörd w3", "w0 word w3"), (many, "w35999 w1"), ("", "a b"), ("ß é", "é")]
+    turns = spark.createDataFrame(rows, "truth string, predicted string")
+    monkeypatch.setattr(dataset, "_turns", lambda spark, sf: turns)
+    assert tuple(dataset.label_wer(spark, "").first()) == (1 + 35_999 + 2 + 1, 3 + 36_000 + 0 + 2)
