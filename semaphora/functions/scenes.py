@@ -57,6 +57,26 @@ def label_distance(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 0.0).when(a.isNull() | b.isNull(), 1.0).when(longest == 0, 0.0).otherwise(F.levenshtein(x, y) / longest)
 
 
+def words(c: Column) -> Column:
+    """The words of a text between spaces."""
+    return F.filter(F.split(c, " "), lambda w: w != "")
+
+
+def word_edits(a: Column, b: Column) -> Column:
+    """Edit distance of two texts in words: words become characters of a code of the pair's own, so that the built-in
+    distance counts words. Null for a null."""
+    past = lambda k: F.when(k >= 0xD800, k + 0x800).otherwise(k)  # noqa: E731  no character has a code from D800 to DFFF
+    letter = lambda k: F.decode(F.unhex(F.lpad(F.hex(past(k).cast("long")), 8, "0")), "UTF-32")
+
+    def coded(pair: Column) -> Column:
+        code = F.array_distinct(F.concat(pair["a"], pair["b"]))
+        text = lambda side, code: F.array_join(F.transform(side, lambda w: letter(F.array_position(code, w) + 0x4E00)), "")
+        return F.get(F.transform(F.array(code), lambda code: F.levenshtein(text(pair["a"], code), text(pair["b"], code))), F.lit(0))
+
+    pair = F.struct(words(a).alias("a"), words(b).alias("b"))
+    return F.get(F.transform(F.array(pair), coded), F.lit(0))
+
+
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance of a point to a segment."""
     dx, dy = bx - ax, by - ay

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import board, dataset, documents, review, streams, validation
+    from . import board, dataset, documents, evaluation, review, streams, validation
 
-    return [validation, dataset, review, documents, streams, board]
+    return [validation, dataset, review, documents, streams, board, evaluation]
 
 
 def all_queries() -> dict:

@@ -192,13 +192,8 @@ def label_cer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_wer(spark: SparkSession, sf: str) -> DataFrame:
-    """Words become characters of a code of the pair's own, so the built-in edit distance counts words."""
-    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    rows = _turns(spark, sf).select(words("truth").alias("t"), words("predicted").alias("p")).withColumn("code", F.array_distinct(F.concat("t", "p")))
-    place = lambda w: F.array_position("code", w) + 0x4E00
-    past = lambda k: F.when(k >= 0xD800, k + 0x800).otherwise(k)  # noqa: E731  no character has a code from D800 to DFFF
-    coded = lambda c: F.array_join(F.transform(c, lambda w: F.decode(F.unhex(F.lpad(F.hex(past(place(w)).cast("long")), 8, "0")), "UTF-32")), "")
-    return rows.agg(F.sum(F.levenshtein(coded("t"), coded("p"))).cast("long").alias("edits"), F.sum(F.size("t")).cast("long").alias("words"))
+    edits, size = S.word_edits(F.col("truth"), F.col("predicted")), F.size(S.words(F.col("truth")))
+    return _turns(spark, sf).agg(F.sum(edits).cast("long").alias("edits"), F.sum(size).cast("long").alias("words"))
 
 
 def _cols(name: str, key: str, **cols):

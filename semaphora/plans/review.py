@@ -222,7 +222,7 @@ def _of_votes(f):
 
 
 QUERIES = {
-    "pair_costs": lambda spark, sf: _pair(spark, sf).select("doc", "t_id", "p_id", F.round("cost", 9).alias("cost")), "match_elements": lambda spark, sf: matching.matches(_pair(spark, sf)).drop("t_idx"), "assignment": lambda spark, sf: matching.matches(_pair(spark, sf, 0, 2)).drop("t_idx"),
+    "pair_costs": lambda spark, sf: _pair(spark, sf).select("doc", "t_id", "p_id", F.round("cost", 9).alias("cost")), "match_elements": lambda spark, sf: matching.matches(_pair(spark, sf)).drop("t_idx", "p_idx"), "assignment": lambda spark, sf: matching.matches(_pair(spark, sf, 0, 2)).drop("t_idx", "p_idx"),
     "cluster_members": _of_votes(lambda v: matching.clusters(v, DIAGONAL)), "consensus_draft": consensus_draft, "merged_draft": merged_draft, "state_vote": state_vote, "route_keys": route_keys, "detection_matched": detection_matched, "polyline_distance": polyline_distance, "cluster_support": _of_votes(lambda v: consensus.support(v, ["label", "kind"], 3)),
     "median_point": _of_votes(consensus.median_points), "draft_ids": _of_votes(lambda v: consensus.draft_ids(v, "nodes")), "medoid": _of_votes(lambda v: consensus.medoids(v, DIAGONAL)), "translate_refs": translate_refs,
     "draft_closure": draft_closure, "suggestions": suggestions, "provenance_diff": provenance_diff, "review_summary": review_summary, "human_share": human_share, "edge_pair_costs": edge_pair_costs, "nearest_edge": nearest_edge, "polyline_samples": polyline_samples,
