@@ -98,6 +98,22 @@ def test_labelled_values_are_judged(spark):
         assert out[i] == (text if clean is None else clean) if clean != "" else "ghp_" not in out[i], (text, out[i])
 
 
+def test_short_long_and_foreign_values(spark):
+    """Short values, values of any length, labels of four languages and values that are said; near misses stay."""
+    model = secrets.train(secrets.labelled_findings(spark))
+    key = "q7Zt2Lw9Vb4Xn8Kd" * 100
+    cases = {
+        "set password=hunter2 now": "set password=[SECRET] now", "DB_PASS: Tr0ub4dor&3 end": "DB_PASS: [SECRET] end", "mein passwort lautet Zx9!kk22 ja": "mein passwort lautet [SECRET] ja",
+        "la contraseña: Gt5kwa2x! fin": "la contraseña: [SECRET] fin", "mot de passe : dragon77 oui": "mot de passe : [SECRET] oui", "Kennwort=sommer19 gut": "Kennwort=[SECRET] gut",
+        f'api_key="{key}" end': 'api_key="[SECRET]" end', f"token={key} end": "token=[SECRET] end", f'secret="{key * 4}" end': 'secret="[SECRET]" end',
+        "auth: oauth2 is used": None, "the password is required here": None, "bypass=on and compass: north": None, "the token is page12 here": None,
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(docs, model).collect()}
+    wrong = {text[:60]: out[i][:80] for i, (text, clean) in enumerate(cases.items()) if out[i] != (clean or text)}
+    assert not wrong, (wrong, secrets.findings(docs, model).select("doc_id", "masked", "length", "score").collect())
+
+
 def test_candidates_and_features_by_hand(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"]}
