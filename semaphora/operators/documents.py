@@ -61,26 +61,30 @@ SCENE = {
 }
 
 
-def _part(v: Column, name: str, kind: str = "variant") -> Column:
+def _part(v: Column, name: str, kind: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", kind)
 
 
+def _among(word: Column, words: list[str]) -> Column:
+    return F.array_contains(F.array(*map(F.lit, words)), word)
+
+
 def _plain(what: str | list[str], v: Column, t: Column) -> Column:
     """Whether a value v of type t is what a field without inner fields holds."""
     text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
     whole, is_number = t == "BIGINT", (t == "BIGINT") | (t == "DOUBLE") | t.startswith("DECIMAL")
     if isinstance(what, list):
-        return (t == "STRING") & text.isin(what)
+        return (t == "STRING") & _among(text, what)
     items = F.try_variant_get(v, "$", "array<variant>")
     type_, text_of = F.schema_of_variant, lambda x: F.try_variant_get(x, "$", "string")
     sure = lambda x: F.coalesce(x, F.lit(False))
     array = lambda x, n, ok: type_(x).startswith("ARRAY") & (F.size(F.try_variant_get(x, "$", "array<variant>")) == n) & F.forall(F.try_variant_get(x, "$", "array<variant>"), ok)
     numeric = lambda x: type_(x).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$")
-    port = lambda x: (type_(x) == "STRING") & sure(text_of(x).isin(PORTS))
+    port = lambda x: (type_(x) == "STRING") & sure(_among(text_of(x), PORTS))
     pair = lambda x: sure(array(x, 2, port))
     all_ = lambda ok: t.startswith("ARRAY") & F.forall(items, ok)
     entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-    setting = lambda e: e["key"].rlike(ID) & (((type_(e["value"]) == "STRING") & sure(text_of(e["value"]).isin(POSITIONS))) | pair(e["value"]))
+    setting = lambda e: e["key"].rlike(ID) & (((type_(e["value"]) == "STRING") & sure(_among(text_of(e["value"]), POSITIONS))) | pair(e["value"]))
     return {
         "id": lambda: (t == "STRING") & text.rlike(ID), "text": lambda: t == "STRING", "flag": lambda: t == "BOOLEAN", "whole": lambda: whole, "size": lambda: whole & (number >= 1),
         "unit": lambda: is_number & number.between(0, 1), "texts": lambda: all_(lambda x: type_(x) == "STRING"), "object": lambda: t.startswith("OBJECT"),
@@ -90,8 +94,13 @@ def _plain(what: str | list[str], v: Column, t: Column) -> Column:
     }[what]()
 
 
+def _fields(v: Column) -> Column:
+    """The fields of an object, null for what is none: told without the schema of all that is below."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
 def _object(v: Column, model: dict, path: Column) -> Column:
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), problems(v, model, path)).otherwise(F.array(path))
+    return let(_fields(v), lambda m: F.when(m.isNotNull(), problems(m, model, path)).otherwise(F.array(path)))
 
 
 def _item(path: Column, model: dict):
@@ -106,40 +115,36 @@ def _entry(path: Column, model: dict):
     return check
 
 
-def _inside(f: Column, model: dict, path: Column) -> Column:
-    """problems() of an inner object, which is taken out once."""
-    return let(f, lambda x: problems(x, model, path))
+def _value(f: Column, what, at: Column) -> Column:
+    """Paths at which the value f, which is there and not null, is not what its field holds."""
+    none = F.array().cast("array<string>")
+    if isinstance(what, dict):
+        return _object(f, what, at)
+    if isinstance(what, tuple):
+        return let(_fields(f), lambda m: F.when(m.isNotNull(), F.flatten(F.transform(F.map_entries(m), _entry(at, what[0])))).otherwise(F.array(at)))
+    if isinstance(what[0], dict):
+        return let(F.try_variant_get(f, "$", "array<variant>"), lambda items: F.when(items.isNotNull(), F.flatten(F.transform(items, _item(at, what[0])))).otherwise(F.array(at)))
+    return let(F.schema_of_variant(f), lambda t: F.when(F.coalesce(_plain(what, f, t), F.lit(False)), none).otherwise(F.array(at)))
 
 
-def problems(v: Column, model: dict, path: Column) -> Column:
-    """Paths at which the object v is not of the model: an array, empty if all is right.
+def problems(fields: Column, model: dict, path: Column) -> Column:
+    """Paths at which an object, given as its fields, is not of the model: an array, empty if all is right.
 
-    A missing or unknown field is reported at the object, a wrong value at the field."""
-    below = lambda name: F.concat_ws("/", F.nullif(path, F.lit("")), F.lit(name))
+    A missing or unknown field is reported at the object, a wrong value at the field. Each field is taken out once."""
     none, one = F.array().cast("array<string>"), lambda p: F.array(p)
-    known = F.array(*map(F.lit, model))
-    parts = [F.when(F.size(F.array_except(F.json_object_keys(F.to_json(v)), known)) > 0, one(path)).otherwise(none)]
+    parts = [F.when(F.forall(F.map_keys(fields), lambda k: _among(k, list(model))), none).otherwise(one(path))]
     for name, (what, need) in model.items():
-        f = _part(v, name)
-        t = F.schema_of_variant(f)
-        if isinstance(what, dict):
-            inner = F.when(t.startswith("OBJECT"), _inside(f, what, below(name))).otherwise(one(below(name)))
-        elif isinstance(what, tuple):
-            inner = F.when(t.startswith("OBJECT"), F.flatten(F.transform(F.map_entries(_part(v, name, "map<string,variant>")), _entry(below(name), what[0])))).otherwise(one(below(name)))
-        elif isinstance(what[0], dict):
-            inner = F.when(t.startswith("ARRAY"), F.flatten(F.transform(_part(v, name, "array<variant>"), _item(below(name), what[0])))).otherwise(one(below(name)))
-        else:
-            inner = F.when(F.coalesce(_plain(what, f, t), F.lit(False)), none).otherwise(one(below(name)))
+        at = F.concat_ws("/", F.nullif(path, F.lit("")), F.lit(name))
         absent = one(path) if need == "!" else none
-        void = none if need == "?" else one(below(name))
-        parts.append(F.when(f.isNull(), absent).when(t == "VOID", void).otherwise(inner))
+        void = none if need == "?" else one(at)
+        check = lambda f, what=what, at=at, absent=absent, void=void: F.when(f.isNull(), absent).when(F.is_variant_null(f), void).otherwise(_value(f, what, at))
+        parts.append(let(F.try_element_at(fields, F.lit(name)), (lambda check: lambda f: check(f))(check)))
     return F.flatten(F.array(*parts))
 
 
 def shape_problems(body: Column) -> Column:
     """Paths, in order and each once, at which a JSON text is not a scene document; [""] if it is no JSON object."""
-    whole = lambda v: F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), problems(v, SCENE, F.lit(""))).otherwise(F.array(F.lit("")))
-    return F.array_sort(F.array_distinct(let(F.try_parse_json(body), whole)))
+    return F.array_sort(F.array_distinct(_object(F.try_parse_json(body), SCENE, F.lit(""))))
 
 
 def schema_issues(docs: DataFrame, body: str = "body") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from semaphora.operators import documents as D
 from semaphora.operators import matching
 from semaphora.operators.generate import generated
 from semaphora.plans.board import degree_sequences
@@ -61,3 +62,11 @@ def test_assignment_is_the_least_of_all():
         assert len(full) == len(flip) and abs(sum(cost[p] for p in full) - least) < 1e-6
         assert all(cost[p] <= 0.6 for p in matching.assign(cost))
     assert settled > 100
+
+
+def test_shape_check_takes_each_field_once(spark):
+    """No object is written out as text for its keys, and no list or object has its whole schema derived."""
+    rows = spark.createDataFrame([(1, '{"schema_version":"v0","more":1}'), (2, "[1]"), (3, None)], "doc long, body string").select("doc", D.shape_problems(F.col("body")).alias("p"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "json_object_keys" not in plan
+    assert {r.doc: r.p for r in rows.collect()} == {1: [""], 2: [""], 3: [""]}
