@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import removed, written
 from .expressions import gaps, let, matches, starts
 
 # Forms and words that credential scanners look for.
@@ -172,12 +173,17 @@ def train(findings: DataFrame) -> PipelineModel | None:
 
     None if either label is missing: nothing is known then of false positives, and every candidate scores 1."""
     rows = findings.dropna(subset=["candidate", "before", "after", "label"]).filter(F.col("label").isin(0, 1))
-    if rows.select("label").distinct().count() < 2:
-        return None
     rows = rows.select(F.col("label").cast("double").alias("label"), *(c.alias(k) for k, c in features(*map(F.col, ("candidate", "before", "after", "path"))).items()))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt")
-    assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    return PipelineModel([assemble, forest.fit(assemble.transform(rows))])
+    # the forest runs many jobs: each would plan, compile and keep the text of all features
+    rows = written(rows, "secrets-features")
+    try:
+        if rows.select("label").distinct().count() < 2:
+            return None
+        forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt")
+        assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
+        return PipelineModel([assemble, forest.fit(assemble.transform(rows))])
+    finally:
+        removed(rows)
 
 
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:

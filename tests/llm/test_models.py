@@ -3,13 +3,14 @@
 import itertools
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from semaphora.llm import language_id, quality, toxicity
+from semaphora.llm import language_id, quality, secrets, toxicity
 from semaphora.llm.common import Words, mixed
 from semaphora.llm.queries import language_id_query, quality_query, toxicity_query
 
@@ -266,3 +267,20 @@ def test_hard_rows(spark):
     assert len(out) == 17 and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.scored(h, toxicity.fit(empty(spark).withColumn("label", F.lit(1)), h)).count() == 17
     assert toxicity.scored(empty(spark), tox).count() == 0
+
+
+def test_findings_are_read_once(spark, tmp_path):
+    """The forest's many jobs do not work out the findings and their features again and again."""
+    made = secrets.labelled_findings(spark, 400).coalesce(1).cache()
+
+    def seen(batches):
+        for batch in batches:
+            if batch.num_rows:
+                (tmp_path / uuid.uuid4().hex).touch()
+            yield batch
+
+    made.count()
+    rows = made.coalesce(1).mapInArrow(seen, made.schema)
+    assert secrets.train(rows) is not None
+    assert len(list(tmp_path.iterdir())) == 1
+    made.unpersist()
