@@ -10,7 +10,7 @@ from semaphora.operators import documents as D
 from semaphora.operators import matching
 from semaphora.operators.generate import generated
 from semaphora.plans.board import degree_sequences
-from semaphora.plans.review import edge_pair_costs, nearest_edge
+from semaphora.plans.review import consensus_draft, edge_pair_costs, nearest_edge
 from semaphora.sources import bridge
 
 
@@ -48,6 +48,25 @@ def test_elements_are_not_broadcast(spark, sf, query):
     assert _broadcasts(query(spark, sf)) == []
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draft_clusters_once_and_shuffles_votes_once(spark, sf):
+    """Scenes are dealt out by doc before anything is taken from them; behind the kernel votes move once, with all they need."""
+    plan = _plan(consensus_draft(spark, sf))
+    assert plan.count("MapInArrow") == 1
+    assert plan.count("Exchange hashpartitioning") == 4  # keys for the elements and for both sides of the pairs, then the votes
+
+
+def test_pairs_too_far_apart_are_left_out(spark):
+    rows = [(1, m, i, f"{m}{i}", "a", "k", 300.0 * i + m, 0.0) for m in range(2) for i in range(3)]
+    e = spark.createDataFrame(rows, "doc long, model_no int, idx int, id string, label string, kind string, x double, y double")
+    assert matching.between(e, 894.0).count() == 3
+    got = {(r.model_no, r.id, r.cluster_no, r.label) for r in matching.clusters(e, 894.0, matching.THRESHOLD, "label").collect()}
+    assert got == {(m, f"{m}{i}", i, "a") for m in range(2) for i in range(3)}
+
+
 def test_assignment_is_the_least_of_all():
     rng = np.random.default_rng(7)
     settled = 0
