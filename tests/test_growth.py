@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from semaphora.operators import documents as D
-from semaphora.operators import matching
+from semaphora.operators import matching, metrics
 from semaphora.operators.generate import generated
 from semaphora.plans.board import degree_sequences
-from semaphora.plans.review import consensus_draft, edge_pair_costs, nearest_edge
+from semaphora.plans.review import QUERIES, consensus_draft, edge_pair_costs, nearest_edge
 from semaphora.sources import bridge
 
 
@@ -89,3 +89,12 @@ def test_shape_check_takes_each_field_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "json_object_keys" not in plan
     assert {r.doc: r.p for r in rows.collect()} == {1: [""], 2: [""], 3: [""]}
+
+
+def test_two_sides_are_grouped_not_joined(spark, sf):
+    plans = [_plan(f(spark, sf)) for f in (QUERIES["detection_prf1"], QUERIES["topology_jaccard"])]
+    assert not any("FullOuter" in p for p in plans)
+    row = "doc long, family string, id string"
+    t = spark.createDataFrame([(1, "f", "a"), (1, "f", "a"), (1, "f", None)], row)
+    p = spark.createDataFrame([(1, "f", "a"), (1, "f", None), (2, "f", "b")], row)
+    assert {(r.family, r.tp, r.fp, r.fn) for r in metrics.detection(t, p).collect()} == {("f", 1, 2, 1), (None, 1, 2, 1)}
