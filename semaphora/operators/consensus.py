@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scenes import point_distance, review_status
+from ..scene import let
 
 PREFIX = {"nodes": "n", "edges": "e", "signals": "s", "derailers": "d", "routes": "r"}
 
@@ -78,22 +79,36 @@ def translated(references: DataFrame, ids: DataFrame) -> DataFrame:
     return references.join(known, ["doc", "model_no", "ref"], "left").select("doc", "model_no", "id", F.coalesce("draft_id", "ref").alias("ref"))
 
 
-def closure(elements: DataFrame, references: DataFrame, min_support: int) -> DataFrame:
+def _listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """(doc, name) of rows (doc, columns): all that a document has, as one array."""
+    return rows.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def closure(elements: DataFrame, references: DataFrame, min_support: int | Column) -> DataFrame:
     """(doc, id) of elements of enough support and all they refer to, at any depth (three steps: routes refer to
-    signals and edges, signals to edges, edges to nodes)."""
-    front = elements.filter(F.col("support") >= min_support).select("doc", "id").distinct()
-    chosen = front
-    for _ in range(3):
-        front = references.join(front, ["doc", "id"], "left_semi").select("doc", F.col("ref").alias("id")).distinct()
-        chosen = chosen.unionAll(front)
-    return chosen.distinct().join(elements.select("doc", "id"), ["doc", "id"], "left_semi")
+    signals and edges, signals to edges, edges to nodes). A reference stays in its document, so the steps are taken in it."""
+    known = elements.select("doc", "id", (F.col("support") >= min_support).alias("enough")).filter("doc is not null and id is not null")
+    rows = _listed(known, "e", "id", "enough").join(_listed(references.filter("id is not null and ref is not null"), "r", "id", "ref"), "doc", "left")
+
+    def steps(front: Column, n: int) -> Column:
+        if n == 0:
+            return front
+        after = lambda f: F.array_distinct(F.transform(F.filter("r", lambda x: F.array_contains(f, x["id"])), lambda x: x["ref"]))
+        return let(front, lambda f: F.concat(f, F.when(F.col("r").isNotNull(), steps(after(f), n - 1)).otherwise(F.array().cast("array<string>"))))
+
+    front = F.array_distinct(F.transform(F.filter("e", lambda x: x["enough"]), lambda x: x["id"]))
+    return rows.select("doc", F.explode(F.array_intersect(F.col("e.id"), steps(front, 3))).alias("id"))
 
 
 def suggestions(elements: DataFrame, references: DataFrame, chosen: DataFrame) -> DataFrame:
     """doc, id, requires: elements that weren't chosen, and what they refer to that wasn't either."""
-    out = elements.select("doc", "id").distinct().join(chosen, ["doc", "id"], "left_anti")
-    lacking = references.join(chosen.withColumnRenamed("id", "ref"), ["doc", "ref"], "left_anti").groupBy("doc", "id").agg(F.array_join(F.array_sort(F.collect_set("ref")), ",").alias("requires"))
-    return out.join(lacking, ["doc", "id"], "left").select("doc", "id", F.coalesce("requires", F.lit("")).alias("requires"))
+    rows = _listed(elements, "e", "id").join(_listed(references.filter("ref is not null"), "r", "id", "ref"), "doc", "left").join(_listed(chosen, "c", "id"), "doc", "left")
+    none = F.array().cast("array<string>")
+    taken = F.coalesce(F.col("c.id"), none)
+    open_ = F.coalesce(F.filter("r", lambda x: ~F.array_contains(taken, x["ref"])), F.array().cast("array<struct<id:string,ref:string>>"))
+    rows = rows.select("doc", F.array_except(F.col("e.id"), taken).alias("out"), open_.alias("open"))
+    requires = lambda i: F.array_join(F.sort_array(F.array_distinct(F.transform(F.filter("open", lambda x: x["id"] == i), lambda x: x["ref"]))), ",")
+    return rows.select("doc", F.inline(F.transform("out", lambda i: F.struct(i.alias("id"), requires(i).alias("requires")))))
 
 
 def provenance(draft: DataFrame, suggested: DataFrame, final: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import nearest_on_line
+from ..scene import let
 
 #: Steps from a suggestion to what it requires: a route requires signals and edges, a signal edges, an edge nodes.
 DEPTH = 4
@@ -50,17 +51,26 @@ def adopted(chosen: DataFrame, suggested: DataFrame, requires: DataFrame, presen
 
     Ids that are no suggestion, or in the document already, don't enter, nor does what only they require. References go
     down a fixed ladder of families, so DEPTH joins reach all; of one step's elements the smaller id is first."""
-    open_ = suggested.select("doc", "id").distinct().join(present.select("doc", "id"), ["doc", "id"], "left_anti")
-    links = requires.select("doc", "id", "ref").distinct()
-    front = chosen.select("doc", "id").distinct().join(open_, ["doc", "id"], "left_semi").select("doc", F.col("id").alias("chosen"), "id", F.lit(0).alias("depth"))
-    found = front
-    for _ in range(DEPTH):
-        step = front.join(links, ["doc", "id"]).select("doc", "chosen", F.col("ref").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = step.join(open_, ["doc", "id"], "left_semi").select("doc", "chosen", "id", "depth")
-        found = found.unionByName(front)
-    rows = found.groupBy("doc", "chosen", "id").agg(F.max("depth").alias("depth"))
-    w = Window.partitionBy("doc", "chosen").orderBy(F.desc("depth"), "id")
-    return rows.select("doc", "chosen", "id", F.row_number().over(w).alias("step"))
+    listed = lambda df, name, *columns: df.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias(name))
+    rows = listed(chosen, "_chosen", "id")
+    for part in (listed(suggested, "_open", "id"), listed(requires, "_links", "id", "ref"), listed(present, "_present", "id")):
+        rows = rows.join(part, "doc", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.select("doc", F.array_distinct("_chosen.id").alias("_chosen"), "_links", F.array_except(F.coalesce("_open.id", none), F.coalesce("_present.id", none)).alias("_open"))
+    # of the links those between suggestions that can enter: few
+    links = F.coalesce(F.filter("_links", lambda x: F.array_contains("_open", x["id"]) & F.array_contains("_open", x["ref"])), F.array().cast("array<struct<id:string,ref:string>>"))
+    rows = rows.select("doc", F.explode(F.array_intersect("_chosen", "_open")).alias("chosen"), links.alias("_links")).filter("chosen is not null")
+    step = lambda front: F.array_distinct(F.transform(F.filter("_links", lambda x: F.array_contains(front, x["id"])), lambda x: x["ref"]))
+
+    def deepest_first(front: Column, depth: int) -> Column:
+        """What the front requires, then what of the front itself isn't required further down."""
+        if depth == 0:
+            return F.sort_array(front)
+        later = lambda f: let(deepest_first(step(f), depth - 1), lambda found: F.concat(found, F.sort_array(F.array_except(f, found))))
+        return let(front, lambda f: F.when(F.size(f) == 0, none).otherwise(later(f)))
+
+    rows = rows.select("doc", "chosen", F.posexplode(deepest_first(F.array("chosen"), DEPTH)).alias("_pos", "id"))
+    return rows.select("doc", "chosen", "id", (F.col("_pos") + 1).alias("step"))
 
 
 def nearest_edges(edges: DataFrame, clicks: DataFrame) -> DataFrame:

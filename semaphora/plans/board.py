@@ -9,7 +9,7 @@ from ..functions.scenes import partition_of
 from ..operators import consensus, metrics, review
 from ..sources import files
 from ..sources.bridge import corpus
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
 from . import review as views
 from .dataset import _SHARE
 
@@ -46,8 +46,8 @@ def review_worklist(spark: SparkSession, sf: str) -> DataFrame:
 
 def adopt_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     elements, refs = views._graph(spark, sf)
-    chosen = consensus.closure(elements, refs, 2)
-    open_ = elements.select("doc", "id").distinct().join(chosen, ["doc", "id"], "left_anti")
+    chosen = written(consensus.closure(elements, refs, 2), "chosen")  # read by all that follows, as are open ones
+    open_ = written(elements.select("doc", "id").distinct().join(chosen, ["doc", "id"], "left_anti"), "open")
     return review.adopted(open_.filter("id not like 'n%'"), open_, refs, chosen)
 
 

@@ -1,6 +1,7 @@
 """What keeps queries in bounds on larger tables: what is made once, and what plans look like."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -98,3 +99,8 @@ def test_two_sides_are_grouped_not_joined(spark, sf):
     t = spark.createDataFrame([(1, "f", "a"), (1, "f", "a"), (1, "f", None)], row)
     p = spark.createDataFrame([(1, "f", "a"), (1, "f", None), (2, "f", "b")], row)
     assert {(r.family, r.tp, r.fp, r.fn) for r in metrics.detection(t, p).collect()} == {("f", 1, 2, 1), (None, 1, 2, 1)}
+
+
+def test_references_are_followed_within_their_document(spark, sf):
+    """No step of the closure moves elements by (doc, id)."""
+    assert not re.search(r"hashpartitioning\(doc#\d+L?, (id|ref)#", _plan(QUERIES["suggestions"](spark, sf)))
