@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semaphora.operators import documents as D
-from semaphora.operators import matching, metrics
+from semaphora.operators import matching, metrics, validator
 from semaphora.operators.generate import generated
 from semaphora.plans.board import degree_sequences
 from semaphora.plans.review import QUERIES, consensus_draft, edge_pair_costs, nearest_edge
@@ -104,3 +104,7 @@ def test_two_sides_are_grouped_not_joined(spark, sf):
 def test_references_are_followed_within_their_document(spark, sf):
     """No step of the closure moves elements by (doc, id)."""
     assert not re.search(r"hashpartitioning\(doc#\d+L?, (id|ref)#", _plan(QUERIES["suggestions"](spark, sf)))
+
+
+def test_rules_put_paths_together_for_issues_only():
+    assert "topology/edges/" not in str(validator._end(F.col("e"), F.col("i"), "a"))
