@@ -12,6 +12,7 @@ from semaphora.operators import matching, metrics, validator
 from semaphora.operators.generate import generated
 from semaphora.plans.board import degree_sequences
 from semaphora.plans.review import QUERIES, consensus_draft, edge_pair_costs, nearest_edge
+from semaphora.plans.validation import QUERIES as QUERIES_VALIDATION
 from semaphora.sources import bridge
 
 
@@ -108,3 +109,8 @@ def test_references_are_followed_within_their_document(spark, sf):
 
 def test_rules_put_paths_together_for_issues_only():
     assert "topology/edges/" not in str(validator._end(F.col("e"), F.col("i"), "a"))
+
+
+def test_generated_scenes_are_made_once_for_each_shape(spark, sf):
+    plan = _plan(QUERIES_VALIDATION["generate_scene"](spark, sf))
+    assert "n_w" not in plan and "SortMergeJoin" not in plan  # neither the generator nor a second making of the scenes
