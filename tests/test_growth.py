@@ -114,3 +114,8 @@ def test_rules_put_paths_together_for_issues_only():
 def test_generated_scenes_are_made_once_for_each_shape(spark, sf):
     plan = _plan(QUERIES_VALIDATION["generate_scene"](spark, sf))
     assert "n_w" not in plan and "SortMergeJoin" not in plan  # neither the generator nor a second making of the scenes
+
+
+def test_ports_are_looked_up_by_hash(spark, sf):
+    plan = QUERIES_VALIDATION["rule3_ports"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan and "boundary|A, " not in plan.split("INSET")[0]
