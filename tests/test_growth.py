@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from semaphora.operators import consensus, matching, metrics, validator
 from semaphora.operators import documents as D
-from semaphora.operators import matching, metrics, validator
 from semaphora.operators.generate import generated
 from semaphora.plans.board import degree_sequences
 from semaphora.plans.review import QUERIES, consensus_draft, edge_pair_costs, nearest_edge
@@ -119,3 +119,24 @@ def test_generated_scenes_are_made_once_for_each_shape(spark, sf):
 def test_ports_are_looked_up_by_hash(spark, sf):
     plan = QUERIES_VALIDATION["rule3_ports"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "INSET" in plan and "boundary|A, " not in plan.split("INSET")[0]
+
+
+def test_review_groups_draft_and_final_without_a_join(spark, sf):
+    for name in ("review_summary", "provenance_diff"):
+        plan = _plan(QUERIES[name](spark, sf))
+        assert "SortMergeJoin" not in plan and "ENSURE_REQUIREMENTS" not in plan
+    rows = [
+        (1, "a", "x", "draft", False), (1, "a", "y", "draft", True), (1, "e", None, "draft", True), (1, None, "x", "draft", True), (2, "a", "x", "draft", True), (None, "a", "x", "draft", True),
+        (1, "b", "z", "suggested", False), (1, "b2", "z", "suggested", False), (1, "f", None, "suggested", False),
+        (1, "a", "x", "final", False), (1, "b", "z", "final", True), (1, "b", "z", "final", True), (1, "b2", "q", "final", False), (1, "c", "x", "final", True), (1, None, "x", "final", True), (1, "f", None, "final", False), (None, "a", "x", "final", True),
+    ]
+    made = spark.createDataFrame(rows, "doc long, id string, content string, side string, checked boolean")
+    made = made.select("doc", "id", "content", *(F.col("side").eqNullSafe(s).alias(s) for s in ("draft", "suggested", "final")), "checked")
+    got = {r.doc: tuple(r)[1:] for r in consensus.review_summary(made).collect()}
+    # draft, final, prefill_accepted, human_edited, suggestion_accepted, human_added, deleted, checked
+    assert got == {1: (4, 8, 1, 2, 3, 2, 2, 3, 0.5), 2: (1, 0, 0, 0, 0, 0, 1, 0, 0.0), None: (0, 1, 0, 0, 0, 1, 0, 0, 1.0)}
+    origins = sorted((str(r.doc), str(r.id), r.origin) for r in consensus.provenance(made).collect())
+    assert origins == [
+        ("1", "None", "human_added"), ("1", "a", "human_edited"), ("1", "a", "prefill_accepted"), ("1", "b", "suggestion_accepted"), ("1", "b", "suggestion_accepted"), ("1", "b2", "human_edited"),
+        ("1", "c", "human_added"), ("1", "f", "suggestion_accepted"), ("None", "a", "human_added"),
+    ]
