@@ -140,3 +140,26 @@ def test_review_groups_draft_and_final_without_a_join(spark, sf):
         ("1", "None", "human_added"), ("1", "a", "human_edited"), ("1", "a", "prefill_accepted"), ("1", "b", "suggestion_accepted"), ("1", "b", "suggestion_accepted"), ("1", "b2", "human_edited"),
         ("1", "c", "human_added"), ("1", "f", "suggestion_accepted"), ("None", "a", "human_added"),
     ]
+
+
+def test_match_by_near_pairs_is_the_same_as_by_all(spark):
+    """Rivals for an element, elements without a place, far ones, scenes of one side only, gaps in idx, families."""
+    rng = np.random.default_rng(5)
+    place = lambda: None if rng.random() < 0.15 else float(rng.integers(0, 120))
+    rows = []
+    for doc in range(120):
+        for m in range(2):
+            for i in range(0 if doc % 17 == m else int(rng.integers(0, 7))):
+                x = place()
+                rows.append((doc if doc % 3 else doc + 2**40, m, "fg"[i % 2], 3 * i, f"{m}-{i}", f"{'LM'[int(rng.integers(2))]}{i}", "ab"[int(rng.integers(2))], x, None if x is None else float(rng.integers(0, 90)) + rng.random()))
+    e = spark.createDataFrame(rows, "doc long, model_no int, family string, idx int, id string, label string, kind string, x double, y double")
+    text = lambda df: sorted(map(str, df.collect()))
+    for elements in (e, e.drop("family")):
+        t, p = elements.filter("model_no = 0"), elements.filter("model_no = 1")
+        every = matching.costs(t, p, 894.0)
+        want = text(matching.matches(every))
+        assert want and text(matching.matched(t, p, 894.0)) == want
+        near = matching.costs(t, p, 894.0, far=False)
+        assert text(near) == text(every.filter(F.col("cost") < matching.FAR)) and near.count() < every.count()
+    with pytest.raises(ValueError):
+        matching.matched(e, e, 894.0, matching.FAR)
