@@ -73,10 +73,28 @@ def medoids(votes: DataFrame, diagonal: float) -> DataFrame:
     return total.groupBy("doc", "cluster_no").agg(F.min_by(F.struct("member_pos", "x", "y"), F.struct("total", "member_pos")).alias("b")).select("doc", "cluster_no", "b.*")
 
 
+def members(votes: DataFrame, family: str) -> DataFrame:
+    """(doc, model_no, cluster_no, id, draft_id) of votes: what draft_ids() says, with each cluster's members still at hand, so
+    that votes are gone through once and joined with nothing."""
+    by = votes.groupBy("doc", "cluster_no").agg(F.collect_list(F.struct("model_no", "id", "x", "y")).alias("m"))
+    rows = by.select("doc", "cluster_no", "m", median(F.col("m.x")).alias("x"), median(F.col("m.y")).alias("y"))
+    rows = rows.select("doc", "cluster_no", "m", _draft_id(family).alias("draft_id"))  # numbered before members are set apart
+    return rows.withColumn("m", F.explode("m")).select("doc", "m.model_no", "cluster_no", "m.id", "draft_id")
+
+
 def translated(references: DataFrame, ids: DataFrame) -> DataFrame:
-    """references (doc, model_no, id, ref) with ref in draft ids (ids: doc, model_no, id, draft_id); unknown ones stay."""
-    known = ids.select("doc", "model_no", F.col("id").alias("ref"), "draft_id")
-    return references.join(known, ["doc", "model_no", "ref"], "left").select("doc", "model_no", "id", F.coalesce("draft_id", "ref").alias("ref"))
+    """references (doc, model_no, id, ref) with ref in draft ids (ids: doc, model_no, id, draft_id); unknown ones stay.
+
+    Both are grouped by what is named instead of joined, so rows that are dealt out by doc stay where they are. As in a
+    join, a reference comes out once for each draft id of its ref, and a null is no name."""
+    names = ["doc", "model_no", "ref"]
+    none = lambda t: F.lit(None).cast(t)
+    known = ids.filter("doc is not null and model_no is not null and id is not null and draft_id is not null")
+    known = known.select("doc", "model_no", F.col("id").alias("ref"), "draft_id", none("struct<id:string>").alias("use"))
+    rows = references.select(*names, none("string").alias("draft_id"), F.struct(F.col("id").cast("string").alias("id")).alias("use")).unionAll(known.select(*names, "draft_id", "use"))
+    by = rows.groupBy(*names).agg(F.collect_list("use").alias("uses"), F.collect_list("draft_id").alias("found"))
+    by = by.select(*names, F.explode_outer("found").alias("draft_id"), "uses")
+    return by.select("doc", "model_no", F.explode("uses").alias("use"), F.coalesce("draft_id", "ref").alias("ref")).select("doc", "model_no", "use.id", "ref")
 
 
 def _listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from semaphora.operators import consensus, matching, metrics, validator
 from semaphora.operators import documents as D
 from semaphora.operators.generate import generated
-from semaphora.plans.board import degree_sequences
-from semaphora.plans.review import QUERIES, consensus_draft, edge_pair_costs, nearest_edge
+from semaphora.plans.board import degree_sequences, review_worklist
+from semaphora.plans.review import QUERIES, consensus_draft, edge_pair_costs, nearest_edge, votes
 from semaphora.plans.validation import QUERIES as QUERIES_VALIDATION
 from semaphora.sources import bridge
 
@@ -163,3 +163,21 @@ def test_match_by_near_pairs_is_the_same_as_by_all(spark):
         assert text(near) == text(every.filter(F.col("cost") < matching.FAR)) and near.count() < every.count()
     with pytest.raises(ValueError):
         matching.matched(e, e, 894.0, matching.FAR)
+
+
+def test_references_are_translated_without_a_join(spark, sf):
+    plan = _plan(QUERIES["translate_refs"](spark, sf))
+    assert "SortMergeJoin" not in plan and "ENSURE_REQUIREMENTS" not in plan
+    v = votes(spark, sf)
+    got = consensus.members(v, "nodes").select("doc", "model_no", "id", "draft_id")
+    want = v.join(consensus.draft_ids(v, "nodes"), ["doc", "cluster_no"]).select("doc", "model_no", "id", "draft_id")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    refs = spark.createDataFrame([(1, 0, "m", "a"), (1, 0, "m", "a"), (1, 0, None, "b"), (1, 1, "m", "a"), (1, 0, "m", None), (None, 0, "m", "a")], "doc long, model_no int, id string, ref string")
+    ids = spark.createDataFrame([(1, 0, "a", "n001"), (1, 0, "b", "n002"), (1, 0, "b", "n003"), (1, 0, "z", "n004"), (1, 0, None, "n005"), (None, 0, "a", "n006")], "doc long, model_no int, id string, draft_id string")
+    got = sorted(map(str, (tuple(r) for r in consensus.translated(refs, ids).collect())))
+    assert got == sorted(map(str, [(1, 0, "m", "n001"), (1, 0, "m", "n001"), (1, 0, None, "n002"), (1, 0, None, "n003"), (1, 1, "m", "a"), (1, 0, "m", None), (None, 0, "m", "a")]))
+
+
+def test_worklist_moves_nothing_by_id(spark, sf):
+    plan = _plan(review_worklist(spark, sf))
+    assert "SortMergeJoin" not in plan and "ENSURE_REQUIREMENTS" not in plan
