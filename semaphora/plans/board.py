@@ -18,13 +18,30 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("doc"), "o_orderstatus")
 
 
+#: The status of an element by its support.
+STATUS = ("minority", "contested", "consensus")
+
+
 def _supported(spark: SparkSession, sf: str) -> DataFrame:
     """Elements of the corpus in order, with the status of their support; some that no model had."""
     elements, _ = views._graph(spark, sf)
-    status = F.get(F.array(F.lit("minority"), F.lit("contested"), F.lit("consensus")), F.col("support").cast("int"))
+    status = F.get(F.array(*map(F.lit, STATUS)), F.col("support").cast("int"))
     return elements.select("doc", "id", status.alias("status"))
 
 
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct elements of _supported(), with pos: the first place of their id among nodes, edges and signals. Grouped once
+    by what they are, so that rows stay where their scenes are."""
+    c = corpus(spark, sf)
+    support = F.pmod(F.col("doc") + F.col("idx"), F.lit(3))
+    parts = ((c.node, support), (c.edge, support), (c.signal, F.when(F.col("id") != "n_w", support)))
+    rows = [t.select("doc", "id", (F.lit(k * 10_000) + F.col("idx")).alias("pos"), s.alias("support")) for k, (t, s) in enumerate(parts)]
+    rows = rows[0].unionByName(rows[1]).unionByName(rows[2]).filter("doc is not null and id is not null")
+    by = rows.groupBy("doc", "id").agg(F.min("pos").alias("pos"), *(F.count_if(F.col("support") == n).alias(s) for n, s in enumerate(STATUS)))
+    status = F.array_compact(F.array(*(F.when(F.col(s) > 0, s) for s in STATUS)))
+    return by.select("doc", "id", "pos", F.explode(status).alias("status"))
+
+
 def review_board(spark: SparkSession, sf: str) -> DataFrame:
     o = _orders(spark, sf).withColumn("scene_id", F.concat(F.lit("scene-"), F.col("doc").cast("string")))
     manifest = o.select("scene_id", F.concat(F.lit("g"), F.pmod("doc", F.lit(9)).cast("string")).alias("panel_group"), partition_of(F.col("doc")).alias("partition"), F.lit(800).alias("width"), F.lit(400).alias("height"))
@@ -36,12 +53,8 @@ def review_board(spark: SparkSession, sf: str) -> DataFrame:
 def review_worklist(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc") + F.length("id")
     changed = F.when(F.pmod(n, F.lit(6)) == 0, "edited").when(F.pmod(n, F.lit(6)) == 1, "added")
-    c = corpus(spark, sf)
-    place = [t.select("doc", "id", (F.lit(k * 10_000) + F.col("idx")).alias("pos")) for k, t in enumerate((c.node, c.edge, c.signal))]
-    pos = place[0].unionByName(place[1]).unionByName(place[2]).groupBy("doc", "id").agg(F.min("pos").alias("pos"))
-    rows = _supported(spark, sf).distinct().join(pos, ["doc", "id"])
     status = F.when(F.pmod(n, F.lit(11)) != 0, F.col("status"))
-    return review.worklist(rows.select("doc", "pos", "id", status.alias("status"), changed.alias("changed"))).select("doc", "id", "rank", "place")
+    return review.worklist(_placed(spark, sf).select("doc", "pos", "id", status.alias("status"), changed.alias("changed"))).select("doc", "id", "rank", "place")
 
 
 def adopt_suggestions(spark: SparkSession, sf: str) -> DataFrame:
