@@ -102,20 +102,27 @@ def _listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     return rows.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
-def closure(elements: DataFrame, references: DataFrame, min_support: int | Column) -> DataFrame:
-    """(doc, id) of elements of enough support and all they refer to, at any depth (three steps: routes refer to
-    signals and edges, signals to edges, edges to nodes). A reference stays in its document, so the steps are taken in it."""
-    known = elements.select("doc", "id", (F.col("support") >= min_support).alias("enough")).filter("doc is not null and id is not null")
-    rows = _listed(known, "e", "id", "enough").join(_listed(references.filter("id is not null and ref is not null"), "r", "id", "ref"), "doc", "left")
+def reached(e: Column, r: Column) -> Column:
+    """Ids of a document's elements e (id, enough) that are enough, and all they refer to by r (id, ref) at any depth (three
+    steps: routes refer to signals and edges, signals to edges, edges to nodes)."""
+    none = F.array().cast("array<string>")
 
     def steps(front: Column, n: int) -> Column:
         if n == 0:
             return front
-        after = lambda f: F.array_distinct(F.transform(F.filter("r", lambda x: F.array_contains(f, x["id"])), lambda x: x["ref"]))
-        return let(front, lambda f: F.concat(f, F.when(F.col("r").isNotNull(), steps(after(f), n - 1)).otherwise(F.array().cast("array<string>"))))
+        after = lambda f: F.array_distinct(F.transform(F.filter(r, lambda x: F.array_contains(f, x["id"])), lambda x: x["ref"]))
+        return let(front, lambda f: F.concat(f, F.when(F.size(f) == 0, none).otherwise(F.coalesce(steps(after(f), n - 1), none))))
+
+    front = F.array_distinct(F.transform(F.filter(e, lambda x: x["enough"]), lambda x: x["id"]))
+    return F.array_intersect(F.transform(e, lambda x: x["id"]), steps(front, 3))
 
-    front = F.array_distinct(F.transform(F.filter("e", lambda x: x["enough"]), lambda x: x["id"]))
-    return rows.select("doc", F.explode(F.array_intersect(F.col("e.id"), steps(front, 3))).alias("id"))
+
+def closure(elements: DataFrame, references: DataFrame, min_support: int | Column) -> DataFrame:
+    """(doc, id) of elements of enough support and all they refer to. A reference stays in its document, so the steps are
+    taken in it."""
+    known = elements.select("doc", "id", (F.col("support") >= min_support).alias("enough")).filter("doc is not null and id is not null")
+    rows = _listed(known, "e", "id", "enough").join(_listed(references.filter("id is not null and ref is not null"), "r", "id", "ref"), "doc", "left")
+    return rows.select("doc", F.explode(reached(F.col("e"), F.col("r"))).alias("id"))
 
 
 def suggestions(elements: DataFrame, references: DataFrame, chosen: DataFrame) -> DataFrame:

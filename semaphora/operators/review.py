@@ -51,12 +51,18 @@ def adopted(chosen: DataFrame, suggested: DataFrame, requires: DataFrame, presen
 
     Ids that are no suggestion, or in the document already, don't enter, nor does what only they require. References go
     down a fixed ladder of families, so DEPTH joins reach all; of one step's elements the smaller id is first."""
-    listed = lambda df, name, *columns: df.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias(name))
-    rows = listed(chosen, "_chosen", "id")
-    for part in (listed(suggested, "_open", "id"), listed(requires, "_links", "id", "ref"), listed(present, "_present", "id")):
-        rows = rows.join(part, "doc", "left")
+    parts = {"_chosen": chosen, "_open": suggested, "_links": requires, "_present": present}
+    each = [df.select("doc", F.lit(name).alias("part"), "id", (F.col("ref") if name == "_links" else F.lit(None).cast("string")).alias("ref")) for name, df in parts.items()]
+    rows = each[0].unionAll(each[1]).unionAll(each[2]).unionAll(each[3]).filter("doc is not null")
+    of = lambda name: F.collect_list(F.when(F.col("part") == name, F.struct("id", "ref"))).alias(name)
+    rows = rows.groupBy("doc").agg(*map(of, parts))
+    return entering(rows.select("doc", F.col("_chosen.id").alias("_chosen"), "_links", F.array_except("_open.id", "_present.id").alias("_open")))
+
+
+def entering(rows: DataFrame) -> DataFrame:
+    """What adopted() gives, by documents: _chosen and _open (ids of suggestions that can enter), _links (structs of id, ref).
+    A document is one row, so nothing is moved."""
     none = F.array().cast("array<string>")
-    rows = rows.select("doc", F.array_distinct("_chosen.id").alias("_chosen"), "_links", F.array_except(F.coalesce("_open.id", none), F.coalesce("_present.id", none)).alias("_open"))
     # of the links those between suggestions that can enter: few
     links = F.coalesce(F.filter("_links", lambda x: F.array_contains("_open", x["id"]) & F.array_contains("_open", x["ref"])), F.array().cast("array<struct<id:string,ref:string>>"))
     rows = rows.select("doc", F.explode(F.array_intersect("_chosen", "_open")).alias("chosen"), links.alias("_links")).filter("chosen is not null")

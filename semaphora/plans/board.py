@@ -9,7 +9,7 @@ from ..functions.scenes import partition_of
 from ..operators import consensus, metrics, review
 from ..sources import files
 from ..sources.bridge import corpus
-from ..sources.shared import shared_dir, written
+from ..sources.shared import shared_dir
 from . import review as views
 from .dataset import _SHARE
 
@@ -58,10 +58,10 @@ def review_worklist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def adopt_suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    elements, refs = views._graph(spark, sf)
-    chosen = written(consensus.closure(elements, refs, 2), "chosen")  # read by all that follows, as are open ones
-    open_ = written(elements.select("doc", "id").distinct().join(chosen, ["doc", "id"], "left_anti"), "open")
-    return review.adopted(open_.filter("id not like 'n%'"), open_, refs, chosen)
+    rows = views._linked(spark, sf)
+    rows = rows.withColumn("in", consensus.reached(F.col("e"), F.col("r")))
+    rows = rows.select("doc", F.array_except("e.id", "in").alias("_open"), F.col("r").alias("_links"))
+    return review.entering(rows.withColumn("_chosen", F.filter("_open", lambda i: ~i.startswith("n"))))
 
 
 def nearest_edge_offset(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,10 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from semaphora.operators import consensus, matching, metrics, validator
+from semaphora.operators import consensus, matching, metrics, review, validator
 from semaphora.operators import documents as D
 from semaphora.operators.generate import generated
-from semaphora.plans.board import degree_sequences, review_worklist
+from semaphora.plans.board import adopt_suggestions, degree_sequences, review_worklist
 from semaphora.plans.review import QUERIES, consensus_draft, edge_pair_costs, nearest_edge, votes
 from semaphora.plans.validation import QUERIES as QUERIES_VALIDATION
 from semaphora.sources import bridge
@@ -181,3 +181,21 @@ def test_references_are_translated_without_a_join(spark, sf):
 def test_worklist_moves_nothing_by_id(spark, sf):
     plan = _plan(review_worklist(spark, sf))
     assert "SortMergeJoin" not in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_suggestions_are_adopted_within_their_document(spark, sf):
+    """No table of chosen or open elements is broadcast or joined: the driver would hold it."""
+    plan = _plan(adopt_suggestions(spark, sf))
+    assert _broadcasts(adopt_suggestions(spark, sf)) == []
+    assert "SortMergeJoin" not in plan and "ENSURE_REQUIREMENTS" not in plan
+    of = lambda rows, t: spark.createDataFrame(rows, t)
+    links = of([(1, "s", "e"), (1, "e", "n"), (1, "x", "n"), (2, "s", "e"), (None, "s", "e")], "doc long, id string, ref string")
+    open_ = of([(1, "s"), (1, "e"), (1, "n"), (1, "y"), (2, "s"), (None, "s")], "doc long, id string")
+    got = review.adopted(of([(1, "s"), (1, "s"), (1, "y"), (1, "gone"), (2, "s"), (None, "s")], "doc long, id string"), open_, links, of([(1, "y"), (3, "s")], "doc long, id string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "s", "e", 2), (1, "s", "n", 1), (1, "s", "s", 3), (2, "s", "s", 1)]
+
+
+def test_repeated_orders_adopt_once(spark, tmp_path):
+    spark.range(40).union(spark.range(20)).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = adopt_suggestions(spark, str(tmp_path))
+    assert rows.count() == rows.distinct().count() > 0
