@@ -1,7 +1,7 @@
 """Scene documents as JSON text: what is wrong with their shape, what of a faulty or cut-off one can be used.
 
-A model of the shape is a table of fields. It is compiled to one expression over a VARIANT, so a document is checked
-where it lies: no shuffle, no Python. Only the repair of cut-off text is an Arrow function."""
+A model of the shape is a table of fields. Single elements are checked by expressions over a VARIANT that are compiled from
+it, whole documents by shape.py, which goes by the same table. The repair of cut-off text is an Arrow function too."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scene import let
+from . import shape
 
 # The pattern of ids and the words that fields may hold.
 ID = r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,63}$"
@@ -143,8 +144,9 @@ def problems(fields: Column, model: dict, path: Column) -> Column:
 
 
 def shape_problems(body: Column) -> Column:
-    """Paths, in order and each once, at which a JSON text is not a scene document; [""] if it is no JSON object."""
-    return F.array_sort(F.array_distinct(_object(F.try_parse_json(body), SCENE, F.lit(""))))
+    """Paths, in order and each once, at which a JSON text is not a scene document; [""] if it is no JSON object. Not for use
+    inside a lambda: whole documents are checked by batch, to the paths that problems() has."""
+    return shape.problems(body, SCENE)
 
 
 def schema_issues(docs: DataFrame, body: str = "body") -> DataFrame:
